@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,7 @@ def local_session(cores: str = "8", app: str = "tidemark", **conf: str) -> Spark
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -48,5 +51,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers where their path does not have it already."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    work = tempfile.mkdtemp(prefix="tidemark-ship-")
+    atexit.register(shutil.rmtree, work, ignore_errors=True)
+    shutil.copytree(Path(__file__).parent, f"{work}/tree/tidemark", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{work}/tidemark", "zip", f"{work}/tree"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
