@@ -76,15 +76,15 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) for runs of rows of at most ``limit`` bytes, one row at least."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20, most_rows: int = 1 << 12) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) for runs of at most ``most_rows`` rows and ``limit`` bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         raw, off = column_bytes(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+            to = min(at + most_rows, max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at), raw[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
 

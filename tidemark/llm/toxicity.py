@@ -25,8 +25,10 @@ from tidemark.llm.quality import training_rows
 
 SAMPLE = 12_000
 FOLDS = 4
-RIDGE = 0.3
-THRESHOLD = 0.5
+RIDGE = 0.05
+THRESHOLD = 0.4
+#: A slot enters a model if its count among the positives is this many standard errors from the expected one.
+SCREEN = 3.0
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -49,6 +51,11 @@ def fit_link(ptr, column, value, before: np.ndarray, y: np.ndarray, width: int,
         rate = float(np.clip(y.mean() if len(y) else 0, 1e-9, 1 - 1e-9))
         return Link(np.zeros(width), np.zeros(k), float(np.log(rate / (1 - rate))))
     b = _logit(before)
+    rate, total = y.mean(), np.bincount(column, minlength=width)
+    apart = np.abs(np.bincount(column, np.repeat(y, np.diff(ptr)), width) - rate * total) >= SCREEN * np.sqrt(np.maximum(total, 1) * rate * (1 - rate))
+    full, kept = width, np.flatnonzero(apart)
+    ptr, column, value = narrow(ptr, column, value, kept, width)
+    width = len(kept)
 
     def loss(p):
         z = dot(ptr, column, value, p[:width]) + b @ p[width : width + k] + p[-1]
@@ -58,7 +65,17 @@ def fit_link(ptr, column, value, before: np.ndarray, y: np.ndarray, width: int,
         return value_, np.concatenate([dot_t(ptr, column, value, d, width) + ridge * p[:width], b.T @ d + ridge * p[width : width + k], [d.sum()]])
 
     got = minimise(loss, np.zeros(width + k + 1))
-    return Link(got[:width], got[width : width + k], float(got[-1]))
+    weights = np.zeros(full)
+    weights[kept] = got[:width]
+    return Link(weights, got[width : width + k], float(got[-1]))
+
+
+def narrow(ptr, column, value, kept: np.ndarray, width: int):
+    """The CSR of the kept columns, numbered anew."""
+    number = np.full(width, -1)
+    number[kept] = np.arange(len(kept))
+    inside = number[column] >= 0
+    return np.concatenate([[0], np.cumsum(inside)])[ptr], number[column[inside]], value[inside]
 
 
 def take(ptr, column, value, rows: np.ndarray):
