@@ -97,4 +97,16 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM d LEFT JOIN agg USING (doc_id)
 """
 
-SQL = {"op2_decontaminate": OP2, "op4_mix_sources": OP4, "op5_secrets": OP5}
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, k, md5(array_to_string(w[k:k + 34], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+dup AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT rid, p FROM (SELECT rid, unnest(range(k, k + 35)) AS p FROM g WHERE h IN (SELECT h FROM dup)) GROUP BY rid, p),
+word AS (SELECT rid, p, w[p] AS x FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid),
+n AS (SELECT rid, count(*) AS c FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
+"""
+
+SQL = {"op3_substring_dedup": OP3, "op2_decontaminate": OP2, "op4_mix_sources": OP4, "op5_secrets": OP5}
