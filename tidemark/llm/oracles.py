@@ -109,4 +109,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c, 0) AS BIGINT)
 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
 """
 
-SQL = {"op3_substring_dedup": OP3, "op2_decontaminate": OP2, "op4_mix_sources": OP4, "op5_secrets": OP5}
+OP8 = rf"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+len AS (SELECT doc_id, len({_WORDS}) AS n FROM documents),
+st AS (SELECT count(*) AS n, sum(n) / CAST(count(*) AS DOUBLE) AS mean FROM len),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT q.doc_id AS query_id, d.doc_id,
+        round(sum(q.tf * ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len.n / st.mean))), 9) AS score
+      FROM tf q JOIN tf d ON q.t = d.t AND q.doc_id <> d.doc_id JOIN df ON df.t = q.t JOIN len ON len.doc_id = d.doc_id CROSS JOIN st
+      WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, rank, doc_id, round(score, 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+SQL = {"op8_bm25_topk": OP8, "op3_substring_dedup": OP3, "op2_decontaminate": OP2, "op4_mix_sources": OP4, "op5_secrets": OP5}

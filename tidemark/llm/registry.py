@@ -71,6 +71,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), grades(table(spark, sf_dir, "labels")))
 
 
+def op8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.search import search
+
+    return search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.tokens import count_tokens
 
