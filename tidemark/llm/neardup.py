@@ -14,8 +14,9 @@ overlap (sum of minima over sum of maxima):
 
 1. exact copies fold into one vertex before anything is compared;
 2. each bucket's least vertex is compared with the others (in chunks of bounded size, so that a hot bucket is spread);
-3. buckets whose members are not yet in one class after that are compared in full, in block pairs of bounded size that
-   emit only links that join two classes; nothing is capped;
+3. buckets whose members are not yet in one class are dealt into random chunks, each compared in full, which joins
+   nearly all that belong together; then every member outside its bucket's largest class is compared with all members
+   of the bucket, in blocks of bounded size that emit only links that join two classes; nothing is capped;
 4. connected components of the verified links are the classes.
 
 With 24 bands of 4 components a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -145,8 +146,8 @@ def _verify_star(table: pa.Table, similar: float) -> pa.Table:
 
 
 def _verify_block(table: pa.Table, similar: float, columns: int = 1 << 16) -> pa.Table:
-    """All members of two chunks of a bucket against each other; links that join two classes only. Rows: i, j, chunk, vertex, class, units."""
-    vertex, group, chunk = (table.column(c).to_numpy() for c in ("vertex", "class", "chunk"))
+    """Members of one side against all (side 0), or of side 1 against side 2; links that join two classes only. Rows: side, vertex, class, units."""
+    vertex, group, side = (table.column(c).to_numpy() for c in ("vertex", "class", "side"))
     off, unit = _lists(table, "units")
     n, size = len(vertex), np.diff(off)
     row, (distinct, col) = np.repeat(np.arange(n), size), np.unique(unit, return_inverse=True)
@@ -157,7 +158,6 @@ def _verify_block(table: pa.Table, similar: float, columns: int = 1 << 16) -> pa
         x[row[part], col[part] - lo] = 1
         shared += x @ x.T
     a, b = np.nonzero(np.triu(shared.astype(np.float64) >= similar * (size[:, None] + size[None, :] - shared), 1))
-    apart = table.column("i").to_numpy()[0] != table.column("j").to_numpy()[0]
     top: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -167,8 +167,8 @@ def _verify_block(table: pa.Table, similar: float, columns: int = 1 << 16) -> pa
 
     links = []
     for p, q in zip(a.tolist(), b.tolist(), strict=True):
-        if apart and chunk[p] == chunk[q]:
-            continue  # that pair belongs to the chunk's own block
+        if side[p] == side[q] != 0 or vertex[p] == vertex[q]:
+            continue  # that pair belongs to another block
         if (r := root(int(group[p]))) != (s := root(int(group[q]))):
             top[max(r, s)] = min(r, s)
             links.append((int(vertex[p]), int(vertex[q])))
@@ -197,6 +197,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return root.unionByName(root.select(F.col("class").alias("vertex"), "class").distinct())
 
 
+def _open(buckets: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
+    """Members of the buckets that hold more than one class (once for bands with the same members), dealt into k chunks."""
+    placed = cut(buckets.select("bucket", "vertex").join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("vertex").cast("decimal(38,0)")).alias("same")).where("lo <> hi")
+    mixed = mixed.groupBy("n", "same").agg(F.min("bucket").alias("bucket")).select("bucket", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("k"))
+    return cut(placed.join(mixed, "bucket").withColumn("chunk", F.expr("pmod(hash(vertex), k)")), "open")
+
+
 def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(signed: doc_id, text_key; classes: text_key, doc_id of the text's first document, class and its first document)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
@@ -215,20 +223,20 @@ def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar:
     heads = pairs.select("leader", "chunk", F.col("leader").alias("vertex")).distinct()
     filled = pairs.select("leader", "chunk", "vertex").unionByName(heads).join(bags, "vertex").select("leader", "chunk", "vertex", "units")
     stars = cut(filled.groupBy("leader", "chunk").applyInArrow(lambda t: _verify_star(t, similar), "a long, b long"), "stars")
-    classes = cut(components(stars), "classes")
-    # buckets whose members are not yet one class: all their pairs, in blocks
-    placed = buckets.select("bucket", "vertex", "n").join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
-    open_ = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("vertex").cast("decimal(38,0)")).alias("same")).where("lo <> hi")
-    open_ = open_.groupBy("n", "same").agg(F.min("bucket").alias("bucket"))  # bands of the same members: once
-    half = chunk // 2
-    rest = cut(placed.select("bucket", "vertex", "class").join(open_.select("bucket", F.ceil(F.col("n") / half).cast("int").alias("k")), "bucket").withColumn("chunk", F.expr("pmod(hash(vertex), k)")), "open")
-    blocks_ = (
-        rest.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-        .select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "class")
-        .join(bags, "vertex")
-    )
-    more = blocks_.groupBy("bucket", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long")
-    final = components(stars.unionByName(more), "links")
+    # buckets whose members are not yet one class: random chunks of them in full, which joins nearly all that belong together
+    open_ = _open(buckets, components(stars), chunk)
+    dealt = open_.select("bucket", F.lit(0).alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"), "vertex", "class").join(bags, "vertex")
+    links = cut(stars.unionByName(dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long")), "links")
+    # what is still apart: every member outside a bucket's largest class against all members of the bucket, in blocks
+    open_ = _open(buckets, components(links), chunk // 2)
+    size = open_.groupBy("bucket", "class").agg(F.count("*").alias("c"))
+    main = size.groupBy("bucket").agg(F.max_by("class", F.struct("c", "class")).alias("main"), (F.sum("c") - F.max("c")).alias("f"))
+    open_ = open_.join(main.withColumn("kf", F.expr(f"cast(ceil(f / {chunk // 2}) as int)")), "bucket")
+    minor = open_.where("class <> main").withColumn("i", F.expr("pmod(hash(vertex, 1), kf)")).select("bucket", "i", F.explode(F.expr("sequence(0, k - 1)")).alias("j"), F.lit(1).alias("side"), "vertex", "class")
+    every = open_.select("bucket", F.explode(F.expr("sequence(0, kf - 1)")).alias("i"), F.col("chunk").alias("j"), F.lit(2).alias("side"), "vertex", "class")
+    pairs_ = minor.unionByName(every).join(bags, "vertex")
+    more = pairs_.groupBy("bucket", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long")
+    final = components(links.unionByName(more), "final")
     named = vertices.select("vertex", "text_key", "first_id").join(final, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
     named = cut(named.select("text_key", "first_id", "class"), "named")
     first = named.groupBy("class").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n_texts"))
