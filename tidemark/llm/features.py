@@ -131,13 +131,16 @@ def feature_rows(batches, features, extra: int):
         )
 
 
-def compact(rows: list, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compact(rows: pa.Table, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """CSR over the slots that ``least`` rows have: (ptr, column, value, slot of each column)."""
-    size = np.array([len(r.slot) for r in rows], np.int64)
-    slot = np.concatenate([np.asarray(r.slot, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-    value = np.concatenate([np.asarray(r.value, np.float64) for r in rows]) if rows else np.empty(0)
-    used = np.flatnonzero(np.bincount(slot, minlength=DIM) >= min(least, max(1, len(rows) // 20)))
-    column = np.full(DIM, -1)
+    n = rows.num_rows
+    flat = lambda c: (rows.column(c).chunk(0) if n else None)
+    if not n:
+        return np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+    size = np.diff(flat("slot").offsets.to_numpy())
+    slot, value = flat("slot").flatten().to_numpy(), flat("value").flatten().to_numpy()
+    used = np.flatnonzero(np.bincount(slot, minlength=DIM) >= min(least, max(1, n // 20)))
+    column = np.full(DIM, -1, np.int32)
     column[used] = np.arange(len(used))
     keep = column[slot] >= 0
     ptr = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(size)])]

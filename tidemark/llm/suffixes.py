@@ -163,7 +163,7 @@ def bucket_repeats(table: pa.Table, window: int) -> pa.Table:
 
 
 def pick_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for part, raw, off in blocks(batches):
+    for part, raw, off in blocks(batches, limit=2 << 20):
         if len(raw) < window:
             continue
         h = window_hash(prefix_hash(BYTE[raw]), gram)
@@ -174,7 +174,7 @@ def pick_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
 
 def contexts(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """For tied picks: the bytes their windows reach over, by bucket; for hot picks (bucket -1): window fingerprints."""
-    for part, raw, off in blocks(batches):
+    for part, raw, off in blocks(batches, limit=1 << 20):
         if len(raw) < window:
             continue
         prefix = prefix_hash(BYTE[raw])

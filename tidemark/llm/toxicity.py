@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import blocks
-from tidemark.llm.features import DIM, compact, dot, dot_t, minimise, sigmoid, word_features
+from tidemark.llm.features import DIM, dot, dot_t, minimise, sigmoid, word_features
 from tidemark.llm.quality import training_rows
 
-SAMPLE = 12_000
+SAMPLE = 10_000
 FOLDS = 4
 RIDGE = 0.05
 THRESHOLD = 0.4
@@ -107,9 +107,7 @@ def fit_chain(ptr, column, value, slots: np.ndarray, labels: np.ndarray, folds:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, folds: int = FOLDS, ridge: float = RIDGE) -> list[Link]:
-    rows = training_rows(docs, labels, word_features, categories, sample)
-    ptr, column, value, slots = compact(rows)
-    answers = np.array([[r[c] for c in categories] for r in rows], np.float64).reshape(len(rows), len(categories))
+    answers, (ptr, column, value, slots) = training_rows(docs, labels, word_features, categories, sample)
     return fit_chain(ptr, column, value, slots, answers, folds, ridge)
 
 
