@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.blocks import BYTE, U64, blocks, column_bytes, prefix_hash, spread, window_hash
+from tidemark.llm.blocks import BYTE, U64, blocks, prefix_hash, spread, window_hash
 from tidemark.llm.repeats import by_row, candidates, copies, keyed, marked, pick_runs, ties, union_of
 from tidemark.session import cut
 
 WINDOW = 400
-GRAM = 160
+GRAM = 100
 #: Places of one pick that a bucket takes.
 HOT = 1000
 #: Bytes that a bucket is meant to hold.
@@ -140,26 +140,37 @@ def sort_bucket(text: np.ndarray, size: int, suffix: np.ndarray, depth: int) ->
 
 
 def bucket_repeats(table: pa.Table, window: int) -> pa.Table:
-    """One bucket: sorts its suffixes and returns the starts of repeated windows as runs, by row (k, pos, n = run length)."""
-    col = table.column("bytes").combine_chunks().cast(pa.large_binary())
-    if isinstance(col, pa.ChunkedArray):
-        col = col.chunk(0)
-    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-    raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]]
-    off = off - off[0]
-    text = np.concatenate([raw, np.zeros(V + 16, np.uint8)])
-    count = np.diff(off) - window + 1
-    context = np.repeat(np.arange(len(count)), count)
+    """One bucket: sorts its suffixes and returns the starts of repeated windows as runs, by row (k, pos, n = run length).
+
+    Equal byte runs from different places are laid into the bucket's text once: all their windows are repeated.
+    """
+    first: dict[bytes, int] = {}
+    whole = table.column("bytes").to_pylist()
+    own = np.array([first.setdefault(x, i) for i, x in enumerate(whole)], np.int64)
+    copies = np.bincount(own, minlength=len(whole))
+    one = np.flatnonzero(own == np.arange(len(whole)))
+    size = np.array([len(whole[i]) for i in one], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    text = np.frombuffer(b"".join([*(whole[i] for i in one), bytes(V + 16)]), np.uint8)
+    count = size - window + 1
+    context = np.repeat(np.arange(len(one)), count)
     suffix = off[context] + spread(count)
-    ordered, equal = sort_bucket(text, len(raw), suffix, window)
+    ordered, equal = sort_bucket(text, int(off[-1]), suffix, window)
     hit = equal | np.append(equal[1:], False)
     found = np.sort(ordered[hit])
     context = np.searchsorted(off, found, "right") - 1
+    lone = copies[one[context]] == 1
+    found, context = found[lone], context[lone]
     new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1] + 1) | (context[1:] != context[:-1])])) if len(found) else np.empty(0, np.int64)
     length = np.diff(np.append(new, len(found)))
-    c = context[new]
+    c = one[context[new]]
     k, start = table.column("k").to_numpy(), table.column("pos").to_numpy()
-    return pa.table({"k": pa.array(k[c]), "pos": pa.array((start[c] + found[new] - off[c]).astype(np.int32)), "n": pa.array(length, pa.int64())})
+    full = np.flatnonzero(copies[own] > 1)
+    return pa.table({
+        "k": pa.array(np.concatenate([k[c], k[full]])),
+        "pos": pa.array(np.concatenate([start[c] + found[new] - off[context[new]], start[full]]).astype(np.int32)),
+        "n": pa.array(np.concatenate([length, np.array([len(whole[i]) - window + 1 for i in full], np.int64)]), pa.int64()),
+    })
 
 
 def pick_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -173,28 +184,34 @@ def pick_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
 
 
 def contexts(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For tied picks: the bytes their windows reach over, by bucket; for hot picks (bucket -1): window fingerprints."""
+    """For tied picks of at most ``hot`` places: the bytes their windows reach over, by bucket."""
     for part, raw, off in blocks(batches, limit=1 << 20):
         if len(raw) < window:
             continue
-        prefix = prefix_hash(BYTE[raw])
-        h = window_hash(prefix, gram)
+        h = window_hash(prefix_hash(BYTE[raw]), gram)
         row, pick, first, last = pick_runs(h, gram, window, off)
         n = marked(part, off, len(raw))[pick]
-        k = part.column(part.schema.get_field_index("k")).to_numpy()
         cool = np.flatnonzero((n > 0) & (n <= hot))
-        size = last[cool] + window - first[cool]
-        index = np.repeat(first[cool], size) + spread(size)
-        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cool), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(raw[index])]).cast(pa.binary())
-        yield _context_rows((h[pick[cool]] % U64(buckets)).astype(np.int32), h[pick[cool]], k[row[cool]], first[cool] - off[row[cool]], data)
-        warm = np.flatnonzero(n > hot)
-        size = last[warm] - first[warm] + 1
-        at, r = np.repeat(first[warm], size) + spread(size), np.repeat(row[warm], size)
-        yield _context_rows(np.full(len(at), -1, np.int32), window_hash(prefix, window)[at], k[r], at - off[r], pa.nulls(len(at), pa.binary()))
+        k = part.column(part.schema.get_field_index("k")).to_numpy()
+        data = pa.array([raw[a:b].tobytes() for a, b in zip(first[cool], last[cool] + window, strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((h[pick[cool]] % U64(buckets)).astype(np.int32)), pa.array(k[row[cool]]), pa.array((first[cool] - off[row[cool]]).astype(np.int32)), data], names=["bucket", "k", "pos", "bytes"]
+        )
 
 
-def _context_rows(bucket, h, k, pos, data) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h.astype(np.int64)), pa.array(k), pa.array(pos.astype(np.int32)), data], names=["bucket", "h", "k", "pos", "bytes"])
+def fingerprints(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """For picks of more than ``hot`` places: a fingerprint of each of their windows."""
+    for part, raw, off in blocks(batches, limit=1 << 20):
+        n = marked(part, off, len(raw))
+        if len(raw) < window or n.max(initial=0) <= hot:
+            continue
+        prefix = prefix_hash(BYTE[raw])
+        row, pick, first, last = pick_runs(window_hash(prefix, gram), gram, window, off)
+        warm = np.flatnonzero(n[pick] > hot)
+        size = last[warm] - first[warm] + 1
+        at, r = np.repeat(first[warm], size) + spread(size), np.repeat(row[warm], size)
+        k = part.column(part.schema.get_field_index("k")).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(window_hash(prefix, window)[at].astype(np.int64)), pa.array(k[r]), pa.array((at - off[r]).astype(np.int32))], names=["h", "k", "pos"])
 
 
 def _cut_bytes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -228,9 +245,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     reach = tied.where(F.col("n") <= hot).count() * (window + (window - gram) // 2)
     buckets = max(1, -(-reach // bucket_bytes))
     rows = candidates(source, tied, "rows")
-    found = cut(rows.mapInArrow(lambda it: contexts(it, window, gram, hot, buckets), "bucket int, h long, k long, pos int, bytes binary"), "contexts")
-    sorted_ = found.where("bucket >= 0").select("bucket", "k", "pos", "bytes").groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t.drop_columns(["bucket"]), window), "k long, pos int, n long")
-    counted = ties(found.where("bucket < 0").select("h", "k", "pos")).select("k", "pos", F.lit(1).cast("long").alias("n"))
+    found = rows.mapInArrow(lambda it: contexts(it, window, gram, hot, buckets), "bucket int, k long, pos int, bytes binary")
+    sorted_ = found.groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t.drop_columns(["bucket"]), window), "k long, pos int, n long")
+    busy = rows.where(F.exists("tied", lambda t: t["n"] > hot))
+    windows = cut(busy.mapInArrow(lambda it: fingerprints(it, window, gram, hot), "h long, k long, pos int"), "windows")
+    counted = ties(windows).select("k", "pos", F.lit(1).cast("long").alias("n"))
     starts = by_row(sorted_.unionByName(counted))
     return source, rows.drop("tied").join(starts, "k"), copied
 
