@@ -35,10 +35,10 @@ from tidemark.session import cut
 
 WINDOW = 400
 GRAM = 100
-#: Places of one pick that a bucket takes.
-HOT = 1000
 #: Bytes that a bucket is meant to hold.
 BUCKET = 4 << 20
+#: Places of one pick that a bucket takes: as many as fill it alone (a pick's windows reach over 550 bytes on average).
+HOT = BUCKET // 550
 
 #: A perfect difference set modulo 73 (every shift is the difference of one pair).
 V = 73
