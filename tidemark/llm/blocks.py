@@ -76,7 +76,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20, most_rows: int = 1 << 12) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20, most_rows: int = 1 << 12) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of at most ``most_rows`` rows and ``limit`` bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:
