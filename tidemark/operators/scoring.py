@@ -1,0 +1,46 @@
+"""Dense scoring of users against a catalog of vectors, in blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+#: Item vectors in one broadcast block; a larger catalog is scored block by block and merged exactly.
+BLOCK_ITEMS = 100_000
+
+
+def score_catalog(users: DataFrame, items: DataFrame, k: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """user_id, item_id, score, rank: the k best unseen items by dot product, ties by item (users: user_id, centroid, seen)."""
+    spark = users.sparkSession
+    parts, held = None, []
+
+    def scored(rows: list) -> DataFrame:
+        ids = np.array([r.item_id for r in rows], object)
+        shared = spark.sparkContext.broadcast((ids, np.array([r.vector for r in rows], np.float64)))
+
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for pdf in batches:
+                score = np.round(np.stack(pdf.centroid.to_list()) @ matrix.T, 9)
+                out = []
+                for user, row, seen in zip(pdf.user_id, score, pdf.seen, strict=True):
+                    row = np.where(np.isin(names, list(seen) if seen is not None else []), -np.inf, row)
+                    top = np.lexsort([names.astype(str), -row])[:k]
+                    top = top[np.isfinite(row[top])]
+                    out.append(pd.DataFrame({"user_id": user, "item_id": names[top], "score": row[top]}))
+                yield pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "score": []})
+
+        return users.mapInPandas(one, "user_id string, item_id string, score double")
+
+    for r in items.orderBy("item_id").toLocalIterator():
+        held.append(r)
+        if len(held) >= block_items:
+            parts = scored(held) if parts is None else parts.unionByName(scored(held))
+            held = []
+    if held or parts is None:
+        parts = scored(held) if parts is None else parts.unionByName(scored(held))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
+    return parts.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import table
+from tidemark.plans import oracles, queries as _queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").count()
+    return _queries.ranking_metrics(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {n: f for n, f in vars(_queries).items() if inspect.isfunction(f) and f.__module__ == _queries.__name__ and not n.startswith("_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
