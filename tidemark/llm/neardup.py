@@ -13,7 +13,8 @@ Signatures are banded; texts that share a band are candidates, and every reporte
 overlap (sum of minima over sum of maxima):
 
 1. exact copies fold into one vertex before anything is compared;
-2. each bucket's least vertex is compared with the others (in chunks of bounded size, so that a hot bucket is spread);
+2. each bucket's leader, the member that meets most texts over all bands, is compared with the others (in chunks of
+   bounded size, so that a hot bucket is spread);
 3. buckets whose members are not yet in one class are dealt into random chunks, each compared in full, which joins
    nearly all that belong together; then every member outside its bucket's largest class is compared with all members
    of the bucket, in blocks of bounded size that emit only links that join two classes; nothing is capped;
@@ -211,9 +212,13 @@ def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar:
     signed = cut(source.select("doc_id", "text_key", "text").mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, text_key string, bands array<long>"), "signed")
     vertices = cut(signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")).withColumn("vertex", F.monotonically_increasing_id()), "vertices")
     member = vertices.select("vertex", F.explode("bands").alias("bucket"))
-    least = member.groupBy("bucket").agg(F.min("vertex").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(member.join(least, "bucket"), "buckets")
-    # stars: each bucket's least vertex against the others, once for all bands that say the same
+    size = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(member.join(size, "bucket"), "met")
+    # a text that meets most others over all bands is nearest to the middle of its group: it leads its buckets
+    central = met.groupBy("vertex").agg(F.sum("n").alias("central"))
+    leader = met.join(central, "vertex").groupBy("bucket").agg(F.max_by("vertex", F.struct("central", "vertex")).alias("leader"))
+    buckets = cut(met.join(leader, "bucket"), "buckets")
+    # stars: each bucket's leader against the others, once for all bands that say the same
     pairs = buckets.where("vertex <> leader").select("leader", "vertex").distinct()
     degree = pairs.groupBy("leader").agg(F.count("*").alias("d"))
     pairs = cut(pairs.join(degree, "leader").withColumn("chunk", F.expr(f"pmod(hash(vertex), cast(ceil(d / {chunk}) as int))")).drop("d"), "pairs")
