@@ -1,15 +1,18 @@
 """Exact BM25 top-k search: an inverted index by shard, block-max pruning, and an exact merge.
 
 Index. Each shard (a run of documents of one task, bounded in postings) holds its terms as sorted hashes, and for each
-term its postings in document order, cut at blocks of 64 documents; for each term and block the greatest impact is kept
-(block-max). Documents of a shard are put in order of their most frequent term and length, so that blocks are alike.
+term its postings in document order. Documents of a shard are put in order of their most frequent term and length, so
+that blocks of 64 documents are alike; for each term and block the greatest impact is known (block-max).
 
 Statistics are global: document count, mean length and each query term's document frequency are summed over all shards
 before any score is made; so a shard's scores are final, and merging the shards' best k is exact.
 
-Search (block-max WAND, set by set in place of one pivot at a time). For a query, the block maxima of its terms add up
-to a bound for every block. Blocks are visited in falling order of bound; the k-th best score so far is the threshold,
-and blocks whose bound is below it are skipped unread. The threshold is carried from shard to shard within a task.
+Search (block-max WAND, batches of like queries in place of one pivot at a time). The block maxima of a query's terms
+add up to a bound for every block. The most promising blocks are scored first and give a threshold, the k-th best score
+so far; then the other blocks whose bound reaches it; all others are skipped unread. The threshold is carried from
+shard to shard within a task. Scores of a batch over its blocks are made in single precision, frequent terms by matrix
+products and the others from their postings; documents that can still be among the best k, given the rounding error,
+are scored again in double precision, and only those scores count.
 
 Queries come in blocks of bounded size; each block is broadcast alone and runs against all shards.
 
@@ -34,9 +37,11 @@ from tidemark.session import cut
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Bounds of a shard (documents, postings) and of a broadcast block of queries (queries, terms).
-SHARD_DOCS, SHARD_POSTINGS = 16_384, 6_000_000
+SHARD_DOCS, SHARD_POSTINGS = 16_384, 3_000_000
 QUERIES, QUERY_TERMS = 4_096, 2_000_000
-_INDEX = "doc_id binary, null_id binary, length binary, term binary, term_ptr binary, entry_block binary, entry_ptr binary, post_doc binary, post_tf binary, n_docs long, n_words long"
+#: Queries scored together; a term in this share of a shard's documents goes by matrix product; relative slack for single precision.
+BATCH, FREQUENT, SLACK = 64, 0.02, 1e-4
+_INDEX = "doc_id binary, null_id binary, length binary, term binary, term_ptr binary, post_doc binary, post_tf binary, n_docs long, n_words long"
 
 
 def term_counts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,15 +84,12 @@ class _Building:
         doc = number[row]
         order = np.lexsort([doc, term])
         doc, term, count = doc[order], term[order], count[order]
-        block = doc // BLOCK
         new_term = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.empty(0, bool)
-        entry = np.flatnonzero(new_term | np.concatenate([[True], block[1:] != block[:-1]])) if len(term) else np.empty(0, np.int64)
         values = [
-            ids[place], nulls[place], length[place].astype(np.int32), term[new_term],
-            np.append(np.searchsorted(entry, np.flatnonzero(new_term)), len(entry)).astype(np.int64),
-            block[entry].astype(np.int32), np.append(entry, len(term)).astype(np.int64), doc.astype(np.int32), np.minimum(count, 2**31 - 1).astype(np.int32),
+            ids[place], nulls[place], length[place].astype(np.int32), term[new_term], np.append(np.flatnonzero(new_term), len(term)).astype(np.int64),
+            doc.astype(np.uint16 if len(ids) <= 1 << 16 else np.int32), count.astype(np.uint16 if count.max(initial=0) < 1 << 16 else np.int32),
         ]
-        names = ["doc_id", "null_id", "length", "term", "term_ptr", "entry_block", "entry_ptr", "post_doc", "post_tf", "n_docs", "n_words"]
+        names = ["doc_id", "null_id", "length", "term", "term_ptr", "post_doc", "post_tf", "n_docs", "n_words"]
         return pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in values), pa.array([len(ids)]), pa.array([int(length.sum())])], names=names)
 
 
@@ -108,66 +110,110 @@ def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_postings: i
     return cut(source.mapInArrow(lambda it: _build(it, shard_docs, shard_postings), _INDEX), "index")
 
 
+def _ints(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.int32)
+
+
 class Shard:
-    def __init__(self, row: dict):
-        get = lambda name, kind: np.frombuffer(row[name], kind)
-        self.doc_id, self.null_id, self.length = get("doc_id", np.int64), get("null_id", bool), get("length", np.int32)
-        self.term, self.term_ptr, self.entry_block, self.entry_ptr = get("term", U64), get("term_ptr", np.int64), get("entry_block", np.int32), get("entry_ptr", np.int64)
-        self.post_doc, self.post_tf = get("post_doc", np.int32), get("post_tf", np.int32)
-
-    def bound(self, mean_length: float) -> None:
-        """Impacts of all postings, and the greatest of each term and block."""
-        tf = self.post_tf.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * self.length / mean_length))[self.post_doc])
-        self.top = np.maximum.reduceat(self.impact, self.entry_ptr[:-1]) if len(self.entry_block) else np.empty(0)
-        self.blocks = -(-len(self.doc_id) // BLOCK)
-
-    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the sorted terms the shard has, their places in it)."""
-        at = np.minimum(np.searchsorted(self.term, terms), max(0, len(self.term) - 1))
-        have = np.flatnonzero(self.term[at] == terms) if len(self.term) else np.empty(0, np.int64)
-        return have, at[have]
-
-    def search(self, places: np.ndarray, weights: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, documents) that can be among the best k, given the k-th best score of other shards."""
-        size = self.term_ptr[places + 1] - self.term_ptr[places]
-        entry = np.repeat(self.term_ptr[places], size) + spread(size)
-        weight = np.repeat(weights, size)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, weight * self.top[entry], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found_s, found_d, at, step = [], [], 0, 4
-        while at < len(order):
-            take = order[at : at + step]
-            take = take[bound[take] + 2e-9 >= least]
-            if not len(take):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[take] = True
-            inside = np.flatnonzero(chosen[block])
-            count = self.entry_ptr[entry[inside] + 1] - self.entry_ptr[entry[inside]]
-            post = np.repeat(self.entry_ptr[entry[inside]], count) + spread(count)
-            slot = np.empty(self.blocks, np.int64)
-            slot[take] = np.arange(len(take))
-            doc = self.post_doc[post]
-            score = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, np.repeat(weight[inside], count) * self.impact[post], len(take) * BLOCK)
-            score = np.round(score, 9)
-            cells = np.flatnonzero((score > 0) & (score >= least))
-            doc = take[cells // BLOCK] * BLOCK + cells % BLOCK
-            other = (self.doc_id[doc] != own) | self.null_id[doc]
-            found_s.append(score[cells[other]])
-            found_d.append(doc[other])
-            if len(found_s) > 1 or at == 0:
-                s = np.concatenate(found_s)
-                if len(s) >= k:
-                    least = max(least, float(np.partition(s, len(s) - k)[len(s) - k]))
-            at, step = at + step, step * 2
-        if not found_s:
-            return np.empty(0), np.empty(0, np.int64)
-        s, d = np.concatenate(found_s), np.concatenate(found_d)
-        ok = s >= least
-        return s[ok], d[ok]
+    """One shard, reduced to the terms of a block of queries (``vocabulary``, sorted)."""
+
+    def __init__(self, row: dict, vocabulary: np.ndarray, mean_length: float):
+        self.doc_id, self.null_id, length = np.frombuffer(row["doc_id"], np.int64), np.frombuffer(row["null_id"], bool), np.frombuffer(row["length"], np.int32)
+        term, ptr = np.frombuffer(row["term"], U64), np.frombuffer(row["term_ptr"], np.int64)
+        docs, tfs = _ints(row["post_doc"], ptr[-1]), _ints(row["post_tf"], ptr[-1])
+        self.sorted_id = np.sort(self.doc_id)
+        self.n, self.blocks = len(self.doc_id), -(-len(self.doc_id) // BLOCK)
+        at = np.minimum(np.searchsorted(term, vocabulary), max(0, len(term) - 1))
+        have = np.flatnonzero(term[at] == vocabulary) if len(term) else np.empty(0, np.int64)
+        at = at[have]
+        size = ptr[at + 1] - ptr[at]
+        index = np.repeat(ptr[at], size) + spread(size)
+        self.doc, tf = docs[index].astype(np.int32), tfs[index].astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean_length))[self.doc])
+        self.ptr = np.concatenate([[0], np.cumsum(size)])
+        self.place = np.full(len(vocabulary), -1, np.int32)  # of a query term among the shard's
+        self.place[have] = np.arange(len(have))
+        term_of = np.repeat(np.arange(len(have), dtype=np.int32), size)
+        block = self.doc // BLOCK
+        entry = np.flatnonzero(np.concatenate([[True], (term_of[1:] != term_of[:-1]) | (block[1:] != block[:-1])])) if len(index) else np.empty(0, np.int64)
+        top = np.maximum.reduceat(self.impact, entry) if len(entry) else np.empty(0)
+        self.entry_ptr, self.entry_block, self.entry_top = np.searchsorted(entry, self.ptr), block[entry], top
+        often = np.flatnonzero(size >= max(8, FREQUENT * self.n))
+        self.column = np.full(len(have), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        self.dense_top = np.zeros((self.blocks, len(often)), np.float32)
+        column = self.column[term_of]
+        self.dense[self.doc[column >= 0], column[column >= 0]] = self.impact[column >= 0]
+        e = self.column[term_of[entry]]
+        self.dense_top[self.entry_block[e >= 0], e[e >= 0]] = top[e >= 0]
+        # documents' own terms, for exact scores
+        order = np.argsort(self.doc.astype(np.uint16) if self.n <= 1 << 16 else self.doc, kind="stable")
+        self.own_term, self.own_impact = term_of[order], self.impact[order]
+        self.own_ptr = np.searchsorted(self.doc[order], np.arange(self.n + 1))
+
+    def _rare(self, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, where: np.ndarray, value: np.ndarray, size: int, slot: np.ndarray | None = None) -> np.ndarray:
+        n = ptr[terms + 1] - ptr[terms]
+        index = np.repeat(ptr[terms], n) + spread(n)
+        at = where[index] if slot is None else slot[where[index]]
+        return np.bincount(at, np.repeat(weights, n) * value[index], size)
+
+    def search(self, batch: list, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(scores, documents) for each (own id, terms, weights) of the batch that can be among its best k, given thresholds."""
+        m, h = len(batch), self.dense.shape[1]
+        # rows of the queries themselves are no hits: the k-th best stands so many places further down
+        owns = np.array([own for own, _, _ in batch])
+        k = k + int((np.searchsorted(self.sorted_id, owns, "right") - np.searchsorted(self.sorted_id, owns, "left")).max(initial=0))
+        w, rare = np.zeros((m, h), np.float32), []
+        for q, (_, terms, weights) in enumerate(batch):
+            column = self.column[terms]
+            w[q, column[column >= 0]] = weights[column >= 0]
+            rare.append((terms[column < 0], weights[column < 0]))
+        bound = (w @ self.dense_top.T).astype(np.float64)
+        for q, (terms, weights) in enumerate(rare):
+            bound[q] += self._rare(terms, weights, self.entry_ptr, self.entry_block, self.entry_top, self.blocks)
+        bound *= 1 + SLACK
+        score = np.zeros((m, self.blocks * BLOCK), np.float32)
+        done = np.zeros(self.blocks, bool)
+        least = least.copy()
+        first = np.argpartition(-bound, min(3, self.blocks - 1), axis=1)[:, :4] if self.blocks else np.empty((m, 0), np.int64)
+        for step in range(2):
+            wanted = np.zeros(self.blocks, bool)
+            if step == 0:
+                wanted[np.unique(first)] = True
+            else:
+                wanted |= ((bound >= least[:, None]) & (bound > 0)).any(axis=0)
+            wanted &= ~done
+            if not wanted.any():
+                continue
+            rows = (np.flatnonzero(wanted)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            part = w @ self.dense[rows].T
+            slot = np.full(self.blocks * BLOCK, len(rows), np.int64)
+            slot[rows] = np.arange(len(rows))
+            for q, (terms, weights) in enumerate(rare):
+                part[q] += self._rare(terms, weights, self.ptr, self.doc, self.impact, len(rows) + 1, slot)[:-1].astype(np.float32)
+            score[:, rows] = part
+            done |= wanted
+            if step == 0 and part.shape[1] > k:
+                kth = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k]
+                least = np.maximum(least, np.where(kth > 0, kth * (1 - SLACK), 0))
+        out = []
+        full = np.zeros(len(self.column))
+        for q, (own, terms, weights) in enumerate(batch):
+            s = score[q]
+            floor = least[q] * (1 - SLACK)
+            if len(s) > k:
+                floor = max(floor, float(np.partition(s, len(s) - k)[len(s) - k]) * (1 - 2 * SLACK))
+            doc = np.flatnonzero((s > 0) & (s >= floor))
+            doc = doc[doc < self.n]
+            doc = doc[(self.doc_id[doc] != own) | self.null_id[doc]]
+            full[terms] = weights
+            n = self.own_ptr[doc + 1] - self.own_ptr[doc]
+            index = np.repeat(self.own_ptr[doc], n) + spread(n)
+            exact = np.bincount(np.repeat(np.arange(len(doc)), n), full[self.own_term[index]] * self.own_impact[index], len(doc))
+            full[terms] = 0
+            out.append((np.round(exact, 9), doc))
+        return out
 
 
 def _best(score: np.ndarray, doc: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
@@ -178,23 +224,23 @@ def _search(batches: Iterator[pa.RecordBatch], block: dict, k: int, stats: dict)
     n = len(block["query_id"])
     best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, bool))] * n
     for part in batches:
-        for row in part.to_pylist():
-            shard = Shard(row)
-            shard.bound(stats["mean_length"])
-            have, at = shard.find(block["vocabulary"])
-            place = np.full(len(block["vocabulary"]), -1)
-            place[have] = at
-            for q in range(n):
-                term = block["term"][block["ptr"][q] : block["ptr"][q + 1]]
-                weight = block["weight"][block["ptr"][q] : block["ptr"][q + 1]]
-                here = np.flatnonzero(place[term] >= 0)
-                score, doc, null = best[q]
-                least = score[-1] if len(score) == k else 0.0
-                s, d = shard.search(place[term[here]], weight[here], block["query_id"][q], k, least)
-                if len(s):
-                    score, doc, null = np.concatenate([score, s]), np.concatenate([doc, shard.doc_id[d]]), np.concatenate([null, shard.null_id[d]])
-                    keep = _best(score, doc, null, k)
-                    best[q] = score[keep], doc[keep], null[keep]
+        for i in range(part.num_rows):
+            shard = Shard(part.slice(i, 1).to_pylist()[0], block["vocabulary"], stats["mean_length"])
+            for at in range(0, n, BATCH):
+                group = block["order"][at : at + BATCH]
+                queries, least = [], np.zeros(len(group))
+                for j, q in enumerate(group):
+                    term, weight = (block[c][block["ptr"][q] : block["ptr"][q + 1]] for c in ("term", "weight"))
+                    place = shard.place[term]
+                    queries.append((block["query_id"][q], place[place >= 0], weight[place >= 0]))
+                    if len(best[q][0]) == k:
+                        least[j] = best[q][0][-1]
+                for q, (s, d) in zip(group, shard.search(queries, k, least), strict=True):
+                    if len(s):
+                        score, doc, null = best[q]
+                        score, doc, null = np.concatenate([score, s]), np.concatenate([doc, shard.doc_id[d]]), np.concatenate([null, shard.null_id[d]])
+                        keep = _best(score, doc, null, k)
+                        best[q] = score[keep], doc[keep], null[keep]
     size = [len(s) for s, _, _ in best]
     if sum(size):
         yield pa.RecordBatch.from_arrays(
@@ -232,7 +278,9 @@ def _query_blocks(queries: DataFrame, most: int, most_terms: int) -> Iterator[di
 def _packed(rows: list) -> dict:
     term = np.concatenate([np.asarray(r.term, np.int64) for r in rows]).view(U64)
     vocabulary, place = np.unique(term, return_inverse=True)
+    top = [r.term[int(np.argmax(r["count"]))] if len(r.term) else 0 for r in rows]
     return {
+        "order": np.lexsort([[len(r.term) for r in rows], top]),  # like queries together
         "query_id": np.array([r.query_id for r in rows], np.int64),
         "ptr": np.cumsum([0, *(len(r.term) for r in rows)]),
         "vocabulary": vocabulary,
@@ -245,12 +293,12 @@ def _frequency(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Ite
     total = np.zeros(len(vocabulary), np.int64)
     for part in batches:
         for row in part.to_pylist():
-            term, ptr, entry = np.frombuffer(row["term"], U64), np.frombuffer(row["term_ptr"], np.int64), np.frombuffer(row["entry_ptr"], np.int64)
+            term, ptr = np.frombuffer(row["term"], U64), np.frombuffer(row["term_ptr"], np.int64)
             at = np.minimum(np.searchsorted(term, vocabulary), max(0, len(term) - 1))
             if len(term):
                 have = term[at] == vocabulary
                 at = at[have]
-                total[have] += entry[ptr[at + 1]] - entry[ptr[at]]
+                total[have] += ptr[at + 1] - ptr[at]
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "df"])
 
@@ -266,7 +314,7 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, queries_a_block: int
     hits = None
     for block in _query_blocks(chosen, queries_a_block, terms_a_block):
         vocabulary = spark.sparkContext.broadcast(block["vocabulary"])
-        found = index.select("term", "term_ptr", "entry_ptr").mapInArrow(lambda it, v=vocabulary: _frequency(it, v.value), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+        found = index.select("term", "term_ptr").mapInArrow(lambda it, v=vocabulary: _frequency(it, v.value), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
         df = np.zeros(len(block["vocabulary"]))
         df[found.column("place").to_numpy()] = found.column("df").to_numpy()
         idf = np.log1p((total.n - df + 0.5) / (df + 0.5))
