@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import blocks, prefix_hash, window_hash, words
-from tidemark.llm.repeats import candidates, copies, keyed, marked, pick_runs, ties, union_of
+from tidemark.llm.repeats import candidates, copies, keyed, marked, pick_runs, ties
 from tidemark.session import cut
 
 WINDOW = 35
@@ -33,7 +33,7 @@ _ENTRY = "h long, k long, pos int"
 def lengths(window: int) -> list[int]:
     """The levels: each twice the one before (rounded up), the last the window itself."""
     out = [window]
-    while len(out) < 3 and out[0] > 8:
+    while len(out) < 2 or len(out) < 3 and out[0] > 8:
         out.insert(0, -(-out[0] // 2))
     return out
 
@@ -59,7 +59,7 @@ def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, b
             np.add.at(step, first[ok], 1)
             np.add.at(step, last[ok] + 1, -1)
             live = np.cumsum(step)[:-1] > 0
-        if length == window:
+        if live is not None and length == window:
             pos = np.flatnonzero(live)
             row = np.searchsorted(woff, pos, "right") - 1
             yield _entries(window_hash(prefix, window)[pos], k[row], pos - woff[row])
@@ -117,7 +117,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     copied = cut(copies(source), "copies")
     spare = copied.where("spare").select("k").distinct()
     levels = lengths(window)
-    first = cut(source.select("k", "text").mapInArrow(lambda it: level_entries(it, window, levels[0], None), _ENTRY) if len(levels) > 1 else source.limit(0).selectExpr("0L h", "k", "0 pos"), "level")
+    first = cut(source.select("k", "text").mapInArrow(lambda it: level_entries(it, window, levels[0], None), _ENTRY), "level")
     rows = candidates(source, ties(first, spare), "rows")
     for before, length in zip(levels, levels[1:], strict=False):
         entries = cut(rows.mapInArrow(lambda it, b=before, n=length: level_entries(it, window, n, b), _ENTRY), "level")

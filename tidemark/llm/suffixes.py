@@ -6,7 +6,7 @@ gathered bucket by bucket, and one bucket at a time is sorted in one task:
 1. Buckets. Every window has a pick, its gram of least hash; equal windows have equal picks, so suffixes that share a
    window meet in one bucket. Picks that stand alone in the corpus drop out: no repeat can hold them. For each pick that
    is left, the bytes its windows reach over go to the bucket.
-2. Cover sample. In a bucket's bytes, positions whose residue modulo ``V`` is in a perfect difference set are ranked
+2. Cover sample. In a bucket's bytes, positions whose residue modulo V (73) is in a perfect difference set are ranked
    before the sort: by their first V bytes, then by doubling (a sample position plus V is one again), up to 4 V bytes.
 3. Sort. Suffixes are sorted by their first 16 bytes, then by ternary quicksort against pivots, all groups in step.
    Any two suffixes have a shift below V that takes both to sample positions; so a comparison reads at most V bytes,
@@ -22,6 +22,7 @@ are copies of each other; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,14 +41,23 @@ BUCKET = 4 << 20
 #: Places of one pick that a bucket takes: as many as fill it alone (a pick's windows reach over 550 bytes on average).
 HOT = BUCKET // 550
 
-#: A perfect difference set modulo 73 (every shift is the difference of one pair).
+#: Perfect difference sets by modulus (every shift is the difference of one pair).
+COVERS = {73: (1, 2, 4, 8, 16, 32, 37, 55, 64), 13: (0, 1, 3, 9)}
 V = 73
-COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
+#: A window must hold the longest shift, a ranked block, and 16 bytes for the first sort.
+LEAST_WINDOW = 32
 
-IN_COVER = np.zeros(V, bool)
-IN_COVER[list(COVER)] = True
-#: SHIFT[a, b]: the least s that takes residues a and b both into the cover.
-SHIFT = np.array([[next(s for s in range(V) if IN_COVER[(a + s) % V] and IN_COVER[(b + s) % V]) for b in range(V)] for a in range(V)], np.int64)
+
+@functools.cache
+def cover_for(depth: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(modulus, membership of each residue, the least shift that takes two residues into the cover) for windows of ``depth``."""
+    if depth < LEAST_WINDOW:
+        raise ValueError(f"a window of less than {LEAST_WINDOW} bytes")
+    v = max(v for v in COVERS if 2 * v <= depth)
+    inside = np.zeros(v, bool)
+    inside[list(COVERS[v])] = True
+    shift = np.array([[next(s for s in range(v) if inside[(a + s) % v] and inside[(b + s) % v]) for b in range(v)] for a in range(v)], np.int64)
+    return v, inside, shift
 
 
 def words8(text: np.ndarray) -> np.ndarray:
@@ -68,23 +78,26 @@ def names(keys: list[np.ndarray]) -> np.ndarray:
 
 
 class Cover:
-    """Ranks of the cover sample of a text to a depth of V * 2^doublings bytes."""
-
-    def __init__(self, text: np.ndarray, size: int, doublings: int):
-        w = words8(text)
-        self.text, self.w, self.depth = text, w, V << doublings
-        self.sample = np.flatnonzero(np.tile(IN_COVER, size // V + 1)[:size])
-        self.slot = np.zeros(len(text) + self.depth + V, np.int64)  # rank by position, 0 elsewhere
-        rank = names([w[self.sample + o].astype(U64) for o in (*range(0, V - 8, 8), V - 8)]) if len(self.sample) else np.empty(0, np.int64)
+    """Ranks of the cover sample of a text, to as great a depth as fits a window behind the longest shift."""
+
+    def __init__(self, text: np.ndarray, size: int, window: int):
+        self.v, inside, self.shift = cover_for(window)
+        doublings = 0
+        while (self.v << (doublings + 1)) + self.v <= window:
+            doublings += 1
+        self.w, self.depth, self.window = words8(text), self.v << doublings, window
+        sample = np.flatnonzero(np.tile(inside, size // self.v + 1)[:size])
+        self.slot = np.zeros(len(text) + self.depth + self.v, np.int64)  # rank by position, 0 elsewhere
+        rank = names([self.w[sample + o].astype(U64) for o in (*range(0, self.v - 8, 8), self.v - 8)]) if len(sample) else np.empty(0, np.int64)
         for d in range(doublings):
-            self.slot[self.sample] = rank
-            rank = names([rank, self.slot[self.sample + (V << d)]])
-        self.slot[self.sample] = rank
+            self.slot[sample] = rank
+            rank = names([rank, self.slot[sample + (self.v << d)]])
+        self.slot[sample] = rank
 
-    def compare(self, a: np.ndarray, b: np.ndarray, depth: int, skip: int) -> np.ndarray:
-        """-1, 0 or 1 for suffixes a against b over ``depth`` bytes, of which the first ``skip`` are known equal."""
+    def compare(self, a: np.ndarray, b: np.ndarray, skip: int) -> np.ndarray:
+        """-1, 0 or 1 for suffixes a against b over a window, of which the first ``skip`` bytes are known equal."""
         out = np.zeros(len(a), np.int8)
-        shift = SHIFT[a % V, b % V]
+        shift = self.shift[a % self.v, b % self.v]
         open_ = np.arange(len(a))
 
         def settle(x: np.ndarray, y: np.ndarray) -> None:
@@ -93,25 +106,22 @@ class Cover:
             out[open_[apart]] = np.where(x[apart] < y[apart], -1, 1)
             open_ = open_[~apart]
 
-        for o in range(skip, V - 1, 8):  # up to the shift; a word may reach beyond it, which is as good
+        for o in range(skip, self.v - 1, 8):  # up to the shift; a word may reach beyond it, which is as good
             near = shift[open_] > o
             if not near.any():
                 break
             p, q = a[open_] + o, b[open_] + o
             settle(np.where(near, self.w[p].astype(U64), U64(0)), np.where(near, self.w[q].astype(U64), U64(0)))
         settle(self.slot[a[open_] + shift[open_]], self.slot[b[open_] + shift[open_]])
-        for o in range(self.depth, depth, 8):  # behind the ranked part; the last word ends at the depth
-            at = np.minimum(shift[open_] + o, depth - 8)
+        for o in range(self.depth, self.window, 8):  # behind the ranked part; the last word ends with the window
+            at = np.minimum(shift[open_] + o, self.window - 8)
             settle(self.w[a[open_] + at].astype(U64), self.w[b[open_] + at].astype(U64))
         return out
 
 
-def sort_bucket(text: np.ndarray, size: int, suffix: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, whether each equals its predecessor over ``depth`` bytes). ``text`` is padded behind ``size``."""
-    doublings = 0
-    while (V << (doublings + 1)) + V <= depth:
-        doublings += 1
-    cover = Cover(text, size, doublings)
+def sort_bucket(text: np.ndarray, size: int, suffix: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, whether each equals its predecessor over a window). ``text`` is padded by V + 16 behind ``size``."""
+    cover = Cover(text, size, window)
     one, two = cover.w[suffix].astype(U64), cover.w[suffix + 8].astype(U64)
     order = np.lexsort([two, one])
     suffix, one, two = suffix[order], one[order], two[order]
@@ -126,15 +136,14 @@ def sort_bucket(text: np.ndarray, size: int, suffix: np.ndarray, depth: int) ->
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         length = np.diff(np.append(start, len(at)))
         pivot = np.repeat(suffix[at[start + length // 2]], length)
-        side = cover.compare(suffix[at], pivot, depth, 16)
+        side = cover.compare(suffix[at], pivot, 16)
         key = np.repeat(np.arange(len(start)), length) * 3 + side + 1
         order = np.argsort(key, kind="stable")
         key, suffix[at] = key[order], suffix[at[order]]
         same = np.concatenate([[False], key[1:] == key[:-1]])
         equal[at[same & (key % 3 == 1)]] = True
-        going = key % 3 != 1
-        lone = ~same & ~np.concatenate([same[1:], [False]])
-        going &= ~lone
+        lone = ~same & ~np.append(same[1:], False)
+        going = (key % 3 != 1) & ~lone
         at, group = at[going], key[going]
     return suffix, equal
 
