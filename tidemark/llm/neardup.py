@@ -15,9 +15,9 @@ overlap (sum of minima over sum of maxima):
 1. exact copies fold into one vertex before anything is compared;
 2. each bucket's leader, the member that meets most texts over all bands, is compared with the others (in chunks of
    bounded size, so that a hot bucket is spread);
-3. buckets whose members are not yet in one class are dealt into random chunks, each compared in full, which joins
-   nearly all that belong together; then every member outside its bucket's largest class is compared with all members
-   of the bucket, in blocks of bounded size that emit only links that join two classes; nothing is capped;
+3. buckets whose members are not yet in one class are united where they share members, dealt into random chunks, each
+   compared in full, which joins nearly all that belong together; then every member outside the largest class is
+   compared with all, in blocks of bounded size that emit only links that join two classes; nothing is capped;
 4. connected components of the verified links are the classes.
 
 With 24 bands of 4 components a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -198,12 +198,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return root.unionByName(root.select(F.col("class").alias("vertex"), "class").distinct())
 
 
-def _open(buckets: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
-    """Members of the buckets that hold more than one class (once for bands with the same members), dealt into k chunks."""
+def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(family, vertex): the members of buckets that hold more than one class; buckets that share members are one family,
+    so that what many bands say is looked at once."""
     placed = cut(buckets.select("bucket", "vertex").join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("vertex").cast("decimal(38,0)")).alias("same")).where("lo <> hi")
-    mixed = mixed.groupBy("n", "same").agg(F.min("bucket").alias("bucket")).select("bucket", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("k"))
-    return cut(placed.join(mixed, "bucket").withColumn("chunk", F.expr("pmod(hash(vertex), k)")), "open")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("vertex").alias("a")).where("lo <> hi").select("bucket", "a")
+    met = placed.join(mixed, "bucket").select("a", F.col("vertex").alias("b"))
+    return cut(components(met, "families").select(F.col("class").alias("family"), "vertex"), "families")
+
+
+def _dealt(families: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
+    """(family, vertex, class, k, chunk) of the families that still hold more than one class, dealt into k chunks."""
+    placed = cut(families.join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex")), "placed")
+    mixed = placed.groupBy("family").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.expr(f"cast(ceil(count(*) / {chunk}) as int)").alias("k")).where("lo <> hi").select("family", "k")
+    return placed.join(mixed, "family").withColumn("chunk", F.expr("pmod(hash(vertex), k)"))
 
 
 def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -229,19 +237,19 @@ def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar:
     filled = pairs.select("leader", "chunk", "vertex").unionByName(heads).join(bags, "vertex").select("leader", "chunk", "vertex", "units")
     stars = cut(filled.groupBy("leader", "chunk").applyInArrow(lambda t: _verify_star(t, similar), "a long, b long"), "stars")
     # buckets whose members are not yet one class: random chunks of them in full, which joins nearly all that belong together
-    open_ = _open(buckets, components(stars), chunk)
-    dealt = open_.select("bucket", F.lit(0).alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"), "vertex", "class").join(bags, "vertex")
-    links = cut(stars.unionByName(dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long")), "links")
-    # what is still apart: every member outside a bucket's largest class against all members of the bucket, in blocks
-    open_ = _open(buckets, components(links), chunk // 2)
-    size = open_.groupBy("bucket", "class").agg(F.count("*").alias("c"))
-    main = size.groupBy("bucket").agg(F.max_by("class", F.struct("c", "class")).alias("main"), (F.sum("c") - F.max("c")).alias("f"))
-    open_ = open_.join(main.withColumn("kf", F.expr(f"cast(ceil(f / {chunk // 2}) as int)")), "bucket")
-    minor = open_.where("class <> main").withColumn("i", F.expr("pmod(hash(vertex, 1), kf)")).select("bucket", "i", F.explode(F.expr("sequence(0, k - 1)")).alias("j"), F.lit(1).alias("side"), "vertex", "class")
-    every = open_.select("bucket", F.explode(F.expr("sequence(0, kf - 1)")).alias("i"), F.col("chunk").alias("j"), F.lit(2).alias("side"), "vertex", "class")
-    pairs_ = minor.unionByName(every).join(bags, "vertex")
-    more = pairs_.groupBy("bucket", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long")
-    final = components(links.unionByName(more), "final")
+    found = cut(components(stars), "classes")
+    families = _open(buckets, found)
+    block = lambda rows: rows.join(bags, "vertex").groupBy("family", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long")
+    dealt = _dealt(families, found, 2 * chunk).select("family", F.lit(0).alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"), "vertex", "class")
+    links = cut(stars.unionByName(block(dealt)), "links")
+    # what is still apart: every member outside a family's largest class against all members of the family, in blocks
+    apart = cut(_dealt(families, components(links), chunk), "apart")
+    size = apart.groupBy("family", "class").agg(F.count("*").alias("c"))
+    main = size.groupBy("family").agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.expr(f"cast(ceil((sum(c) - max(c)) / {chunk}) as int)").alias("kf"))
+    apart = apart.join(main, "family")
+    minor = apart.where("class <> main").withColumn("i", F.expr("pmod(hash(vertex, 1), kf)")).select("family", "i", F.explode(F.expr("sequence(0, k - 1)")).alias("j"), F.lit(1).alias("side"), "vertex", "class")
+    every = apart.select("family", F.explode(F.expr("sequence(0, kf - 1)")).alias("i"), F.col("chunk").alias("j"), F.lit(2).alias("side"), "vertex", "class")
+    final = components(links.unionByName(block(minor.unionByName(every))), "final")
     named = vertices.select("vertex", "text_key", "first_id").join(final, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
     named = cut(named.select("text_key", "first_id", "class"), "named")
     first = named.groupBy("class").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n_texts"))
