@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import U64
@@ -28,15 +29,27 @@ def copies(source: DataFrame) -> DataFrame:
     return one.join(group, "copy").select("k", "n", (F.col("k") != F.col("least")).alias("spare"))
 
 
-def ties(entries: DataFrame, spare: DataFrame | None = None) -> DataFrame:
-    """(k, pos, n) of the entries (h, k, pos) whose h stands n > 1 times.
+ENTRY = "h long, k long, pos array<int>"
 
-    Counting combines before the shuffle, and the way back is a join that splits a hot h; no group is gathered.
+
+def entries(h: np.ndarray, row: np.ndarray, k: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """A row for each hash of each text, with all its positions: a text that repeats itself gives one row, not many."""
+    order = np.lexsort([pos, h, row])
+    h, row, pos = h[order], row[order], pos[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)), pa.int32()), pa.array(pos.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(h[new].astype(np.int64)), pa.array(k[row[new]]), lists], names=["h", "k", "pos"])
+
+
+def ties(found: DataFrame, spare: DataFrame | None = None) -> DataFrame:
+    """(k, pos, n) of the entries whose hash stands n > 1 times in all.
+
+    Counting combines before the shuffle, and the way back is a join that splits a hot hash; no group is gathered.
     """
     if spare is not None:
-        entries = entries.join(spare, "k", "left_anti")
-    often = entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return entries.join(often, "h").select("k", "pos", "n")
+        found = found.join(spare, "k", "left_anti")
+    often = found.groupBy("h").agg(F.sum(F.size("pos")).alias("n")).where("n > 1")
+    return found.join(often, "h").select("k", "pos", "n")
 
 
 def by_row(tied: DataFrame) -> DataFrame:
@@ -74,14 +87,15 @@ def pick_runs(h: np.ndarray, gram: int, window: int, off: np.ndarray) -> tuple[n
     return row[new], pick[new], start[new], start[np.append(new[1:], total) - 1]
 
 
-def marked(part, off: np.ndarray, n: int) -> np.ndarray:
+def marked(part: pa.RecordBatch, off: np.ndarray, n: int) -> np.ndarray:
     """Tie count by position of the block, from the rows' ``tied`` lists."""
     tied = part.column(part.schema.get_field_index("tied"))
-    lengths = np.diff(tied.offsets.to_numpy())
     flat = tied.flatten()
-    pos, count = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    lists, count = flat.field(0), flat.field(1).to_numpy()
+    size = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(part.num_rows), np.diff(tied.offsets.to_numpy()))
     out = np.zeros(n, np.int64)
-    out[pos + np.repeat(off[:-1], lengths)] = count
+    out[lists.flatten().to_numpy() + np.repeat(off[:-1][row], size)] = np.repeat(count, size)
     return out
 
 

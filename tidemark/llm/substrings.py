@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import blocks, prefix_hash, window_hash, words
-from tidemark.llm.repeats import candidates, copies, keyed, marked, pick_runs, ties
+from tidemark.llm.repeats import ENTRY, candidates, copies, entries, keyed, marked, pick_runs, ties
 from tidemark.session import cut
 
 WINDOW = 35
-_ENTRY = "h long, k long, pos int"
 
 
 def lengths(window: int) -> list[int]:
@@ -38,10 +37,6 @@ def lengths(window: int) -> list[int]:
     return out
 
 
-def _entries(h: np.ndarray, k: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(k), pa.array(pos.astype(np.int32))], names=["h", "k", "pos"])
-
-
 def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, before: int | None) -> Iterator[pa.RecordBatch]:
     """What one level tests, as (hash, row, window position). With ``before``, only windows whose part of that length is tied."""
     for part, raw, off in blocks(batches):
@@ -62,7 +57,7 @@ def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, b
         if live is not None and length == window:
             pos = np.flatnonzero(live)
             row = np.searchsorted(woff, pos, "right") - 1
-            yield _entries(window_hash(prefix, window)[pos], k[row], pos - woff[row])
+            yield entries(window_hash(prefix, window)[pos], row, k, pos - woff[row])
             continue
         h = window_hash(prefix, length)
         row, pick, first, last = pick_runs(h, length, window, woff)
@@ -70,7 +65,7 @@ def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, b
             seen = np.concatenate([[0], np.cumsum(live)])
             ok = seen[last + 1] > seen[first]
             row, pick = row[ok], pick[ok]
-        yield _entries(h[pick], k[row], pick - woff[row])
+        yield entries(h[pick], row, k, pick - woff[row])
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +112,11 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     copied = cut(copies(source), "copies")
     spare = copied.where("spare").select("k").distinct()
     levels = lengths(window)
-    first = cut(source.select("k", "text").mapInArrow(lambda it: level_entries(it, window, levels[0], None), _ENTRY), "level")
+    first = cut(source.select("k", "text").mapInArrow(lambda it: level_entries(it, window, levels[0], None), ENTRY), "level")
     rows = candidates(source, ties(first, spare), "rows")
     for before, length in zip(levels, levels[1:], strict=False):
-        entries = cut(rows.mapInArrow(lambda it, b=before, n=length: level_entries(it, window, n, b), _ENTRY), "level")
-        rows = candidates(rows, ties(entries), "rows")
+        level = cut(rows.mapInArrow(lambda it, b=before, n=length: level_entries(it, window, n, b), ENTRY), "level")
+        rows = candidates(rows, ties(level), "rows")
     return source, rows, copied
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import BYTE, U64, blocks, prefix_hash, spread, window_hash
-from tidemark.llm.repeats import by_row, candidates, copies, keyed, marked, pick_runs, ties, union_of
+from tidemark.llm.repeats import ENTRY, by_row, candidates, copies, entries, keyed, marked, pick_runs, ties, union_of
 from tidemark.session import cut
 
 WINDOW = 400
@@ -154,16 +154,15 @@ def bucket_repeats(table: pa.Table, window: int) -> pa.Table:
     Equal byte runs from different places are laid into the bucket's text once: all their windows are repeated.
     """
     first: dict[bytes, int] = {}
-    whole = table.column("bytes").to_pylist()
+    whole, places, k = table.column("bytes").to_pylist(), table.column("pos").to_pylist(), table.column("k").to_numpy()
     own = np.array([first.setdefault(x, i) for i, x in enumerate(whole)], np.int64)
-    copies = np.bincount(own, minlength=len(whole))
+    copies = np.bincount(own, [len(p) for p in places], len(whole)).astype(np.int64)
     one = np.flatnonzero(own == np.arange(len(whole)))
     size = np.array([len(whole[i]) for i in one], np.int64)
     off = np.concatenate([[0], np.cumsum(size)])
     text = np.frombuffer(b"".join([*(whole[i] for i in one), bytes(V + 16)]), np.uint8)
     count = size - window + 1
-    context = np.repeat(np.arange(len(one)), count)
-    suffix = off[context] + spread(count)
+    suffix = off[np.repeat(np.arange(len(one)), count)] + spread(count)
     ordered, equal = sort_bucket(text, int(off[-1]), suffix, window)
     hit = equal | np.append(equal[1:], False)
     found = np.sort(ordered[hit])
@@ -173,39 +172,44 @@ def bucket_repeats(table: pa.Table, window: int) -> pa.Table:
     new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1] + 1) | (context[1:] != context[:-1])])) if len(found) else np.empty(0, np.int64)
     length = np.diff(np.append(new, len(found)))
     c = one[context[new]]
-    k, start = table.column("k").to_numpy(), table.column("pos").to_numpy()
     full = np.flatnonzero(copies[own] > 1)
+    m = np.array([len(places[i]) for i in full], np.int64)
     return pa.table({
-        "k": pa.array(np.concatenate([k[c], k[full]])),
-        "pos": pa.array(np.concatenate([start[c] + found[new] - off[context[new]], start[full]]).astype(np.int32)),
-        "n": pa.array(np.concatenate([length, np.array([len(whole[i]) - window + 1 for i in full], np.int64)]), pa.int64()),
+        "k": pa.array(np.concatenate([k[c], np.repeat(k[full], m)])),
+        "pos": pa.array(np.concatenate([np.array([places[i][0] for i in c], np.int64) + found[new] - off[context[new]], np.array([x for i in full for x in places[i]], np.int64)]).astype(np.int32)),
+        "n": pa.array(np.concatenate([length, np.repeat(np.array([len(whole[i]) - window + 1 for i in full], np.int64), m)]), pa.int64()),
     })
 
 
 def pick_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for part, raw, off in blocks(batches, limit=2 << 20):
+    for part, raw, off in blocks(batches):
         if len(raw) < window:
             continue
         h = window_hash(prefix_hash(BYTE[raw]), gram)
         row, pick, _, _ = pick_runs(h, gram, window, off)
-        k = part.column(part.schema.get_field_index("k")).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(h[pick].astype(np.int64)), pa.array(k[row]), pa.array((pick - off[row]).astype(np.int32))], names=["h", "k", "pos"])
+        yield entries(h[pick], row, part.column(part.schema.get_field_index("k")).to_numpy(), pick - off[row])
 
 
 def contexts(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For tied picks of at most ``hot`` places: the bytes their windows reach over, by bucket."""
+    """For tied picks of at most ``hot`` places: the bytes their windows reach over, by bucket; once for a text that repeats them."""
     for part, raw, off in blocks(batches, limit=1 << 20):
         if len(raw) < window:
             continue
         h = window_hash(prefix_hash(BYTE[raw]), gram)
         row, pick, first, last = pick_runs(h, gram, window, off)
         n = marked(part, off, len(raw))[pick]
-        cool = np.flatnonzero((n > 0) & (n <= hot))
         k = part.column(part.schema.get_field_index("k")).to_numpy()
-        data = pa.array([raw[a:b].tobytes() for a, b in zip(first[cool], last[cool] + window, strict=True)], pa.binary())
+        seen: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
+        for i in np.flatnonzero((n > 0) & (n <= hot)).tolist():
+            a, r = int(first[i]), int(row[i])
+            seen.setdefault((r, raw[a : int(last[i]) + window].tobytes()), (int(h[pick[i]]) % buckets, []))[1].append(a - int(off[r]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array((h[pick[cool]] % U64(buckets)).astype(np.int32)), pa.array(k[row[cool]]), pa.array((first[cool] - off[row[cool]]).astype(np.int32)), data], names=["bucket", "k", "pos", "bytes"]
-        )
+            [
+                pa.array([b for b, _ in seen.values()], pa.int32()), pa.array([int(k[r]) for r, _ in seen], pa.int64()),
+                pa.array([p for _, p in seen.values()], pa.list_(pa.int32())), pa.array([x for _, x in seen], pa.binary()),
+            ],
+            names=["bucket", "k", "pos", "bytes"],
+        )
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot: int) -> Iterator[pa.RecordBatch]:
@@ -219,8 +223,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot:
         warm = np.flatnonzero(n[pick] > hot)
         size = last[warm] - first[warm] + 1
         at, r = np.repeat(first[warm], size) + spread(size), np.repeat(row[warm], size)
-        k = part.column(part.schema.get_field_index("k")).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(window_hash(prefix, window)[at].astype(np.int64)), pa.array(k[r]), pa.array((at - off[r]).astype(np.int32))], names=["h", "k", "pos"])
+        yield entries(window_hash(prefix, window)[at], r, part.column(part.schema.get_field_index("k")).to_numpy(), at - off[r])
 
 
 def _cut_bytes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -249,16 +252,16 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     source = keyed(docs)
     copied = cut(copies(source), "copies")
     spare = copied.where("spare").select("k").distinct()
-    picks = cut(source.select("k", "text").mapInArrow(lambda it: pick_entries(it, window, gram), "h long, k long, pos int"), "picks")
+    picks = cut(source.select("k", "text").mapInArrow(lambda it: pick_entries(it, window, gram), ENTRY), "picks")
     tied = cut(ties(picks, spare), "tied")
     reach = tied.where(F.col("n") <= hot).count() * (window + (window - gram) // 2)
     buckets = max(1, -(-reach // bucket_bytes))
     rows = candidates(source, tied, "rows")
-    found = rows.mapInArrow(lambda it: contexts(it, window, gram, hot, buckets), "bucket int, k long, pos int, bytes binary")
+    found = rows.mapInArrow(lambda it: contexts(it, window, gram, hot, buckets), "bucket int, k long, pos array<int>, bytes binary")
     sorted_ = found.groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t.drop_columns(["bucket"]), window), "k long, pos int, n long")
     busy = rows.where(F.exists("tied", lambda t: t["n"] > hot))
-    windows = cut(busy.mapInArrow(lambda it: fingerprints(it, window, gram, hot), "h long, k long, pos int"), "windows")
-    counted = ties(windows).select("k", "pos", F.lit(1).cast("long").alias("n"))
+    windows = cut(busy.mapInArrow(lambda it: fingerprints(it, window, gram, hot), ENTRY), "windows")
+    counted = ties(windows).select("k", F.explode("pos").alias("pos"), F.lit(1).cast("long").alias("n"))
     starts = by_row(sorted_.unionByName(counted))
     return source, rows.drop("tied").join(starts, "k"), copied
 
