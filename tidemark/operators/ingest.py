@@ -38,7 +38,7 @@ def behavior_events(raw: DataFrame) -> DataFrame:
 def category_paths(categories: DataFrame, depth: int = 16) -> DataFrame:
     """category_id, path: names from the root down, joined by ' > '.
 
-    A hop that is missing, or a missing name, gives a null path; a cycle (a walk longer than ``depth``) is an error.
+    A hop that is missing, or a missing name, gives a null path; a cycle is an error, and so is a tree deeper than ``depth``.
     The walk joins the small tree with itself level by level.
     """
     tree = categories.select("category_id", "parent_id", "level", "name")
@@ -49,14 +49,18 @@ def category_paths(categories: DataFrame, depth: int = 16) -> DataFrame:
     for _ in range(depth):
         if open_.isEmpty():
             break
+        if not open_.where(F.array_contains("seen", F.col("next"))).isEmpty():
+            raise ValueError("the category tree has a cycle")
         met = open_.join(up, open_["next"] == up["c"], "left")
-        met = met.withColumn("n", F.when(F.array_contains("seen", F.col("next")), F.raise_error(F.lit("the category tree has a cycle"))).otherwise(F.col("n")))
         step = met.select(
             "category_id", F.concat(F.array("n"), "names").alias("names"), F.concat("seen", F.array("next")).alias("seen"),
             (F.col("c").isNull() | (F.col("l") == 1) | (F.col("p") == F.col("c"))).alias("done"), F.col("p").alias("next"),
         )
         done = done.unionByName(step.where("done").select("category_id", "names"))
         open_ = step.where("not done")
+    else:
+        if not open_.isEmpty():
+            raise ValueError(f"the category tree is deeper than {depth}")
     path = F.when(~F.exists("names", lambda x: x.isNull()), F.array_join("names", " > "))
     return done.select("category_id", path.alias("path"))
 
