@@ -3,7 +3,9 @@
 import pytest
 
 from tests.oracle import connect, same
+from tidemark.operators import sequences
 from tidemark.plans import registry
+from tidemark.sources import driver_tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -16,8 +18,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_duckdb(spark, con, name):
-    if name in ("dev_candidates", "agent_input"):
-        pytest.skip("the catalog of this scale has too few items; see test_candidates")
     same(spark, con, SF, QUERIES[name], ORACLES[name])
 
 
@@ -27,8 +27,11 @@ def test_runs(spark, name):
 
 
 def test_too_few_negatives_is_an_error(spark):
+    parts = sequences.split(driver_tables.large_events(spark, SF))
+    vocab = sequences.vocabulary(parts)
+    held = sequences.targets(parts, vocab, "demo")
     with pytest.raises(Exception, match="too few negatives"):
-        QUERIES["dev_candidates"](spark, SF).count()
+        sequences.development_candidates(held, sequences.seen_items(parts), vocab, negatives=10_000).count()
 
 
 def test_entry(spark):
