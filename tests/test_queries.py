@@ -34,6 +34,11 @@ def test_too_few_negatives_is_an_error(spark):
         sequences.development_candidates(held, sequences.seen_items(parts), vocab, negatives=10_000).count()
 
 
+def test_keyed_lookup_asks_for_the_customers_of_all_orders(spark, con):
+    every = "SELECT row_number() OVER (ORDER BY k DESC) - 1 AS place, k AS c_custkey, c_name FROM (SELECT DISTINCT o_custkey AS k FROM orders) JOIN customer ON c_custkey = k"
+    same(spark, con, SF, QUERIES["keyed_lookup"], every)
+
+
 def test_entry(spark):
     import __spark_entry__
 
