@@ -116,6 +116,13 @@ def test_constraints_fire(spark):
     assert [r.k for r in C.scattered(scattered, ["k"], "o").collect()] == ["x"]
 
 
+def test_order_ties_are_broken(spark):
+    rows = [("a", 1, 2, 5), ("a", 1, 1, 9), ("a", 2, 0, 7), ("b", 1, 1, 3), ("b", 1, 2, 4)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "g string, i long, j long, t long")
+        assert [(r.g, r.i, r.j) for r in C.out_of_order(df, "t", ["i", "j"], "g").collect()] == [("a", 1, 2)]
+
+
 def test_label_precedence(spark):
     rows = spark.createDataFrame([(True, 9.0, True), (False, 3.0, False), (False, 3.1, False), (False, None, True), (False, None, False)], "hate boolean, value double, action boolean")
     assert [r.label for r in Q.labelled(rows).collect()] == [K.NEGATIVE, K.PASSIVE, K.POSITIVE, K.POSITIVE, K.PASSIVE]

@@ -11,8 +11,8 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def out_of_order(df: DataFrame, by: str, ordinal: str, partition: str | None = None) -> DataFrame:
-    """Rows whose key is below the one before, in ordinal order (of each partition)."""
+def out_of_order(df: DataFrame, by: str, ordinal: str | list[str], partition: str | None = None) -> DataFrame:
+    """Rows whose key is below the one before, in ordinal order (of each partition); further ordinals break ties."""
     w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(ordinal)
     return df.withColumn("before", F.lag(by).over(w)).where(F.col(by) < F.col("before"))
 

@@ -223,6 +223,8 @@ SQL: dict[str, str] = {
     "replay_violations": "SELECT CAST(0 AS BIGINT) AS run_id, CAST(0 AS INT) AS decision_index, '' AS problem WHERE false",
     "coverage_diff": "SELECT o_orderkey AS k, 'missing' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'extra' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     "check_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "check_order": """SELECT l_orderkey, count(*) AS n FROM (SELECT l_orderkey, l_shipdate, lag(l_shipdate) OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_shipdate NULLS FIRST) AS before FROM lineitem) WHERE l_shipdate < before GROUP BY l_orderkey""",
     "check_reference": "SELECT doc_id FROM labels WHERE doc_id % 2 <> 0 OR doc_id NOT IN (SELECT doc_id FROM documents)",
     "check_contiguous": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 0 OR max(l_linenumber) <> count(*) - 1 OR count(DISTINCT l_linenumber) <> count(*)",
     "check_timed": "SELECT user_id, count(*) FILTER (event_id % 50 <> 0) AS timed, count(*) AS n FROM events GROUP BY 1 HAVING timed NOT IN (0, n)",
