@@ -39,6 +39,18 @@ def test_keyed_lookup_asks_for_the_customers_of_all_orders(spark, con):
     same(spark, con, SF, QUERIES["keyed_lookup"], every)
 
 
+def test_padded_history_keeps_the_last_fifty_known_items(spark):
+    parts = sequences.split(driver_tables.small_events(spark, SF))
+    known = {r.item_id: r.model_index for r in sequences.vocabulary(parts).collect()}
+    want = {}
+    for r in sequences.histories(parts).collect():
+        kept = [known[h.item_id] for h in r.history if h.item_id in known][-50:]
+        if kept:
+            want[r.user_id, r.split] = [0] * (50 - len(kept)) + kept
+    got = {(r.user_id, r.split): [int(x) for x in r.padded.split(",")] for r in QUERIES["padded_history"](spark, SF).collect()}
+    assert got == want and max(sum(x > 0 for x in v) for v in got.values()) > 20
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -92,7 +92,7 @@ def padded_history(spark, d):
     parts, vocab, _ = _held(spark, d)
     h = Q.histories(parts).select("user_id", "split", F.posexplode("history").alias("i", "h")).select("user_id", "split", "i", "h.item_id")
     listed = h.join(vocab, "item_id").groupBy("user_id", "split").agg(F.array_sort(F.collect_list(F.struct("i", "model_index"))).alias("x"))
-    return listed.select("user_id", "split", F.array_join(S.padded(F.col("x.model_index"), 20), ",").alias("padded"))
+    return listed.select("user_id", "split", F.array_join(S.padded(F.col("x.model_index")), ",").alias("padded"))
 
 
 def seen_in_vocab(spark, d):
