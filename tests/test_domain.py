@@ -1,5 +1,6 @@
 """Small known answers, broken inputs, tampering and whole lifecycles."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -128,6 +129,29 @@ def test_label_precedence(spark):
     assert [r.label for r in Q.labelled(rows).collect()] == [K.NEGATIVE, K.PASSIVE, K.POSITIVE, K.POSITIVE, K.PASSIVE]
 
 
+def test_negatives_of_users_who_hold_nearly_everything(spark):
+    n, held = 400, {"hot": set(range(2, 401)), "warm": set(range(1, 391)), "cool": {7}}
+    samples = [(f"s{u}{i}", u) for u in held for i in range(12)]
+    own = spark.createDataFrame([(u, i) for u, x in held.items() for i in x], "user_id string, model_index long")
+    vocab = spark.range(1, n + 1).select(F.col("id").alias("model_index"))
+    want = {}
+    for s, u in samples:
+        counter = 0
+        while True:
+            text = f'{{"counter":{counter},"epoch":1,"negative_index":0,"recipe":"{K.NEGATIVE_RECIPE}","sample_id":"{s}","training_seed":7}}\n'
+            found = int(hashlib.sha256(text.encode()).hexdigest()[:16], 16) % n + 1
+            if found not in held[u]:
+                break
+            counter += 1
+        want[s] = (counter, found)
+    given = spark.createDataFrame(samples, "sample_id string, user_id string")
+    got = Q.training_negatives(given, own, vocab, 7, 1)
+    assert {r.sample_id: (r.counter, r.model_index) for r in got.collect()} == want and max(want.values())[0] > 128
+    everything = own.unionByName(spark.createDataFrame([("hot", 1)], own.schema))
+    with pytest.raises(Exception, match="whole vocabulary"):
+        Q.training_negatives(given, everything, vocab, 7, 1).collect()
+
+
 def test_category_cycle_is_an_error(spark):
     tree = spark.createDataFrame([("a", "b", 2, "A"), ("b", "a", 2, "B"), ("c", "x", 2, "C")], "category_id string, parent_id string, level int, name string")
     assert [r.path for r in ingest.category_paths(tree.where("category_id = 'c'")).collect()] == [None]

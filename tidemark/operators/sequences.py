@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import constants as K
@@ -137,15 +141,39 @@ def epoch_order(samples: DataFrame, training_seed: int, epoch: int) -> DataFrame
 def training_negatives(samples: DataFrame, own: DataFrame, vocab: DataFrame, training_seed: int, epoch: int, tries: int = 128) -> DataFrame:
     """sample_id, counter, model_index: the first digest draw that is not among the user's train items (own: user_id, model_index).
 
-    ``tries`` draws are looked at; a sample that finds none (a chance below 2^-100 while the user has seen less than
-    half of the vocabulary) is an error, not a shorter answer.
+    The first ``tries`` draws are columns; the samples that are still open after them (users who hold nearly the whole
+    vocabulary) go on from there in Arrow batches until one is found. Only a user who holds all of it is an error.
     """
-    size = F.lit(vocab.count()).cast("bigint")
+    n = vocab.count()
+    size = F.lit(n).cast("bigint")
     excluded = own.groupBy("user_id").agg(F.collect_set("model_index").alias("excluded"))
     draws = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda c: F.struct(c.alias("counter"), (_draw(c, training_seed, epoch, size) + 1).alias("model_index")))
-    first = F.element_at(F.filter(draws, lambda d: ~F.array_contains("excluded", d["model_index"])), 1)
-    out = samples.join(excluded, "user_id").withColumn("draw", first)
-    return out.select("sample_id", "draw.counter", F.when(F.col("draw").isNull(), F.raise_error(F.lit("no negative found")).cast("bigint")).otherwise(F.col("draw.model_index")).alias("model_index"))
+    first = F.get(F.filter(draws, lambda d: ~F.array_contains("excluded", d["model_index"])), F.lit(0))
+    drawn = cut(samples.join(excluded, "user_id").select("sample_id", "user_id", first.alias("draw")), "draws")
+    open_ = drawn.where("draw is null").select("sample_id", "user_id").join(excluded, "user_id")
+    later = open_.mapInArrow(lambda batches: _draw_on(batches, tries, training_seed, epoch, n), "sample_id string, counter int, model_index long")
+    return drawn.where("draw is not null").select("sample_id", "draw.counter", "draw.model_index").unionByName(later)
+
+
+def _draw_on(batches: Iterator[pa.RecordBatch], counter: int, seed: int, epoch: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same draws as ``_draw``, from ``counter`` on, for rows of sample_id and excluded."""
+    for batch in batches:
+        out = []
+        for sample_id, excluded in zip(batch.column("sample_id").to_pylist(), batch.column("excluded"), strict=True):
+            held = {i for i in excluded.as_py() if 1 <= i <= size}
+            if len(held) >= size:
+                raise ValueError(f"no negative found for {sample_id}: the user holds the whole vocabulary")
+            at, found = counter, None
+            while found is None or found in held:
+                found = int(sha256(_draw_text(str(at), sample_id, seed, epoch).encode()).hexdigest()[:16], 16) % size + 1
+                at += 1
+            out.append((sample_id, at - 1, found))
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["sample_id", "counter", "model_index"])
+
+
+def _draw_text(counter: str, sample_id: str, seed: int, epoch: int) -> str:
+    return f'{{"counter":{counter},"epoch":{epoch},"negative_index":0,"recipe":"{K.NEGATIVE_RECIPE}","sample_id":"{sample_id}","training_seed":{seed}}}\n'
 
 
 def _draw(counter: Column, seed: int, epoch: int, size: Column) -> Column:
