@@ -1,9 +1,10 @@
 """Every domain query with SQL against DuckDB; the others for their shape."""
 
+import numpy as np
 import pytest
 
 from tests.oracle import connect, same
-from tidemark.operators import sequences
+from tidemark.operators import sasrec, sequences
 from tidemark.plans import registry
 from tidemark.sources import driver_tables
 
@@ -51,6 +52,23 @@ def test_padded_history_keeps_the_last_fifty_known_items(spark):
     assert got == want and max(sum(x > 0 for x in v) for v in got.values()) > 20
 
 
+def test_sequence_scores_come_from_the_sequence_model(spark):
+    parts = sequences.split(driver_tables.small_events(spark, SF))
+    known = {r.item_id: r.model_index for r in sequences.vocabulary(parts).collect()}
+    weights = sasrec.random_weights(len(known), length=50)
+    want, most = {}, 0
+    for r in sequences.histories(parts).where("split = 'test'").collect():
+        own = [known[h.item_id] for h in r.history if h.item_id in known]
+        most = max(most, len(own))
+        score = (sasrec.encode(np.array([[0] * (50 - len(own[-50:])) + own[-50:]]), weights) @ weights["item"].T)[0]
+        want[r.user_id] = sorted((score[i] for i in known.values() if i not in own), reverse=True)[:10]
+    got = {}
+    for r in QUERIES["sequence_scores"](spark, SF).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.score)
+    assert most > 50 and got.keys() == {u for u, x in want.items() if x}
+    assert all(np.allclose(got[u], want[u], atol=2e-6) for u in got)
+
+
 def test_entry(spark):
     import __spark_entry__
 

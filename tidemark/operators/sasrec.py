@@ -41,18 +41,27 @@ def encode(history: np.ndarray, w: dict) -> np.ndarray:
     return _norm(x, w["norm"])[:, -1]
 
 
-def score_users(histories: DataFrame, weights: dict, k: int = 10) -> DataFrame:
-    """user_id, model_index, score, rank from histories (user_id, padded array): best unseen items, ties by index."""
+def score_users(histories: DataFrame, weights: dict, k: int = 10, cells: int = 4_000_000) -> DataFrame:
+    """user_id, model_index, score, rank from histories (user_id, padded array, and seen array if there are more items to leave out).
+
+    The best unseen items, ties by index, fewer where fewer are unseen. ``cells`` scores are held at once.
+    """
     shared = histories.sparkSession.sparkContext.broadcast(weights)
+    more = ["seen"] if "seen" in histories.columns else []
+    users = max(1, min(128, cells // len(weights["item"])))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[at : at + users] for whole in batches for at in range(0, len(whole), users)):
             history = np.stack(pdf.padded.to_list()).astype(np.int64)
             score = encode(history, shared.value) @ shared.value["item"].T
             score[:, 0] = -np.inf
             np.put_along_axis(score, history, -np.inf, 1)
+            for row, seen in zip(score, pdf.seen if more else [], strict=False):
+                row[np.asarray(seen, np.int64)] = -np.inf
             top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            rows, place = np.repeat(np.arange(len(pdf)), k), np.tile(np.arange(1, k + 1), len(pdf))
-            yield pd.DataFrame({"user_id": pdf.user_id.to_numpy()[rows], "model_index": top.ravel(), "score": score[rows, top.ravel()].astype(float), "rank": place})
+            n = top.shape[1]
+            rows, place = np.repeat(np.arange(len(pdf)), n), np.tile(np.arange(1, n + 1), len(pdf))
+            found = score[rows, top.ravel()].astype(float)
+            yield pd.DataFrame({"user_id": pdf.user_id.to_numpy()[rows], "model_index": top.ravel(), "score": found, "rank": place})[np.isfinite(found)]
 
-    return histories.select("user_id", "padded").mapInPandas(one, "user_id string, model_index long, score double, rank long")
+    return histories.select("user_id", "padded", *more).mapInPandas(one, "user_id string, model_index long, score double, rank long")

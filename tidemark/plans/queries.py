@@ -88,11 +88,16 @@ def history_fingerprint(spark, d):
     return h.select("user_id", "split", S.stable_id("", recipe=F.lit("history-v1"), items=F.col("history.item_id"), user_id=F.col("user_id")).alias("fingerprint"))
 
 
-def padded_history(spark, d):
-    parts, vocab, _ = _held(spark, d)
+def _known(parts, vocab):
+    """user_id, split, known: model indexes of each history's known items in order."""
     h = Q.histories(parts).select("user_id", "split", F.posexplode("history").alias("i", "h")).select("user_id", "split", "i", "h.item_id")
     listed = h.join(vocab, "item_id").groupBy("user_id", "split").agg(F.array_sort(F.collect_list(F.struct("i", "model_index"))).alias("x"))
-    return listed.select("user_id", "split", F.array_join(S.padded(F.col("x.model_index")), ",").alias("padded"))
+    return listed.select("user_id", "split", F.col("x.model_index").alias("known"))
+
+
+def padded_history(spark, d):
+    parts, vocab, _ = _held(spark, d)
+    return _known(parts, vocab).select("user_id", "split", F.array_join(S.padded(F.col("known")), ",").alias("padded"))
 
 
 def seen_in_vocab(spark, d):
@@ -414,15 +419,13 @@ def memory_view(spark, d):
 
 
 def sequence_scores(spark, d):
-    """Ten best unseen items for each user by dot product with the mean of the recent vectors, scored in Arrow batches."""
-    from tidemark.operators.scoring import score_catalog
+    """Ten best unseen items for each user by the sequence model over the last 50 known items, with fixed weights (untrained)."""
+    from tidemark.operators import sasrec
 
-    parts = _split(spark, d)
-    vectors = _vectors(spark, d).select(F.concat(F.lit("item:"), "vec_id").alias("item_id"), "vector")
-    h = Q.histories(parts).where("split = 'test'").select("user_id", F.explode(F.slice("history", F.greatest(F.size("history") - 4, F.lit(1)), 5)).alias("h")).select("user_id", "h.item_id")
-    users = V.weighted_centroid(h.join(vectors, "item_id").withColumn("w", F.lit(1.0)), ["user_id"], "vector", "w")
-    seen = Q.seen_items(parts).where("split = 'test'").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    return score_catalog(users.join(seen, "user_id", "left"), vectors, 10)
+    parts, vocab, _ = _held(spark, d)
+    users = _known(parts, vocab).where("split = 'test'").select("user_id", S.padded(F.col("known")).alias("padded"), F.array_distinct("known").alias("seen"))
+    scored = sasrec.score_users(users, sasrec.random_weights(vocab.count(), length=K.MAX_HISTORY), 10)
+    return scored.join(vocab, "model_index").select("user_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- decision loop
