@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
 from tidemark.operators import sasrec, sequences
@@ -69,6 +70,15 @@ def test_sequence_scores_come_from_the_sequence_model(spark):
     assert all(np.allclose(got[u], want[u], atol=2e-6) for u in got)
 
 
+def test_every_candidate_of_a_large_run_has_a_rank(spark, monkeypatch):
+    n = 1_000_001
+    c = spark.range(n).select(F.lit(1).cast("bigint").alias("run_id"), F.when(F.col("id") == 0, "item:5").otherwise(F.concat(F.lit("other:"), "id")).alias("item_id"), F.col("id").cast("double").alias("score"))
+    s = spark.createDataFrame([(1, "item:5", "segment_1", 0.5, "failed")], "run_id long, item_id string, segment_id string, value double, status string")
+    monkeypatch.setattr(driver_tables, "scenario", lambda *_: (c, s))
+    assert QUERIES["current_rank"](spark, SF).agg(F.count("*"), F.max("rank")).first() == (n, n)
+    assert [r["rank"] for r in QUERIES["recommendation_state"](spark, SF).collect()] == [n]
+
+
 def test_entry(spark):
     import __spark_entry__
 

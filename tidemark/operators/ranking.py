@@ -64,10 +64,11 @@ def rank_metrics(ranked: DataFrame) -> DataFrame:
     )
 
 
-def best_by_score(scores: DataFrame, key: str, k: int) -> DataFrame:
-    """The k best rows of each key by (-score, item_id), ranked."""
+def best_by_score(scores: DataFrame, key: str, k: int | None) -> DataFrame:
+    """The k best rows of each key by (-score, item_id), ranked; all rows where k is None."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "item_id"))
-    return scores.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", rank.cast("bigint"))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def top_margin(ranked: DataFrame, key: str) -> DataFrame:

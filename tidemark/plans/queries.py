@@ -182,7 +182,7 @@ def topk_by_score(spark, d):
 
 
 def current_rank(spark, d):
-    return R.best_by_score(T.scenario(spark, d)[0], "run_id", 1_000_000).select("run_id", "item_id", "rank")
+    return R.best_by_score(T.scenario(spark, d)[0], "run_id", None).select("run_id", "item_id", "rank")
 
 
 def top_margin(spark, d):
@@ -494,7 +494,7 @@ def recommendation_state(spark, d):
     c, s = T.scenario(spark, d)
     n = s.groupBy("run_id", "item_id").agg(F.count("*").alias("segments"), F.count_if(F.expr("status = 'failed'")).alias("failures"))
     part = table(spark, d, "part").select(F.concat(F.lit("item:"), "p_partkey").alias("item_id"), F.col("p_brand").alias("feature"))
-    ranked = R.best_by_score(c, "run_id", 1_000_000)
+    ranked = R.best_by_score(c, "run_id", None)
     return ranked.join(n, ["run_id", "item_id"]).join(part, "item_id").select("run_id", "item_id", "rank", "score", "segments", "failures", "feature")
 
 
