@@ -79,6 +79,12 @@ def test_every_candidate_of_a_large_run_has_a_rank(spark, monkeypatch):
     assert [r["rank"] for r in QUERIES["recommendation_state"](spark, SF).collect()] == [n]
 
 
+def test_bench_keeps_its_slow_queries():
+    import bench
+
+    assert {"mostpop_top100", "train_negatives", "item_catalog", "memory_audit", "replay_violations"} <= set(bench.HEADLINE)
+
+
 def test_entry(spark):
     import __spark_entry__
 
