@@ -312,6 +312,12 @@ def test_search(frame):
     assert search.search(frame(rows).limit(0), F.col("doc_id") % 10 == 0).count() == 0
 
 
+def test_search_takes_every_text_of_a_query_id(frame):
+    rows = [(100, "w1"), (100, "w2 w2"), (100, "w2 w2"), (1, "w1"), (2, "w2"), (3, "w2 w3")]
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in search.search(frame(rows), F.col("doc_id") % 100 == 0).collect())
+    assert got == [(100, 1, 1), (100, 1, 2), (100, 2, 3)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

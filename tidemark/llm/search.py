@@ -20,7 +20,8 @@ Words are runs of letters, digits and non-ASCII, in lower case. A document is no
 only scores above 0 are hits; equal scores (at nine decimals) are in order of doc_id, nulls last.
 
 Defined results: a null or empty text is indexed with length 0 and never a hit, and as a query it has none; repeated
-rows are hits each; repeated query ids are searched once, with the text that sorts first; other columns are ignored.
+rows are hits each; each distinct text of a query id
+is searched, with ranks of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -246,10 +247,11 @@ def _search(batches: Iterator[pa.RecordBatch], block: dict, k: int, stats: dict)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat(block["query_id"], size)),
+                pa.array(np.repeat(block["text_key"], size)),
                 pa.array(np.concatenate([d for _, d, _ in best]), mask=np.concatenate([z for _, _, z in best])),
                 pa.array(np.concatenate([s for s, _, _ in best])),
             ],
-            names=["query_id", "doc_id", "score"],
+            names=["query_id", "text_key", "doc_id", "score"],
         )
 
 
@@ -258,14 +260,15 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, term, count, _ = term_counts(raw, off)
         ptr = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.ListArray.from_arrays(ptr, pa.array(term.astype(np.int64))), pa.ListArray.from_arrays(ptr, pa.array(count, pa.int64()))], names=["query_id", "term", "count"]
+            [part.column("query_id"), part.column("text_key"), pa.ListArray.from_arrays(ptr, pa.array(term.astype(np.int64))), pa.ListArray.from_arrays(ptr, pa.array(count, pa.int64()))],
+            names=["query_id", "text_key", "term", "count"],
         )
 
 
 def _query_blocks(queries: DataFrame, most: int, most_terms: int) -> Iterator[dict]:
     """Blocks of queries, one at a time on the driver; their size is bounded."""
     rows, terms = [], 0
-    for r in queries.orderBy("query_id").toLocalIterator():
+    for r in queries.orderBy("query_id", "text_key").toLocalIterator():
         rows.append(r)
         terms += len(r.term)
         if len(rows) >= most or terms >= most_terms:
@@ -282,6 +285,7 @@ def _packed(rows: list) -> dict:
     return {
         "order": np.lexsort([[len(r.term) for r in rows], top]),  # like queries together
         "query_id": np.array([r.query_id for r in rows], np.int64),
+        "text_key": np.array([r.text_key for r in rows], np.int64),
         "ptr": np.cumsum([0, *(len(r.term) for r in rows)]),
         "vocabulary": vocabulary,
         "term": place,
@@ -304,13 +308,14 @@ def _frequency(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Ite
 
 
 def search(docs: DataFrame, is_query: Column, k: int = 10, queries_a_block: int = QUERIES, terms_a_block: int = QUERY_TERMS, **shards: int) -> DataFrame:
-    """query_id, rank, doc_id, score: the best k documents for the text of every row of ``docs`` with ``is_query``."""
+    """query_id, rank, doc_id, score: the best k documents for the text of every row of ``docs`` with ``is_query``, equal rows once."""
     spark = docs.sparkSession
     index = build_index(docs, **shards)
     total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
     stats = {"mean_length": max(1.0, total.w / max(1, total.n))}
-    chosen = docs.where(is_query).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("query_id")).agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    chosen = cut(chosen.mapInArrow(_query_terms, "query_id long, term array<long>, count array<long>"), "queries")
+    chosen = docs.where(is_query).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("query_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    chosen = chosen.select("query_id", F.xxhash64("text").alias("text_key"), "text")
+    chosen = cut(chosen.mapInArrow(_query_terms, "query_id long, text_key long, term array<long>, count array<long>"), "queries")
     hits = None
     for block in _query_blocks(chosen, queries_a_block, terms_a_block):
         vocabulary = spark.sparkContext.broadcast(block["vocabulary"])
@@ -319,9 +324,9 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, queries_a_block: int
         df[found.column("place").to_numpy()] = found.column("df").to_numpy()
         idf = np.log1p((total.n - df + 0.5) / (df + 0.5))
         shared = spark.sparkContext.broadcast({k_: v for k_, v in block.items() if k_ != "count"} | {"weight": block["count"] * idf[block["term"]]})
-        part = index.mapInArrow(lambda it, s=shared: _search(it, s.value, k, stats), "query_id long, doc_id long, score double")
+        part = index.mapInArrow(lambda it, s=shared: _search(it, s.value, k, stats), "query_id long, text_key long, doc_id long, score double")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
-        hits = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+        hits = spark.createDataFrame([], "query_id long, text_key long, doc_id long, score double")
+    order = Window.partitionBy("query_id", "text_key").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
