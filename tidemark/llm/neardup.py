@@ -20,10 +20,16 @@ overlap (sum of minima over sum of maxima):
    compared with all, in blocks of bounded size that emit only links that join two classes; nothing is capped;
 4. connected components of the verified links are the classes.
 
+Before shingles are compared, signatures are: of 96 components a pair of similarity 0.8 shares 77 on average and fewer
+than ``NEAR`` (57) with probability 1e-6, so shingles travel only for texts that have a partner by signature. Texts are not
+shuffled; those that shingles are wanted of are found by a second scan behind a bitmap of bounded size.
+
 With 24 bands of 4 components a pair of similarity 0.8 shares no band with probability 3e-6.
 
 Defined results: null and empty texts are one class (equal multisets); a class is named by its least doc_id (nulls
-last); repeated rows fall in one class; other columns are ignored.
+last); repeated rows fall in one class; an empty table gives no rows. Other columns, whatever their names and types, are
+ignored by ``near_duplicates``; ``keep_one`` returns them as they are, and of rows that agree in id and text the one whose
+columns come first as JSON.
 """
 
 from __future__ import annotations
@@ -35,13 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import U64, blocks, mix, words
-from tidemark.session import cut
+from tidemark.llm.presence import bitmap, marked, possible
+from tidemark.session import cut, drop
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
 SIMILAR = 0.8
 #: Members of a bucket that one task compares at a time.
 CHUNK = 128
+#: Equal signature components, of all, that two texts need before their shingles are compared: 57 of 96.
+NEAR = 0.59
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -117,12 +126,28 @@ def units(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tuple[np.
     return np.repeat(row, weight), mix(np.repeat(shingle, weight) * _GOLD + copy.astype(U64)).astype(np.int64)
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vertex, units) from (vertex, text)."""
+def _expand(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
+    """(text_key, signature in 32 bits a component, units) from (text_key, text)."""
     for part, raw, off in blocks(batches):
-        row, unit = units(*shingles(raw, off))
+        row, shingle, weight = shingles(raw, off)
+        times = bag_min_hash(row, shingle, weight, part.num_rows, m)
+        short = (mix(np.ascontiguousarray(times).view(U64)) >> U64(32)).astype(np.uint32).view(np.int32)
+        row, unit = units(row, shingle, weight)
         ptr = np.searchsorted(row, np.arange(part.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(unit, pa.int64()))], names=["vertex", "units"])
+        signature = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * m, pa.int32()), pa.array(short.ravel()))
+        yield pa.RecordBatch.from_arrays([part.column(0), signature, pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(unit, pa.int64()))], names=["text_key", "signature", "units"])
+
+
+def _near_members(table: pa.Table, near: float) -> pa.Table:
+    """Members of a block that agree with one of another class by signature. Rows: family, i, j, side, vertex, class, signature."""
+    n = table.num_rows
+    sign = _lists(table, "signature")[1].reshape(n, -1)
+    vertex, group, side = (table.column(c).to_numpy() for c in ("vertex", "class", "side"))
+    equal = np.zeros((n, n), np.int16)
+    for column in sign.T:
+        equal += column[:, None] == column[None, :]
+    met = (equal >= near * sign.shape[1]) & (group[:, None] != group[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 0)) & (vertex[:, None] != vertex[None, :])
+    return table.select(["family", "i", "j", "side", "vertex", "class"]).filter(pa.array(met.any(axis=1)))
 
 
 def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +202,10 @@ def _verify_block(table: pa.Table, similar: float, columns: int = 1 << 16) -> pa
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(vertex, class) of every vertex of the links (a, b): alternating large-star and small-star rounds, lineage cut each round."""
+    """(vertex, class) of every vertex of the links (a, b): alternating large-star and small-star rounds, lineage cut each round.
+
+    A round's table goes as soon as the next one is written; the last round is the one that changes no link.
+    """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -187,15 +215,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return moved.where("a <> b").distinct()
 
     now = cut(edges.select("a", "b").where("a <> b").distinct(), name)
-    mark = None
     while True:
-        now = cut(star(star(now, True), False), name)
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if (seen.n, seen.s) == mark:
+        before, now = now, cut(star(star(now, True), False), name)
+        changed = now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty()
+        drop(before)
+        if changed:
             break
-        mark = (seen.n, seen.s)
     root = now.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("class"))
-    return root.unionByName(root.select(F.col("class").alias("vertex"), "class").distinct())
+    out = cut(root.unionByName(root.select(F.col("class").alias("vertex"), "class").distinct()), name)
+    drop(now)
+    return out
 
 
 def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -204,17 +233,63 @@ def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     placed = cut(buckets.select("bucket", "vertex").join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("vertex").alias("a")).where("lo <> hi").select("bucket", "a")
     met = placed.join(mixed, "bucket").select("a", F.col("vertex").alias("b"))
-    return cut(components(met, "families").select(F.col("class").alias("family"), "vertex"), "families")
+    united = components(met, "families")
+    found = cut(united.select(F.col("class").alias("family"), "vertex"), "families")
+    drop(placed, united)
+    return found
 
 
 def _dealt(families: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
     """(family, vertex, class, k, chunk) of the families that still hold more than one class, dealt into k chunks."""
-    placed = cut(families.join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex")), "placed")
+    placed = families.join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
     mixed = placed.groupBy("family").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.expr(f"cast(ceil(count(*) / {chunk}) as int)").alias("k")).where("lo <> hi").select("family", "k")
     return placed.join(mixed, "family").withColumn("chunk", F.expr("pmod(hash(vertex), k)"))
 
 
-def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+class _Bags:
+    """Signatures and shingles of the texts that share a bucket with others; shingles travel for those asked for alone."""
+
+    def __init__(self, source: DataFrame, wanted: DataFrame, m: int, similar: float, near: float):
+        self.similar, self.near, self.m = similar, near, m
+        likely = possible(source, wanted, "text_key", "first_id").select("text_key", "text")
+        found = likely.mapInArrow(lambda it: _expand(it, m), "text_key string, signature array<int>, units array<long>")
+        # joined and told apart by the same key: one shuffle
+        self.table = cut(wanted.select("text_key", "vertex").join(found, "text_key").dropDuplicates(["text_key"]).select("vertex", "signature", "units"), "bags")
+
+    def signatures(self) -> DataFrame:
+        return self.table.select("vertex", "signature")
+
+    def units(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the units of their vertex."""
+        return rows.join(possible(self.table.select("vertex", "units"), rows, "vertex"), "vertex")
+
+    def stars(self, pairs: DataFrame, chunk: int) -> DataFrame:
+        """Verified links (a, b) of the pairs (leader, vertex)."""
+        near, need = self.near, self.near * self.m
+        own, other = self.signatures(), self.signatures().select(F.col("vertex").alias("leader"), F.col("signature").alias("leading"))
+        alike = pairs.join(own, "vertex").join(other, "leader").where(F.size(F.filter(F.zip_with("signature", "leading", lambda x, y: x == y), lambda x: x)) >= need)
+        alike = cut(alike.select("leader", "vertex"), "alike")
+        degree = alike.groupBy("leader").agg(F.count("*").alias("d"))
+        dealt = alike.join(degree, "leader").withColumn("chunk", F.expr(f"pmod(hash(vertex), cast(ceil(d / {chunk}) as int))")).drop("d")
+        heads = dealt.select("leader", "chunk", F.col("leader").alias("vertex")).distinct()
+        stars = cut(dealt.select("leader", "chunk", "vertex").unionByName(heads), "stars")
+        similar = self.similar
+        links = self.units(stars).select("leader", "chunk", "vertex", "units").groupBy("leader", "chunk").applyInArrow(lambda t: _verify_star(t, similar), "a long, b long")
+        links = cut(links, "links")
+        drop(alike, stars)
+        return links
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Verified links (a, b) that join classes, from members (family, i, j, side, vertex, class) compared by block."""
+        near, similar = self.near, self.similar
+        kinds = "family long, i int, j int, side int, vertex long, class long"
+        likely = cut(rows.join(self.signatures(), "vertex").groupBy("family", "i", "j").applyInArrow(lambda t: _near_members(t, near), kinds), "likely")
+        links = cut(self.units(likely).groupBy("family", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long"), "links")
+        drop(likely)
+        return links
+
+
+def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, chunk: int = CHUNK, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
     """(signed: doc_id, text_key; classes: text_key, doc_id of the text's first document, class and its first document)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
     signed = cut(source.select("doc_id", "text_key", "text").mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, text_key string, bands array<long>"), "signed")
@@ -225,33 +300,31 @@ def text_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar:
     # a text that meets most others over all bands is nearest to the middle of its group: it leads its buckets
     central = met.groupBy("vertex").agg(F.sum("n").alias("central"))
     leader = met.join(central, "vertex").groupBy("bucket").agg(F.max_by("vertex", F.struct("central", "vertex")).alias("leader"))
-    buckets = cut(met.join(leader, "bucket"), "buckets")
+    buckets = cut(met.select("bucket", "vertex").join(leader, "bucket"), "buckets")
+    drop(met)
     # stars: each bucket's leader against the others, once for all bands that say the same
-    pairs = buckets.where("vertex <> leader").select("leader", "vertex").distinct()
-    degree = pairs.groupBy("leader").agg(F.count("*").alias("d"))
-    pairs = cut(pairs.join(degree, "leader").withColumn("chunk", F.expr(f"pmod(hash(vertex), cast(ceil(d / {chunk}) as int))")).drop("d"), "pairs")
-    wanted = buckets.select("vertex").distinct().join(vertices.select("vertex", "text_key", "first_id"), "vertex")
-    one_text = source.join(wanted, (source["text_key"] == wanted["text_key"]) & source["doc_id"].eqNullSafe(wanted["first_id"])).select("vertex", "text")
-    bags = cut(one_text.mapInArrow(_expand, "vertex long, units array<long>").dropDuplicates(["vertex"]), "bags")
-    heads = pairs.select("leader", "chunk", F.col("leader").alias("vertex")).distinct()
-    filled = pairs.select("leader", "chunk", "vertex").unionByName(heads).join(bags, "vertex").select("leader", "chunk", "vertex", "units")
-    stars = cut(filled.groupBy("leader", "chunk").applyInArrow(lambda t: _verify_star(t, similar), "a long, b long"), "stars")
+    wanted = cut(buckets.select("vertex").distinct().join(vertices.select("vertex", "text_key", "first_id"), "vertex"), "wanted")
+    bags = _Bags(source.withColumnRenamed("doc_id", "first_id"), wanted, bands * rows, similar, near)
+    stars = bags.stars(buckets.where("vertex <> leader").select("leader", "vertex").distinct(), chunk)
     # buckets whose members are not yet one class: random chunks of them in full, which joins nearly all that belong together
-    found = cut(components(stars), "classes")
+    found = components(stars, "classes")
     families = _open(buckets, found)
-    block = lambda rows: rows.join(bags, "vertex").groupBy("family", "i", "j").applyInArrow(lambda t: _verify_block(t, similar), "a long, b long")
+    drop(buckets, wanted)
     dealt = _dealt(families, found, 2 * chunk).select("family", F.lit(0).alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"), "vertex", "class")
-    links = cut(stars.unionByName(block(dealt)), "links")
+    links = cut(stars.unionByName(bags.blocks(dealt)), "links")
+    drop(found)
     # what is still apart: every member outside a family's largest class against all members of the family, in blocks
-    apart = cut(_dealt(families, components(links), chunk), "apart")
+    joined = components(links, "joined")
+    apart = cut(_dealt(families, joined, chunk), "apart")
     size = apart.groupBy("family", "class").agg(F.count("*").alias("c"))
     main = size.groupBy("family").agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.expr(f"cast(ceil((sum(c) - max(c)) / {chunk}) as int)").alias("kf"))
-    apart = apart.join(main, "family")
-    minor = apart.where("class <> main").withColumn("i", F.expr("pmod(hash(vertex, 1), kf)")).select("family", "i", F.explode(F.expr("sequence(0, k - 1)")).alias("j"), F.lit(1).alias("side"), "vertex", "class")
-    every = apart.select("family", F.explode(F.expr("sequence(0, kf - 1)")).alias("i"), F.col("chunk").alias("j"), F.lit(2).alias("side"), "vertex", "class")
-    final = components(links.unionByName(block(minor.unionByName(every))), "final")
+    spread = apart.join(main, "family")
+    minor = spread.where("class <> main").withColumn("i", F.expr("pmod(hash(vertex, 1), kf)")).select("family", "i", F.explode(F.expr("sequence(0, k - 1)")).alias("j"), F.lit(1).alias("side"), "vertex", "class")
+    every = spread.select("family", F.explode(F.expr("sequence(0, kf - 1)")).alias("i"), F.col("chunk").alias("j"), F.lit(2).alias("side"), "vertex", "class")
+    final = components(links.unionByName(bags.blocks(minor.unionByName(every))), "final")
     named = vertices.select("vertex", "text_key", "first_id").join(final, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
     named = cut(named.select("text_key", "first_id", "class"), "named")
+    drop(vertices, stars, links, families, joined, apart, bags.table, final)
     first = named.groupBy("class").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n_texts"))
     return signed.select("doc_id", "text_key"), named.join(first, "class")
 
@@ -263,10 +336,19 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class, with all its columns: that of the least doc_id."""
-    _, classes = text_classes(docs, **how)
-    best = classes.groupBy("class").agg(F.min(F.struct(F.col("first_id").isNull().alias("z"), "first_id", "text_key")).alias("best")).select("best.text_key")
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(best.withColumnRenamed("text_key", "_key"), "_key", "left_semi")
-    row = F.struct(F.col("doc_id").isNull().alias("_z"), "doc_id", *[c for c in docs.columns if c != "doc_id"])
-    one = keyed.groupBy("_key").agg(F.min(row).alias("_row"))
-    return one.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    """One document of each class, with all its columns: that of the least doc_id.
+
+    Rows that surely stay are read straight from ``docs``; only those that a bitmap of the others' keys may hold are
+    shuffled and looked at.
+    """
+    signed, classes = text_classes(docs, **how)
+    best = classes.groupBy("class").agg(F.min(F.struct(F.col("first_id").isNull().alias("z"), "first_id", "text_key")).alias("b")).select(F.col("b.first_id").alias("doc_id"), F.col("b.text_key").alias("text_key"), F.lit(True).alias("best"))
+    told = signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).join(best, (signed["text_key"] == best["text_key"]) & signed["doc_id"].eqNullSafe(best["doc_id"]), "left")
+    told = cut(told.select(signed["doc_id"], signed["text_key"], "rows", F.coalesce("best", F.lit(False)).alias("best")), "told")
+    doubted = told.where("not best or rows > 1")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
+    split = marked(whole, bitmap(doubted, "doc_id", "text_key"), "doubt", "doc_id", "text_key")
+    looked = split.where("doubt").select("doc", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    kept = looked.join(told.where("best"), (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    one = kept.groupBy("id", "key").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return split.where("not doubt").select("doc.*").unionByName(one.select("doc.*"))
