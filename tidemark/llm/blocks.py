@@ -41,6 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A random-looking 64-bit value for each byte.
 BYTE = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
+#: Another such table: with it, equality is judged by 128 bits where a hash alone decides.
+BYTE_2 = mix(BYTE ^ U64(0xC2B2AE3D27D4EB4F))
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
@@ -114,11 +116,11 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, off: np.ndarray, lower: bool, byte: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, per-text offsets into these) of the words of a block: IS_WORD after lower-casing, or NOT_SPACE."""
     text = LOWER[raw] if lower else raw
     start, end = runs((IS_WORD if lower else NOT_SPACE)[text], off)
-    h = span_hash(prefix_hash(BYTE[text]), start, end)
+    h = span_hash(prefix_hash(byte[text]), start, end)
     return h, start, end, np.searchsorted(start, off)
 
 

@@ -7,54 +7,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import U64
-from tidemark.session import cut
+from tidemark.llm.presence import possible
+from tidemark.session import cut, drop
 
 #: Low bits of an encoded pick that hold the position; the hash bits above decide.
 _POSITION = U64((1 << 31) - 1)
 
 
+#: What tells rows apart: the id (0 for null) and a hash of id and text. Rows that agree in both are equal rows.
+ROW = ["i", "k"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), k (a 64-bit key of the row's id and text) and copy (digest of the text)."""
+    """doc_id, text (null: empty), i and k (see ROW) and copy (digest of the text)."""
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        .withColumn("i", F.coalesce("doc_id", F.lit(0).cast("long")))
         .withColumn("k", F.xxhash64("doc_id", "text"))
         .withColumn("copy", F.md5("text"))
     )
 
 
 def copies(source: DataFrame) -> DataFrame:
-    """(k, n, spare) of every row whose text other rows have as well; all but one of a group are spare."""
-    one = source.groupBy("copy", "k").agg(F.count("*").alias("m"))
-    group = one.groupBy("copy").agg(F.sum("m").alias("n"), F.min("k").alias("least")).where("n > 1")
-    return one.join(group, "copy").select("k", "n", (F.col("k") != F.col("least")).alias("spare"))
+    """(i, k, n, spare) of every row whose text other rows have as well; all but one of a group are spare."""
+    one = source.groupBy("copy", *ROW).agg(F.count("*").alias("m"))
+    group = one.groupBy("copy").agg(F.sum("m").alias("n"), F.min(F.struct(*ROW)).alias("least")).where("n > 1")
+    return one.join(group, "copy").select(*ROW, "n", (F.struct(*ROW) != F.col("least")).alias("spare"))
+
 
+ENTRY = "h long, g long, i long, k long, pos array<int>"
 
-ENTRY = "h long, k long, pos array<int>"
 
+def row_ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(part.column(part.schema.get_field_index(c)).to_numpy() for c in ROW)
 
-def entries(h: np.ndarray, row: np.ndarray, k: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """A row for each hash of each text, with all its positions: a text that repeats itself gives one row, not many."""
-    order = np.lexsort([pos, h, row])
-    h, row, pos = h[order], row[order], pos[order]
-    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.empty(0, np.int64)
+
+def entries(h: np.ndarray, row: np.ndarray, ids: tuple[np.ndarray, np.ndarray], pos: np.ndarray, g: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each hash of each text, with all its positions: a text that repeats itself gives one row, not many.
+
+    ``g`` is a second hash where equal hashes decide; 0 where they only nominate.
+    """
+    g = np.zeros(len(h), U64) if g is None else g
+    order = np.lexsort([pos, g, h, row])
+    h, g, row, pos = h[order], g[order], row[order], pos[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.empty(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)), pa.int32()), pa.array(pos.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(h[new].astype(np.int64)), pa.array(k[row[new]]), lists], names=["h", "k", "pos"])
+    columns = [pa.array(h[new].astype(np.int64)), pa.array(g[new].astype(np.int64)), *(pa.array(x[row[new]]) for x in ids), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "g", *ROW, "pos"])
 
 
 def ties(found: DataFrame, spare: DataFrame | None = None) -> DataFrame:
-    """(k, pos, n) of the entries whose hash stands n > 1 times in all.
+    """(i, k, pos, n) of the entries whose hashes stand n > 1 times in all.
 
     Counting combines before the shuffle, and the way back is a join that splits a hot hash; no group is gathered.
     """
     if spare is not None:
-        found = found.join(spare, "k", "left_anti")
-    often = found.groupBy("h").agg(F.sum(F.size("pos")).alias("n")).where("n > 1")
-    return found.join(often, "h").select("k", "pos", "n")
+        found = found.join(spare, ROW, "left_anti")
+    often = found.groupBy("h", "g").agg(F.sum(F.size("pos")).alias("n")).where("n > 1")
+    return found.join(often, ["h", "g"]).select(*ROW, "pos", "n")
 
 
 def by_row(tied: DataFrame) -> DataFrame:
-    """k with its tied positions (bounded by the length of one text)."""
-    return tied.groupBy("k").agg(F.collect_list(F.struct("pos", "n")).alias("tied"))
+    """Rows with their tied positions (bounded by the length of one text)."""
+    rest = [c for c in tied.columns if c not in ROW]
+    return tied.groupBy(*ROW).agg(F.collect_list(F.struct(*rest)).alias("tied"))
 
 
 def first_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -108,5 +124,8 @@ def union_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def candidates(source: DataFrame, tied: DataFrame, name: str) -> DataFrame:
-    """k, text, tied of the rows with ties, as a table: only these are read again."""
-    return cut(source.select("k", "text").join(by_row(tied), "k").dropDuplicates(["k"]), name)
+    """i, k, text, tied of the rows with ties, as a table: only these are read again, and few other texts are shuffled."""
+    held = cut(tied, "tied")
+    rows = cut(possible(source.select(*ROW, "text"), held, *ROW).join(by_row(held), ROW).dropDuplicates(ROW), name)
+    drop(held)
+    return rows

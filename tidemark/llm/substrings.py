@@ -4,7 +4,7 @@ A window of ``window`` words is repeated only if all its parts are. Level by lev
 the target, then a half, then the whole) are tested for repeats over the corpus, and only what stands in a repeated
 window is extended to twice that length, until no candidate survives or the target length is reached. At the shorter
 levels one part of each window is tested, the one of least hash (the same choice wherever equal words stand), so a
-level tests few places and misses no repeat; at the target length every surviving window is tested.
+level tests few places and misses no repeat; at the target length every surviving window is tested, and its words' equality is judged by 128 bits of two hashes.
 
 Exact copies of a whole text are told by their digest; one of them stands for all in the levels.
 
@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.blocks import blocks, prefix_hash, window_hash, words
-from tidemark.llm.repeats import ENTRY, candidates, copies, entries, keyed, marked, pick_runs, ties
-from tidemark.session import cut
+from tidemark.llm.blocks import BYTE_2, blocks, prefix_hash, window_hash, words
+from tidemark.llm.repeats import ENTRY, ROW, candidates, copies, entries, keyed, marked, pick_runs, row_ids, ties
+from tidemark.session import cut, drop
 
 WINDOW = 35
 
@@ -44,7 +44,7 @@ def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, b
         if len(word) < window:
             continue
         prefix = prefix_hash(word)
-        k = part.column(part.schema.get_field_index("k")).to_numpy()
+        k = row_ids(part)
         live = None
         if before is not None:
             tied = marked(part, woff, len(word))
@@ -57,7 +57,8 @@ def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, b
         if live is not None and length == window:
             pos = np.flatnonzero(live)
             row = np.searchsorted(woff, pos, "right") - 1
-            yield entries(window_hash(prefix, window)[pos], row, k, pos - woff[row])
+            other = prefix_hash(words(raw, off, False, BYTE_2)[0])
+            yield entries(window_hash(prefix, window)[pos], row, k, pos - woff[row], window_hash(other, window)[pos])
             continue
         h = window_hash(prefix, length)
         row, pick, first, last = pick_runs(h, length, window, woff)
@@ -74,7 +75,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, start, end, woff = words(raw, off, False)
         size = np.diff(woff)
         shas = [_joined_sha(raw, start[a:b], end[a:b]) for a, b in zip(woff[:-1], woff[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "k", "n_words", "sha"])
+        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(size, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", *ROW, "n_words", "sha"])
 
 
 def _joined_sha(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
@@ -102,31 +103,33 @@ def _cut_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         for a, b in zip(woff[:-1], woff[1:], strict=True):
             keep = ~covered[a:b]
             shas.append(_joined_sha(raw, start[a:b][keep], end[a:b][keep]))
-        k = part.column(part.schema.get_field_index("k"))
-        yield pa.RecordBatch.from_arrays([k, pa.array(gone[woff[1:]] - gone[woff[:-1]], pa.int64()), pa.array(shas, pa.string())], names=["k", "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, row_ids(part)), pa.array(gone[woff[1:]] - gone[woff[:-1]], pa.int64()), pa.array(shas, pa.string())], names=[*ROW, "removed", "kept"])
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, rows with repeated windows and those windows' starts, exact copies)."""
     source = keyed(docs)
     copied = cut(copies(source), "copies")
-    spare = copied.where("spare").select("k").distinct()
+    spare = copied.where("spare").select(*ROW).distinct()
     levels = lengths(window)
-    first = cut(source.select("k", "text").mapInArrow(lambda it: level_entries(it, window, levels[0], None), ENTRY), "level")
-    rows = candidates(source, ties(first, spare), "rows")
+    level = cut(source.select(*ROW, "text").mapInArrow(lambda it: level_entries(it, window, levels[0], None), ENTRY), "level")
+    rows = candidates(source, ties(level, spare), "rows")
     for before, length in zip(levels, levels[1:], strict=False):
+        drop(level)
         level = cut(rows.mapInArrow(lambda it, b=before, n=length: level_entries(it, window, n, b), ENTRY), "level")
-        rows = candidates(rows, ties(level), "rows")
+        older, rows = rows, candidates(rows, ties(level), "rows")
+        drop(older)
+    drop(level)
     return source, rows, copied
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     source, rows, copied = repeated(docs, window)
-    plain = source.select("doc_id", "k", "text").mapInArrow(_plain, "doc_id long, k long, n_words long, sha string")
-    removed = rows.mapInArrow(lambda it: _cut_words(it, window), "k long, removed long, kept string")
-    whole = copied.select("k").distinct().withColumn("whole", F.lit(True))
-    out = plain.join(removed, "k", "left").join(whole, "k", "left")
+    plain = source.select("doc_id", *ROW, "text").mapInArrow(_plain, "doc_id long, i long, k long, n_words long, sha string")
+    removed = rows.mapInArrow(lambda it: _cut_words(it, window), "i long, k long, removed long, kept string")
+    whole = copied.select(*ROW).distinct().withColumn("whole", F.lit(True))
+    out = plain.join(removed, ROW, "left").join(whole, ROW, "left")
     gone = F.col("whole").isNotNull() & (F.col("n_words") >= window)
     return out.select(
         "doc_id",

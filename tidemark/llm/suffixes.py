@@ -1,23 +1,28 @@
 """Suffix-array dedup over bytes: blockwise suffix sorting with a difference cover.
 
-Bytes covered by a string of ``window`` bytes that also starts elsewhere are removed. The suffixes that can matter are
-gathered bucket by bucket, and one bucket at a time is sorted in one task:
-
-1. Buckets. Every window has a pick, its gram of least hash; equal windows have equal picks, so suffixes that share a
-   window meet in one bucket. Picks that stand alone in the corpus drop out: no repeat can hold them. For each pick that
-   is left, the bytes its windows reach over go to the bucket.
+Bytes covered by a string of ``window`` bytes that also starts elsewhere are removed. Beside that, bytes covered by a
+string of ``passage`` bytes (250: a passage of fifty short words) that also starts elsewhere are counted, not removed.
+The suffixes that can matter are gathered bucket by bucket, and one bucket at a time is sorted in one task:
+
+1. Buckets. Every string of ``passage`` bytes has a pick, its gram of least hash; equal strings have equal picks, so
+   suffixes that share ``passage`` bytes (and so those that share ``window``) meet in one bucket. Picks that stand alone
+   in the corpus drop out: no repeat can hold them. For each pick that is left, the bytes that ``window`` reaches over
+   from its strings go to the bucket.
 2. Cover sample. In a bucket's bytes, positions whose residue modulo V (73) is in a perfect difference set are ranked
    before the sort: by their first V bytes, then by doubling (a sample position plus V is one again), up to 4 V bytes.
 3. Sort. Suffixes are sorted by their first 16 bytes, then by ternary quicksort against pivots, all groups in step.
    Any two suffixes have a shift below V that takes both to sample positions; so a comparison reads at most V bytes,
    then looks up two ranks in place of the long common part, then reads the bytes behind the ranked part.
-4. Suffixes that are equal over ``window`` bytes are neighbours; they start the removed strings.
+4. Suffixes that are equal over ``window`` bytes are neighbours, and so are those equal over ``passage``; they start the
+   repeated strings.
 
-A bucket's memory is bounded: picks of more than ``hot`` places do not go to buckets; their windows are counted by
-fingerprint instead, which combines before the shuffle. Exact copies of whole texts are told by digest first.
+A bucket's memory is bounded: picks of more than ``hot`` places do not go to buckets; their strings are counted by a
+fingerprint of 128 bits instead, which combines before the shuffle: those of ``window`` bytes all, those of ``passage``
+bytes at every ``STEP``-th start, so that there a repeated string of ``passage`` + ``STEP`` bytes is surely counted and a
+shorter one may not be. Exact copies of whole texts are told by digest first.
 
 Defined results: a null text is empty; a text shorter than a window keeps all; windows never cross texts; repeated rows
-are copies of each other; other columns are ignored.
+are copies of each other; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +35,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.blocks import BYTE, U64, blocks, prefix_hash, spread, window_hash
-from tidemark.llm.repeats import ENTRY, by_row, candidates, copies, entries, keyed, marked, pick_runs, ties, union_of
-from tidemark.session import cut
+from tidemark.llm.blocks import BYTE, BYTE_2, U64, blocks, prefix_hash, spread, window_hash
+from tidemark.llm.repeats import ENTRY, ROW, by_row, candidates, copies, entries, keyed, marked, pick_runs, row_ids, ties, union_of
+from tidemark.session import cut, drop
 
 WINDOW = 400
-GRAM = 100
+PASSAGE = 250
+GRAM = 80
+#: Starts between the passages that are tested where a pick is hot.
+STEP = 34
 #: Bytes that a bucket is meant to hold.
 BUCKET = 4 << 20
-#: Places of one pick that a bucket takes: as many as fill it alone (a pick's windows reach over 550 bytes on average).
-HOT = BUCKET // 550
+#: Places of one pick that a bucket takes: as many as fill it alone (a pick's strings reach over 485 bytes on average).
+HOT = BUCKET // 485
 
 #: Perfect difference sets by modulus (every shift is the difference of one pair).
 COVERS = {73: (1, 2, 4, 8, 16, 32, 37, 55, 64), 13: (0, 1, 3, 9)}
@@ -148,94 +156,124 @@ def sort_bucket(text: np.ndarray, size: int, suffix: np.ndarray, window: int) ->
     return suffix, equal
 
 
-def bucket_repeats(table: pa.Table, window: int) -> pa.Table:
-    """One bucket: sorts its suffixes and returns the starts of repeated windows as runs, by row (k, pos, n = run length).
+def equal_over(words: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the ``width`` bytes from a and from b are equal."""
+    open_ = np.arange(len(a))
+    for o in range(0, width, 8):
+        at = min(o, width - 8)
+        open_ = open_[words[a[open_] + at] == words[b[open_] + at]]
+    out = np.zeros(len(a), bool)
+    out[open_] = True
+    return out
+
 
-    Equal byte runs from different places are laid into the bucket's text once: all their windows are repeated.
+def bucket_repeats(table: pa.Table, window: int, passage: int) -> pa.Table:
+    """One bucket: sorts its suffixes and returns the starts of repeated strings as runs, by row (i, k, pos, n = run length, deep).
+
+    ``deep`` runs are of ``window`` bytes, the others of ``passage``. Equal byte runs from different places are laid into
+    the bucket's text once: all their strings are repeated.
     """
-    first: dict[bytes, int] = {}
-    whole, places, k = table.column("bytes").to_pylist(), table.column("pos").to_pylist(), table.column("k").to_numpy()
-    own = np.array([first.setdefault(x, i) for i, x in enumerate(whole)], np.int64)
+    first: dict[tuple[bytes, int], int] = {}
+    whole, places, starts = (table.column(c).to_pylist() for c in ("bytes", "pos", "starts"))
+    ids = [table.column(c).to_numpy() for c in ROW]
+    own = np.array([first.setdefault((x, n), j) for j, (x, n) in enumerate(zip(whole, starts, strict=True))], np.int64)
     copies = np.bincount(own, [len(p) for p in places], len(whole)).astype(np.int64)
     one = np.flatnonzero(own == np.arange(len(whole)))
-    size = np.array([len(whole[i]) for i in one], np.int64)
+    size, count = np.array([len(whole[j]) for j in one], np.int64), np.array([starts[j] for j in one], np.int64)
     off = np.concatenate([[0], np.cumsum(size)])
-    text = np.frombuffer(b"".join([*(whole[i] for i in one), bytes(V + 16)]), np.uint8)
-    count = size - window + 1
+    text = np.frombuffer(b"".join([*(whole[j] for j in one), bytes(window + V + 16)]), np.uint8)
     suffix = off[np.repeat(np.arange(len(one)), count)] + spread(count)
     ordered, equal = sort_bucket(text, int(off[-1]), suffix, window)
-    hit = equal | np.append(equal[1:], False)
-    found = np.sort(ordered[hit])
-    context = np.searchsorted(off, found, "right") - 1
-    lone = copies[one[context]] == 1
-    found, context = found[lone], context[lone]
-    new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1] + 1) | (context[1:] != context[:-1])])) if len(found) else np.empty(0, np.int64)
-    length = np.diff(np.append(new, len(found)))
-    c = one[context[new]]
-    full = np.flatnonzero(copies[own] > 1)
-    m = np.array([len(places[i]) for i in full], np.int64)
+    near = equal.copy()
+    rest = np.flatnonzero(~equal[1:]) + 1
+    near[rest] = equal_over(words8(text), ordered[rest], ordered[rest - 1], passage)
+    # a suffix that ends before ``window`` bytes is followed by other text here: it is no string of that length
+    full = ordered + window <= off[np.searchsorted(off, ordered, "right")]
+    group = np.cumsum(~equal)
+    deep = full & (np.bincount(group, full)[group] > 1)
+    found = []
+    for hit, least in ((deep, window), (near | np.append(near[1:], False), passage)):
+        at = np.sort(ordered[hit])
+        context = np.searchsorted(off, at, "right") - 1
+        lone = copies[one[context]] == 1
+        at, context = at[lone], context[lone]
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (context[1:] != context[:-1])])) if len(at) else np.empty(0, np.int64)
+        c = one[context[new]]
+        again = [j for j in np.flatnonzero(copies[own] > 1).tolist() if len(whole[j]) >= least]
+        m = np.array([len(places[j]) for j in again], np.int64)
+        run = np.array([min(starts[j], len(whole[j]) - least + 1) for j in again], np.int64)
+        found.append((
+            [np.concatenate([x[c], np.repeat(x[again], m)]) for x in ids],
+            np.concatenate([np.array([places[j][0] for j in c], np.int64) + at[new] - off[context[new]], np.array([x for j in again for x in places[j]], np.int64)]),
+            np.concatenate([np.diff(np.append(new, len(at))), np.repeat(run, m)]), least == window,
+        ))
     return pa.table({
-        "k": pa.array(np.concatenate([k[c], np.repeat(k[full], m)])),
-        "pos": pa.array(np.concatenate([np.array([places[i][0] for i in c], np.int64) + found[new] - off[context[new]], np.array([x for i in full for x in places[i]], np.int64)]).astype(np.int32)),
-        "n": pa.array(np.concatenate([length, np.repeat(np.array([len(whole[i]) - window + 1 for i in full], np.int64), m)]), pa.int64()),
+        **{name: pa.array(np.concatenate([f[0][j] for f in found])) for j, name in enumerate(ROW)},
+        "pos": pa.array(np.concatenate([f[1] for f in found]).astype(np.int32)), "n": pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
+        "deep": pa.array(np.concatenate([np.full(len(f[1]), f[3]) for f in found])),
     })
 
 
-def pick_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def pick_entries(batches: Iterator[pa.RecordBatch], passage: int, gram: int) -> Iterator[pa.RecordBatch]:
     for part, raw, off in blocks(batches):
-        if len(raw) < window:
+        if len(raw) < passage:
             continue
         h = window_hash(prefix_hash(BYTE[raw]), gram)
-        row, pick, _, _ = pick_runs(h, gram, window, off)
-        yield entries(h[pick], row, part.column(part.schema.get_field_index("k")).to_numpy(), pick - off[row])
+        row, pick, _, _ = pick_runs(h, gram, passage, off)
+        yield entries(h[pick], row, row_ids(part), pick - off[row])
 
 
-def contexts(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For tied picks of at most ``hot`` places: the bytes their windows reach over, by bucket; once for a text that repeats them."""
+def contexts(batches: Iterator[pa.RecordBatch], window: int, passage: int, gram: int, hot: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """For tied picks of at most ``hot`` places: the bytes that ``window`` reaches over from their strings, by bucket; once for a text that repeats them."""
     for part, raw, off in blocks(batches, limit=1 << 20):
-        if len(raw) < window:
+        if len(raw) < passage:
             continue
         h = window_hash(prefix_hash(BYTE[raw]), gram)
-        row, pick, first, last = pick_runs(h, gram, window, off)
+        row, pick, first, last = pick_runs(h, gram, passage, off)
         n = marked(part, off, len(raw))[pick]
-        k = part.column(part.schema.get_field_index("k")).to_numpy()
-        seen: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
-        for i in np.flatnonzero((n > 0) & (n <= hot)).tolist():
-            a, r = int(first[i]), int(row[i])
-            seen.setdefault((r, raw[a : int(last[i]) + window].tobytes()), (int(h[pick[i]]) % buckets, []))[1].append(a - int(off[r]))
+        ids = row_ids(part)
+        seen: dict[tuple[int, bytes, int], tuple[int, list[int]]] = {}
+        for j in np.flatnonzero((n > 0) & (n <= hot)).tolist():
+            a, r = int(first[j]), int(row[j])
+            key = r, raw[a : min(int(last[j]) + window, int(off[r + 1]))].tobytes(), int(last[j]) - a + 1
+            seen.setdefault(key, (int(h[pick[j]]) % buckets, []))[1].append(a - int(off[r]))
+        rows = np.array([r for r, _, _ in seen], np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([b for b, _ in seen.values()], pa.int32()), pa.array([int(k[r]) for r, _ in seen], pa.int64()),
-                pa.array([p for _, p in seen.values()], pa.list_(pa.int32())), pa.array([x for _, x in seen], pa.binary()),
+                pa.array([b for b, _ in seen.values()], pa.int32()), *(pa.array(x[rows], pa.int64()) for x in ids),
+                pa.array([p for _, p in seen.values()], pa.list_(pa.int32())), pa.array([n for _, _, n in seen], pa.int32()), pa.array([x for _, x, _ in seen], pa.binary()),
             ],
-            names=["bucket", "k", "pos", "bytes"],
+            names=["bucket", *ROW, "pos", "starts", "bytes"],
         )
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], window: int, gram: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """For picks of more than ``hot`` places: a fingerprint of each of their windows."""
+def fingerprints(batches: Iterator[pa.RecordBatch], width: int, step: int, passage: int, gram: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """For picks of more than ``hot`` places: fingerprints of the strings of ``width`` bytes that start where theirs do, every ``step``-th from the pick."""
     for part, raw, off in blocks(batches, limit=1 << 20):
         n = marked(part, off, len(raw))
-        if len(raw) < window or n.max(initial=0) <= hot:
+        if len(raw) < width or n.max(initial=0) <= hot:
             continue
         prefix = prefix_hash(BYTE[raw])
-        row, pick, first, last = pick_runs(window_hash(prefix, gram), gram, window, off)
+        row, pick, first, last = pick_runs(window_hash(prefix, gram), gram, passage, off)
         warm = np.flatnonzero(n[pick] > hot)
-        size = last[warm] - first[warm] + 1
-        at, r = np.repeat(first[warm], size) + spread(size), np.repeat(row[warm], size)
-        yield entries(window_hash(prefix, window)[at], r, part.column(part.schema.get_field_index("k")).to_numpy(), at - off[r])
+        size = np.maximum(0, np.minimum(last[warm], off[row[warm] + 1] - width) - first[warm] + 1)
+        at, r, centre = np.repeat(first[warm], size) + spread(size), np.repeat(row[warm], size), np.repeat(pick[warm], size)
+        if step > 1:
+            at, r = at[some := (centre - at) % step == 0], r[some]
+        yield entries(window_hash(prefix, width)[at], r, row_ids(part), at - off[r], window_hash(prefix_hash(BYTE_2[raw]), width)[at])
 
 
-def _cut_bytes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Removed bytes, maximal removed runs and the digest of the rest, for rows with repeated windows (tied: starts of runs, run lengths)."""
+def _cut_bytes(batches: Iterator[pa.RecordBatch], window: int, passage: int) -> Iterator[pa.RecordBatch]:
+    """Removed bytes, maximal removed runs, the digest of the rest and the bytes in repeated passages, for rows with repeats."""
     for part, raw, off in blocks(batches):
-        removed, spans, shas = [], [], []
+        removed, spans, shas, repeated = [], [], [], []
         tied = part.column(part.schema.get_field_index("tied"))
-        for i in range(part.num_rows):
-            runs = tied[i].values
-            start, n = runs.field(0).to_numpy(), runs.field(1).to_numpy()
-            ranges = union_of(start.astype(np.int64), start + n - 1 + window)
-            text, sha, at = raw[off[i] : off[i + 1]], hashlib.sha256(), 0
+        for j in range(part.num_rows):
+            runs = tied[j].values
+            start, n, deep = (runs.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            start = start.astype(np.int64)
+            ranges = union_of(start[deep], (start + n - 1 + window)[deep]) if deep.any() else []
+            text, sha, at = raw[off[j] : off[j + 1]], hashlib.sha256(), 0
             for s, e in ranges:
                 sha.update(text[at:s].tobytes())
                 at = e
@@ -243,36 +281,44 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
             removed.append(sum(e - s for s, e in ranges))
             spans.append(len(ranges))
             shas.append(sha.hexdigest())
-        k = part.column(part.schema.get_field_index("k"))
-        yield pa.RecordBatch.from_arrays([k, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())], names=["k", "removed", "spans", "kept"])
+            repeated.append(sum(e - s for s, e in union_of(start, start + n - 1 + np.where(deep, window, passage))))
+        yield pa.RecordBatch.from_arrays(
+            [*map(pa.array, row_ids(part)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(repeated, pa.int64())],
+            names=[*ROW, "removed", "spans", "kept", "repeated"],
+        )
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, rows with the runs of starts of their repeated windows, exact copies)."""
+def repeated(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, rows with the runs of starts of their repeated strings, exact copies)."""
+    if not gram < passage <= window:
+        raise ValueError("a gram must be shorter than a passage, and a passage no longer than a window")
     source = keyed(docs)
     copied = cut(copies(source), "copies")
-    spare = copied.where("spare").select("k").distinct()
-    picks = cut(source.select("k", "text").mapInArrow(lambda it: pick_entries(it, window, gram), ENTRY), "picks")
+    spare = copied.where("spare").select(*ROW).distinct()
+    picks = cut(source.select(*ROW, "text").mapInArrow(lambda it: pick_entries(it, passage, gram), ENTRY), "picks")
     tied = cut(ties(picks, spare), "tied")
-    reach = tied.where(F.col("n") <= hot).count() * (window + (window - gram) // 2)
+    reach = tied.where(F.col("n") <= hot).count() * (window + (passage - gram) // 2)
     buckets = max(1, -(-reach // bucket_bytes))
     rows = candidates(source, tied, "rows")
-    found = rows.mapInArrow(lambda it: contexts(it, window, gram, hot, buckets), "bucket int, k long, pos array<int>, bytes binary")
-    sorted_ = found.groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t.drop_columns(["bucket"]), window), "k long, pos int, n long")
+    drop(picks, tied)
+    found = rows.mapInArrow(lambda it: contexts(it, window, passage, gram, hot, buckets), "bucket int, i long, k long, pos array<int>, starts int, bytes binary")
+    sorted_ = found.groupBy("bucket").applyInArrow(lambda t: bucket_repeats(t.drop_columns(["bucket"]), window, passage), "i long, k long, pos int, n long, deep boolean")
     busy = rows.where(F.exists("tied", lambda t: t["n"] > hot))
-    windows = cut(busy.mapInArrow(lambda it: fingerprints(it, window, gram, hot), ENTRY), "windows")
-    counted = ties(windows).select("k", F.explode("pos").alias("pos"), F.lit(1).cast("long").alias("n"))
-    starts = by_row(sorted_.unionByName(counted))
-    return source, rows.drop("tied").join(starts, "k"), copied
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    source, rows, copied = repeated(docs, window, **how)
-    plain = source.select("doc_id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    removed = rows.mapInArrow(lambda it: _cut_bytes(it, window), "k long, removed long, spans long, kept string")
-    whole = copied.select("k").distinct().withColumn("whole", F.lit(True))
-    out = plain.join(removed, "k", "left").join(whole, "k", "left")
+    for width in sorted({window, passage}):
+        strings = cut(busy.mapInArrow(lambda it, w=width: fingerprints(it, w, 1 if w == window else STEP, passage, gram, hot), ENTRY), "strings")
+        counted = ties(strings).select(*ROW, F.explode("pos").alias("pos"), F.lit(1).cast("long").alias("n"), F.lit(width == window).alias("deep"))
+        sorted_ = sorted_.unionByName(counted)
+    return source, rows.drop("tied").join(by_row(sorted_), ROW), copied
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, passage: int | None = None, **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_repeated (bytes in strings of ``passage`` bytes that also start elsewhere) of every document."""
+    passage = min(PASSAGE, window) if passage is None else passage
+    source, rows, copied = repeated(docs, window, passage, **how)
+    plain = source.select("doc_id", *ROW, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    removed = rows.mapInArrow(lambda it: _cut_bytes(it, window, passage), "i long, k long, removed long, spans long, kept string, repeated long")
+    whole = copied.select(*ROW).distinct().withColumn("whole", F.lit(True))
+    out = plain.join(removed, ROW, "left").join(whole, ROW, "left")
     gone = F.col("whole").isNotNull() & (F.col("n_bytes") >= window)
     return out.select(
         "doc_id",
@@ -280,6 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("whole").isNotNull() & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("repeated", F.lit(0))).alias("n_repeated"),
     )
 
 
