@@ -137,8 +137,8 @@ def test_mixing(frame):
     rng = random.Random(7)
     rows = [(i, prose(rng, rng.randrange(1, 60)), rng.choice(["en", "de", None]), rng.choice(["src1", "src1", "src2", None])) for i in range(200)] + [(500, None), (501, " "), (None, "a b c"), (7, "same row"), (7, "same row")]
     levels = {"language": F.col("lang"), "source_name": F.col("source")}
-    for bins in (4096, 4):
-        got = mixing.mix(frame(rows), levels, {("en",): 3}, total_tokens=3000, epochs=2, bins=bins).collect()
+    for bin_rows in (50_000, 1):
+        got = mixing.mix(frame(rows), levels, {("en",): 3}, total_tokens=3000, epochs=2, bin_rows=bin_rows).collect()
         held = defaultdict(int)
         for r in got:
             held[r.language, r.source_name, r.budget] += r.n_tokens
@@ -148,6 +148,28 @@ def test_mixing(frame):
     assert mixing.mix(frame(rows).limit(0), levels, {}).count() == 0
 
 
+def test_budget_table_is_the_plain_rule(spark):
+    rng = random.Random(70)
+    for _ in range(4):
+        leaves = {(rng.choice("ab"), rng.choice("xyz"), str(rng.randrange(12))): rng.choice([0, 3, 50, 1000, 12345]) for _ in range(25)}
+        weights = {("a",): rng.randrange(1, 5), ("b", "x"): 3, ("a", "y"): 0}
+        total = rng.randrange(1, 40_000)
+        table = spark.createDataFrame([(*k, t) for k, t in leaves.items()], "d string, l string, s string, t long")
+        got = {tuple(r)[:3]: r.budget for r in mixing.budget_table(table, ["d", "l", "s"], weights, F.lit(total), 2).collect()}
+        want = mixing.budgets(leaves, weights, total, 2)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want), (got, want)
+
+
+def test_mix_does_not_depend_on_partitions_or_bins(frame):
+    rng = random.Random(71)
+    rows = [(rng.choice([None, 1, 2, i]), prose(rng, rng.randrange(1, 30), 40)) for i in range(1500)] + [(9, "a b c")] * 300
+    seen = set()
+    for n, bin_rows in ((1, 50_000), (3, 10), (7, 1)):
+        got = mixing.mix(frame(rows).repartition(n), {"source_name": F.col("source")}, {}, total_tokens=9_000, bin_rows=bin_rows)
+        seen.add(tuple(sorted(map(str, got.collect()))))
+    assert len(seen) == 1
+
+
 def ordinal_table(spark, rng):
     good, bad = (lambda: prose(rng, 40)), (lambda: " ".join(f"w{rng.randrange(400)}!!" for _ in range(40)).upper())
     rows, labels = [], []
