@@ -11,7 +11,8 @@ partial hits are united by document. One block (the usual case) needs no shuffle
 
 Defined results: a null text has no words and is clean; an empty benchmark contaminates nothing; benchmark rows with a
 null item_id or text are no items; rows repeated under one item_id count as one item; repeated documents are judged
-each on their own; other columns are ignored.
+each on their own; an empty table gives no rows; other columns, whatever their names and types, are ignored by
+``decontaminate`` and returned as they are by ``clean``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import LOWER, U64, blocks, mix, spread, words
+from tidemark.llm.presence import bitmap, marked
+from tidemark.session import cut
 
 WIDTH = 13
 #: Benchmark words in one broadcast pattern block: about 60 MB of tables.
@@ -173,21 +176,22 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
     if second is None:
         shared = spark.sparkContext.broadcast(build(first, width))
         return source.mapInArrow(lambda it: scan_batches(it, shared.value), _OUT)
-    # Several pattern blocks: unite the sparse hits by row, not the texts. Rows are told apart by id and text.
-    keyed = source.withColumn("doc_id", F.xxhash64("doc_id", "text"))
+    # Several pattern blocks: unite the sparse hits by row, not the texts. Rows that agree in id and text are equal rows.
+    keyed = source.select("doc_id", "text", *_row_key())
+    out = "i long, k long, hits array<struct<s:int,e:int>>, items array<string>"
     parts = []
     for part in itertools.chain([first, second], pieces):
         shared = spark.sparkContext.broadcast(build(part, width))
-        parts.append(keyed.mapInArrow(lambda it, shared=shared: scan_batches(it, shared.value), _OUT).where("size(items) > 0"))
+        parts.append(keyed.select("i", "k", "text").mapInArrow(lambda it, shared=shared: _sparse(it, shared.value), out))
     sparse = parts[0]
     for x in parts[1:]:
         sparse = sparse.unionByName(x)
-    united = sparse.groupBy(F.col("doc_id").alias("_k")).agg(
+    united = sparse.groupBy("i", "k").agg(
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items")
     )
-    counted = source.select(F.xxhash64("doc_id", "text").alias("_k"), "doc_id", "text").mapInArrow(_counted, "_k long, doc_id long, n_words long")
+    counted = keyed.select("i", "k", "doc_id", "text").mapInArrow(_counted, "i long, k long, doc_id long, n_words long")
     merged = "aggregate(_hits, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and x.s <= element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e))), concat(a, array(x))))"
-    return counted.join(united, "_k", "left").select(
+    return counted.join(united, ["i", "k"], "left").select(
         "doc_id",
         "n_words",
         F.coalesce(F.expr(merged), F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias("hits"),
@@ -195,10 +199,25 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
     )
 
 
+def _row_key() -> list:
+    """i and k: the id (0 for null) and a hash of id and text, which tell rows apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k")]
+
+
+def _sparse(batches: Iterator[pa.RecordBatch], tables: list[Patterns]) -> Iterator[pa.RecordBatch]:
+    """(i, k, hits, items) of the rows with a hit."""
+    for batch in batches:
+        place = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(2)], names=["at", "text"])
+        for found in scan_batches(iter([place]), tables):
+            some = np.flatnonzero(np.diff(found.column(3).offsets.to_numpy()) > 0)
+            at = pa.array(found.column(0).to_numpy()[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), found.column(2).take(pa.array(some)), found.column(3).take(pa.array(some))], names=["i", "k", "hits", "items"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, raw, off in blocks(batches):
         woff = words(raw, off, True)[3]
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(woff), pa.int64())], names=["_k", "doc_id", "n_words"])
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in range(3)), pa.array(np.diff(woff), pa.int64())], names=["i", "k", "doc_id", "n_words"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -214,11 +233,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    key = F.xxhash64("doc_id", "text")
-    judged = decontaminate(docs.select(key.alias("doc_id"), "text"), benchmark, width).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.withColumn("_bad", key).join(judged, "_bad", "left_anti").drop("_bad")
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that are not contaminated, with all their columns.
+
+    With one pattern block the scan itself drops rows. With several, only rows that a bitmap of the contaminated ones'
+    keys may hold are looked up.
+    """
+    spark = docs.sparkSession
+    first = next(pieces := _item_blocks(benchmark, block_words))
+    if next(pieces, None) is None:
+        shared = spark.sparkContext.broadcast(build(first, width))
+        return docs.mapInArrow(lambda it: _clean_batches(it, shared.value), docs.schema)
+    # contamination is a matter of the text alone: judged once for each digest of a text
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
+    ids = cut(keyed.select("digest").distinct().withColumn("doc_id", F.monotonically_increasing_id()), "digests")
+    once = keyed.select("digest", F.col("doc.text").alias("text")).dropDuplicates(["digest"]).join(ids, "digest")
+    bad = decontaminate(once, benchmark, width, block_words).where("contaminated").join(ids, "doc_id").select("digest")
+    bad = cut(bad, "contaminated")
+    split = marked(keyed, bitmap(bad, "digest"), "doubt", "digest")
+    return split.where("not doubt").select("doc.*").unionByName(split.where("doubt").join(bad, "digest", "left_anti").select("doc.*"))
+
+
+def _clean_batches(batches: Iterator[pa.RecordBatch], tables: list[Patterns]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
+        place = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], names=["at", "text"])
+        bad = np.zeros(batch.num_rows, bool)
+        for found in scan_batches(iter([place]), tables):
+            hits = found.column(2)
+            spans = hits.flatten()
+            total = np.concatenate([[0], np.cumsum(spans.field(1).to_numpy().astype(np.int64) - spans.field(0).to_numpy())])
+            ptr = hits.offsets.to_numpy() - hits.offsets[0].as_py()
+            n_hit = total[ptr[1:]] - total[ptr[:-1]]
+            bad[found.column(0).to_numpy()] = (n_hit > 0) & (20 * n_hit >= found.column(1).to_numpy())
+        yield batch.filter(pa.array(~bad))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], width: int = WIDTH) -> dict:

@@ -9,7 +9,9 @@ the bound is a parameter); scoring reads every document whole.
 
 Defined results: a null text scores as an empty one; ratings of unknown documents or null ratings are ignored; without
 any rating (or with one grade alone) every document passes with tail probability 1 and the grade that there is, else 0;
-repeated ratings of a document all count.
+repeated ratings of a document all count, and a rated id that several documents share is learned from the least of their
+texts, so that training never reads more than ``sample`` rows; repeated documents are each scored; an empty table gives no
+rows. Other columns, whatever their names and types, are ignored by ``classify`` and returned as they are by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -88,13 +90,15 @@ def training_rows(docs: DataFrame, ratings: DataFrame, features, columns: list[s
     rated = ratings.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rated_id"), *columns)
     for c in columns:
         rated = rated.where(F.col(c).isNotNull())
-    # the sample is bounded by the parameter, and only then broadcast
-    chosen = rated.orderBy(F.xxhash64("rated_id"), "rated_id", *columns).limit(sample)
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    joined = text.join(F.broadcast(chosen), text["doc_id"] == chosen["rated_id"]).select("rated_id", *[F.col(c).cast("double").alias(c) for c in columns], "text")
+    # the sample is bounded by the parameter, and only then broadcast; equal ratings of an id are one row with a count
+    chosen = rated.orderBy(F.xxhash64("rated_id"), "rated_id", *columns).limit(sample).groupBy("rated_id", *columns).agg(F.count("*").alias("times"))
+    text = docs.select(F.col("doc_id").alias("own_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    joined = text.join(F.broadcast(chosen), text["own_id"] == chosen["rated_id"]).groupBy("rated_id", "times", *columns).agg(F.min("text").alias("text"))
+    joined = joined.select("rated_id", *[F.col(c).cast("double").alias(c) for c in columns], "times", "text")
     types = ", ".join(f"{c} double" for c in columns)
-    got = joined.mapInArrow(lambda it: feature_rows(it, features, 1 + len(columns)), f"rated_id long, {types}, slot array<int>, value array<float>")
+    got = joined.mapInArrow(lambda it: feature_rows(it, features, 2 + len(columns)), f"rated_id long, {types}, times long, slot array<int>, value array<float>")
     got = got.toArrow().combine_chunks()
+    got = got.take(pa.array(np.repeat(np.arange(got.num_rows), got.column("times").to_numpy())))
     got = got.take(pc.sort_indices(got, [("rated_id", "ascending"), *((c, "ascending") for c in columns)]))
     answers = np.stack([got.column(c).to_numpy() for c in columns], 1) if got.num_rows else np.empty((0, len(columns)))
     return answers, compact(got)

@@ -8,7 +8,9 @@ Training reads a bounded sample of labelled documents (``sample`` rows, first in
 scoring reads every document whole.
 
 Defined results: a null text scores as an empty one; labels with a null id or a null in a category are ignored; a
-category without both answers in the sample gets the probability of the one answer there is (0 without any).
+category without both answers in the sample gets the probability of the one answer there is (0 without any); repeated
+labels all count, and a labelled id that several documents share is learned from the least of their texts; repeated
+documents are each scored; an empty table gives no rows; other columns, whatever their names and types, are ignored.
 """
 
 from __future__ import annotations
