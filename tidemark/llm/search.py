@@ -7,12 +7,15 @@ that blocks of 64 documents are alike; for each term and block the greatest impa
 Statistics are global: document count, mean length and each query term's document frequency are summed over all shards
 before any score is made; so a shard's scores are final, and merging the shards' best k is exact.
 
-Search (block-max WAND, batches of like queries in place of one pivot at a time). The block maxima of a query's terms
-add up to a bound for every block. The most promising blocks are scored first and give a threshold, the k-th best score
-so far; then the other blocks whose bound reaches it; all others are skipped unread. The threshold is carried from
-shard to shard within a task. Scores of a batch over its blocks are made in single precision, frequent terms by matrix
-products and the others from their postings; documents that can still be among the best k, given the rounding error,
-are scored again in double precision, and only those scores count.
+Search (block-max WAND at the grain of blocks). The block maxima of a query's terms add up to a bound for every block.
+Each query has a threshold, the k-th best score that it has so far, and a cursor: its pivot, the next block whose bound
+reaches the threshold; blocks before it are skipped unread by that query. The least pivot of all queries is the block
+that is read next, for the queries whose pivot it is and no others; their thresholds rise and their cursors move on to
+their next pivots. The four most promising blocks of a query are read first, so that its threshold is high from the
+start, and it is carried from shard to shard within a task. Scores of a block are made in single precision, frequent
+terms by a matrix product and the others from their postings; documents that can still be among the best k, given the
+rounding error, are scored again in double precision, and only those scores count. ``Shard.read`` and ``Shard.pairs``
+count what was read, of how many (query, block) pairs there were.
 
 Queries come in blocks of bounded size; each block is broadcast alone and runs against all shards.
 
@@ -20,8 +23,8 @@ Words are runs of letters, digits and non-ASCII, in lower case. A document is no
 only scores above 0 are hits; equal scores (at nine decimals) are in order of doc_id, nulls last.
 
 Defined results: a null or empty text is indexed with length 0 and never a hit, and as a query it has none; repeated
-rows are hits each; each distinct text of a query id
-is searched, with ranks of its own; other columns are ignored.
+rows are hits each; each distinct text of a query id is searched, with ranks of its own; an empty table gives no rows;
+other columns, whatever their names and types, are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +141,8 @@ class Shard:
         block = self.doc // BLOCK
         entry = np.flatnonzero(np.concatenate([[True], (term_of[1:] != term_of[:-1]) | (block[1:] != block[:-1])])) if len(index) else np.empty(0, np.int64)
         top = np.maximum.reduceat(self.impact, entry) if len(entry) else np.empty(0)
-        self.entry_ptr, self.entry_block, self.entry_top = np.searchsorted(entry, self.ptr), block[entry], top
+        self.entry_ptr, self.entry_block, self.entry_top, self.entry_start = np.searchsorted(entry, self.ptr), block[entry], top, entry
+        self.read = self.pairs = 0
         often = np.flatnonzero(size >= max(8, FREQUENT * self.n))
         self.column = np.full(len(have), -1, np.int32)
         self.column[often] = np.arange(len(often))
@@ -153,11 +157,38 @@ class Shard:
         self.own_term, self.own_impact = term_of[order], self.impact[order]
         self.own_ptr = np.searchsorted(self.doc[order], np.arange(self.n + 1))
 
-    def _rare(self, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, where: np.ndarray, value: np.ndarray, size: int, slot: np.ndarray | None = None) -> np.ndarray:
+    def _rare(self, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, where: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
         n = ptr[terms + 1] - ptr[terms]
         index = np.repeat(ptr[terms], n) + spread(n)
-        at = where[index] if slot is None else slot[where[index]]
-        return np.bincount(at, np.repeat(weights, n) * value[index], size)
+        return np.bincount(where[index], np.repeat(weights, n) * value[index], size)
+
+    def _entries(self, rare: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """(block offsets, query, weight, first posting, end) of the queries' infrequent terms, in order of their blocks."""
+        size = [self.entry_ptr[t + 1] - self.entry_ptr[t] for t, _ in rare]
+        query = np.repeat(np.arange(len(rare)), [int(n.sum()) for n in size])
+        term = np.concatenate([np.repeat(t, n) for (t, _), n in zip(rare, size, strict=True)])
+        weight = np.concatenate([np.repeat(w, n) for (_, w), n in zip(rare, size, strict=True)])
+        entry = np.concatenate([np.repeat(self.entry_ptr[t], n) + spread(n) for (t, _), n in zip(rare, size, strict=True)])
+        order = np.argsort(self.entry_block[entry], kind="stable")
+        query, weight, entry, term = query[order], weight[order], entry[order], term[order]
+        end = np.where(entry + 1 < self.entry_ptr[term + 1], self.entry_start[np.minimum(entry + 1, len(self.entry_start) - 1)], self.ptr[term + 1]) if len(entry) else entry
+        return np.searchsorted(self.entry_block[entry], np.arange(self.blocks + 1)), query, weight, self.entry_start[entry], end
+
+    def _score(self, b: int, asking: np.ndarray, w: np.ndarray, rare: tuple[np.ndarray, ...], local: np.ndarray) -> np.ndarray:
+        """Scores of block b's documents for the queries that ask for it."""
+        part = w[asking] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
+        ptr, query, weight, start, end = rare
+        own = slice(ptr[b], ptr[b + 1])
+        local[asking] = np.arange(len(asking))
+        place = local[query[own]]
+        local[asking] = -1
+        mine = np.flatnonzero(place >= 0)
+        if len(mine):
+            place, weight, start, n = place[mine], weight[own][mine], start[own][mine], (end[own] - start[own])[mine]
+            at = np.repeat(start, n) + spread(n)
+            cell = np.repeat(place * BLOCK, n) + (self.doc[at] - b * BLOCK)
+            part += np.bincount(cell, np.repeat(weight, n) * self.impact[at], part.size).reshape(part.shape).astype(np.float32)
+        return part
 
     def search(self, batch: list, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(scores, documents) for each (own id, terms, weights) of the batch that can be among its best k, given thresholds."""
@@ -175,37 +206,40 @@ class Shard:
             bound[q] += self._rare(terms, weights, self.entry_ptr, self.entry_block, self.entry_top, self.blocks)
         bound *= 1 + SLACK
         score = np.zeros((m, self.blocks * BLOCK), np.float32)
-        done = np.zeros(self.blocks, bool)
-        least = least.copy()
-        first = np.argpartition(-bound, min(3, self.blocks - 1), axis=1)[:, :4] if self.blocks else np.empty((m, 0), np.int64)
-        for step in range(2):
-            wanted = np.zeros(self.blocks, bool)
-            if step == 0:
-                wanted[np.unique(first)] = True
-            else:
-                wanted |= ((bound >= least[:, None]) & (bound > 0)).any(axis=0)
-            wanted &= ~done
-            if not wanted.any():
-                continue
-            rows = (np.flatnonzero(wanted)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            part = w @ self.dense[rows].T
-            slot = np.full(self.blocks * BLOCK, len(rows), np.int64)
-            slot[rows] = np.arange(len(rows))
-            for q, (terms, weights) in enumerate(rare):
-                part[q] += self._rare(terms, weights, self.ptr, self.doc, self.impact, len(rows) + 1, slot)[:-1].astype(np.float32)
-            score[:, rows] = part
-            done |= wanted
-            if step == 0 and part.shape[1] > k:
-                kth = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k]
-                least = np.maximum(least, np.where(kth > 0, kth * (1 - SLACK), 0))
+        top = np.zeros((m, k), np.float32)  # the best k scores that each query has
+        least, local, entries = least.copy(), np.full(m, -1), self._entries(rare)
+        self.pairs += m * self.blocks
+
+        def read(b: int, asking: np.ndarray) -> None:
+            part = self._score(b, asking, w, entries, local)
+            score[asking, b * BLOCK : (b + 1) * BLOCK] = part
+            bound[asking, b] = -1
+            better = part.max(axis=1) > top[asking].min(axis=1)
+            if better.any():
+                some = asking[better]
+                top[some] = np.partition(np.hstack([top[some], part[better]]), part.shape[1], axis=1)[:, part.shape[1] :]
+                least[some] = np.maximum(least[some], top[some].min(axis=1) * (1 - SLACK))
+            self.read += len(asking)
+
+        wants = lambda q, b: (bound[q, b] >= least[q]) & (bound[q, b] > 0)
+        if self.blocks:
+            first = np.argpartition(-bound, min(3, self.blocks - 1), axis=1)[:, :4]
+            for b in np.unique(first).tolist():
+                asking = np.flatnonzero((first == b).any(axis=1) & wants(slice(None), b))
+                if len(asking):
+                    read(b, asking)
+        open_ = (bound >= least[:, None]) & (bound > 0)
+        pivot = np.where(open_.any(axis=1), open_.argmax(axis=1), self.blocks) if self.blocks else np.zeros(m, np.int64)
+        while self.blocks and (b := int(pivot.min())) < self.blocks:
+            asking = np.flatnonzero(pivot == b)
+            read(b, asking)
+            ahead = (bound[asking, b + 1 :] >= least[asking, None]) & (bound[asking, b + 1 :] > 0)
+            pivot[asking] = np.where(ahead.any(axis=1), b + 1 + ahead.argmax(axis=1), self.blocks) if ahead.shape[1] else self.blocks
         out = []
         full = np.zeros(len(self.column))
         for q, (own, terms, weights) in enumerate(batch):
             s = score[q]
-            floor = least[q] * (1 - SLACK)
-            if len(s) > k:
-                floor = max(floor, float(np.partition(s, len(s) - k)[len(s) - k]) * (1 - 2 * SLACK))
-            doc = np.flatnonzero((s > 0) & (s >= floor))
+            doc = np.flatnonzero((s > 0) & (s >= least[q] * (1 - SLACK)))
             doc = doc[doc < self.n]
             doc = doc[(self.doc_id[doc] != own) | self.null_id[doc]]
             full[terms] = weights
