@@ -6,6 +6,7 @@ bounded by the block size (or by the longest single text, where that is larger).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,15 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20, most_rows: int = 1 << 12) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def settle() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task should not hold its last one's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20, most_rows: int = 1 << 12) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of at most ``most_rows`` rows and ``limit`` bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -89,6 +98,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2
             to = min(at + most_rows, max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at), raw[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+        del batch, raw, off
+    settle()
 
 
 def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
