@@ -1,7 +1,8 @@
 """The bounded decision loop and its validator.
 
 A run is one row with arrays (its candidates, its segments), built by one shuffle; the loop is bounded by the budget,
-so it is unrolled: each step is a narrow projection with array functions. Nothing is collected, and runs are independent.
+so it is unrolled: each step is a narrow projection with array functions, written as a table. Nothing is collected, and
+runs are independent.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import constants as K
+from tidemark.session import cut, drop
 
 GAIN, COST = 0.1, 0.01
 _SEGMENT = "array<struct<item_id:string,segment_id:string,value:double,status:string,observed:string>>"
@@ -61,7 +63,10 @@ def play(run_rows: DataFrame, budget: int = K.MAX_ACTIONS, margin: float | None
     """run_id, candidates, segments, trace, stopped: the loop of at most budget + 1 entries."""
     state = run_rows.withColumn("trace", F.expr(f"cast(array() as {_TRACE})")).withColumn("stopped", F.lit(None).cast("string"))
     for step in range(budget + 1):
-        state = _step(state, step, budget, margin, least)
+        # a table for each step: array expressions of one step are not folded into the next one's
+        before, state = state, cut(_step(state, step, budget, margin, least), "loop")
+        if step:
+            drop(before)
     return state
 
 

@@ -76,6 +76,21 @@ margin AS (
   SELECT a.run_id, round(a.score - b.score, 9) AS margin FROM cr a LEFT JOIN cr b ON b.run_id = a.run_id AND b.rank = 2 WHERE a.rank = 1),
 bs AS (
   SELECT run_id, item_id, segment_id, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, item_id, segment_id) AS r FROM s) WHERE r = 1)"""
+# the best open segment does not depend on the scores, so a run takes its segments in one fixed order until it stops
+_LOOP = f"""taken AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, item_id, segment_id) AS k FROM s),
+step AS (SELECT unnest(range(0, {K.MAX_ACTIONS + 1})) AS t),
+now AS (
+  SELECT c.run_id, t, c.item_id, round(c.score + sum(CASE WHEN taken.item_id IS NULL THEN 0 WHEN taken.item_id = c.item_id THEN 0.1::DOUBLE ELSE -0.01::DOUBLE END), 12) AS score
+  FROM c CROSS JOIN step LEFT JOIN taken ON taken.run_id = c.run_id AND k <= t AND status = 'succeeded' GROUP BY c.run_id, t, c.item_id, c.score),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run_id, t ORDER BY score DESC, item_id) AS r FROM now),
+lead AS (SELECT run_id, t, max(item_id) FILTER (r = 1) AS top_item, max(score) FILTER (r = 1) AS top, max(score) FILTER (r = 2) AS second FROM placed GROUP BY ALL),
+may AS (
+  SELECT lead.run_id, lead.t, top_item, top, round(top - second, 12) AS margin, item_id, segment_id, value, status,
+         CASE WHEN lead.t = {K.MAX_ACTIONS} THEN '{K.BUDGET}' WHEN k IS NULL THEN '{K.NO_SEGMENTS}' WHEN top - second >= {K.MARGIN_THRESHOLD} - 5e-13 THEN '{K.CERTAIN}'
+              WHEN value < {K.MIN_VALUE} THEN '{K.TOO_LOW}' END AS reason
+  FROM lead LEFT JOIN taken ON taken.run_id = lead.run_id AND k = lead.t + 1),
+stop AS (SELECT run_id, min(t) AS z FROM may WHERE reason IS NOT NULL GROUP BY run_id),
+tr AS (SELECT may.*, z, reason IS NULL AS acted, reason IS NULL OR reason = '{K.TOO_LOW}' AS chose FROM may JOIN stop USING (run_id) WHERE t <= z)"""
 _UNIT = """nrm AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n, embedding FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n) AS v FROM nrm),
 flat AS (SELECT vec_id, label, unnest(range(1, len(v) + 1)) AS i, v FROM u),
@@ -141,8 +156,8 @@ SQL: dict[str, str] = {
     "cutoffs": _w(*_S) + "SELECT user_id, split, interaction_index AS history_end_exclusive FROM parts WHERE split <> 'train'",
     "target_history": _w(*_S, _LEAN) + "SELECT user_id, split, target_item, string_agg(item_id, ',' ORDER BY pos) AS history FROM hist GROUP BY ALL",
     "history_fingerprint": _w(*_S, _LEAN) + """SELECT user_id, split, sha256('{"items":["' || string_agg(item_id, '","' ORDER BY pos) || '"],"recipe":"history-v1","user_id":"' || user_id || '"}' || chr(10)) AS fingerprint FROM hist GROUP BY user_id, split""",
-    "padded_history": _w(*_S, _VOCAB, _LEAN) + """SELECT user_id, split, repeat('0,', 20 - len(x)) || array_to_string(x, ',') AS padded FROM (
-        SELECT user_id, split, list(model_index ORDER BY pos)[-20:] AS x FROM hist JOIN vocab USING (item_id) GROUP BY ALL)""",
+    "padded_history": _w(*_S, _VOCAB, _LEAN) + """SELECT user_id, split, repeat('0,', 50 - len(x)) || array_to_string(x, ',') AS padded FROM (
+        SELECT user_id, split, list(model_index ORDER BY pos)[-50:] AS x FROM hist JOIN vocab USING (item_id) GROUP BY ALL)""",
     "seen_in_vocab": _w(*_L, _VOCAB) + "SELECT user_id, count(*) AS known_events FROM parts WHERE item_id IN (SELECT item_id FROM vocab) GROUP BY user_id",
     "recent_five": _w(_SMALL, _LABEL, _POS) + "SELECT user_id, item_id, n - pos AS age, interaction_index FROM pos WHERE n - pos < 5",
     "recency_strength": _w(_SMALL, _LABEL, _POS) + "SELECT user_id, n - pos AS age, round(pow(2.0, -(n - pos) / 2), 9) AS strength FROM pos WHERE n - pos < 5",
@@ -202,7 +217,7 @@ SQL: dict[str, str] = {
     "segment_catalog": _w(_SEG) + "SELECT item_id, string_agg(segment_id || ':' || start_ms || ':' || end_ms, ',' ORDER BY start_ms, end_ms, segment_id) AS catalog FROM seg GROUP BY item_id",
     "item_segment_index": _w(_SEG, _ITEMS) + "SELECT item_id, coalesce(string_agg(segment_id, ',' ORDER BY sequence_index), '') AS segments, count(segment_id) AS n FROM items LEFT JOIN seg USING (item_id) GROUP BY item_id",
     "item_features": _w(_SEG, _ITEMS) + "SELECT item_id, count(segment_id) AS segment_count FROM items LEFT JOIN seg USING (item_id) GROUP BY item_id",
-    "keyed_lookup": "SELECT row_number() OVER (ORDER BY k DESC) - 1 AS place, k AS c_custkey, c_name FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey <= 200) JOIN customer ON c_custkey = k",
+    "keyed_lookup": "SELECT row_number() OVER (ORDER BY k DESC) - 1 AS place, k AS c_custkey, c_name FROM (SELECT DISTINCT o_custkey AS k FROM orders) JOIN customer ON c_custkey = k",
     "l2_normalize": _w(_UNIT) + "SELECT vec_id, round(v[1], 6) AS first, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM u",
     "weighted_centroid": _w(_UNIT) + "SELECT label, unnest(range(0, len(c))) AS i, round(unnest(c), 6) AS x FROM cen",
     "medoid": _w(_UNIT) + "SELECT label, arg_min(vec_id, (-cos, vec_id)) AS vec_id, round(max(cos), 6) AS cos FROM (SELECT label, vec_id, round(list_dot_product(v, c), 9) AS cos FROM u JOIN cen USING (label)) GROUP BY label",
@@ -220,7 +235,14 @@ SQL: dict[str, str] = {
     "stop_pre": _w(_SCENE) + "SELECT run_id, CASE WHEN run_id % 7 = 0 THEN 'budget_exhausted' WHEN run_id % 11 = 0 THEN 'no_unobserved_segments' WHEN margin >= 0.1 THEN 'ranking_sufficiently_certain' ELSE 'continue' END AS decision FROM margin",
     "stop_post": _w(_SCENE) + "SELECT run_id, CASE WHEN value < 0.15 THEN 'max_segment_value_too_low' ELSE 'continue' END AS decision FROM bs",
     "recommendation_state": _w(_SCENE) + "SELECT cr.run_id, cr.item_id, cr.rank, cr.score, count(*) AS segments, count(*) FILTER (status = 'failed') AS failures, p_brand AS feature FROM cr JOIN s USING (run_id, item_id) JOIN part ON p_partkey = cr.part GROUP BY ALL",
-    "replay_violations": "SELECT CAST(0 AS BIGINT) AS run_id, CAST(0 AS INT) AS decision_index, '' AS problem WHERE false",
+    "agent_runs": _w(_SCENE, _LOOP) + "SELECT run_id, t AS actions, reason AS stop_reason, top_item, round(top, 6) AS top_score FROM tr WHERE t = z",
+    "agent_trace": _w(_SCENE, _LOOP) + """SELECT run_id, CAST(t AS INT) AS decision_index, acted, reason, round(margin, 6) AS margin, CASE WHEN chose THEN item_id END AS item_id,
+        CASE WHEN chose THEN segment_id END AS segment_id, CASE WHEN chose THEN value END AS value, CASE WHEN acted THEN status END AS result FROM tr""",
+    "unobserved_segments": _w(_SCENE, _LOOP) + "SELECT run_id, item_id, segment_id FROM taken JOIN stop USING (run_id) WHERE k > z",
+    "replay_violations": _w(_SCENE, _LOOP) + """SELECT run_id, CAST(t AS INT) AS decision_index, 'margin does not follow from the scores' AS problem FROM tr WHERE run_id % 10 = 0 AND t = 0
+        UNION ALL SELECT run_id, 0, 'the result is not the segment''s' FROM tr WHERE run_id % 10 = 1 AND t = 0 AND acted
+        UNION ALL SELECT run_id, CAST(t AS INT), 'a score does not follow from the evidence' FROM tr WHERE run_id % 10 = 1 AND t > 0
+        UNION ALL SELECT run_id, CAST(t AS INT), 'the run has no terminal decision' FROM tr WHERE run_id % 10 = 2 AND t = z - 1""",
     "coverage_diff": "SELECT o_orderkey AS k, 'missing' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'extra' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     "check_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "check_order": """SELECT l_orderkey, count(*) AS n FROM (SELECT l_orderkey, l_shipdate, lag(l_shipdate) OVER (PARTITION BY l_orderkey

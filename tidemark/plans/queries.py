@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark import constants as K
 from tidemark.functions import scalar as S, vector as V
 from tidemark.operators import agent, catalog, constraints as C, ingest, memory, ranking as R, sequences as Q
-from tidemark.session import table
+from tidemark.session import cut, table
 from tidemark.sources import driver_tables as T
 
 VERSION = "demo"
@@ -446,8 +446,17 @@ def agent_trace(spark, d):
 
 
 def replay_violations(spark, d):
+    """What the validator finds in saved traces that were tampered with: a first margin in runs 0 modulo 10, a first result
+    in runs 1, the missing last decision of runs 2 that acted. All other runs are as they were played."""
     c, s, p = _played(spark, d)
-    return agent.violations(agent.trace(p), c, s)
+    steps = agent.trace(p)
+    kind, first = F.col("run_id") % 10, F.col("decision_index") == 0
+    steps = steps.withColumn("margin", F.when((kind == 0) & first, F.coalesce(F.col("margin") + 0.5, F.lit(1.0))).otherwise(F.col("margin")))
+    flipped = F.when(F.col("result") == "failed", "succeeded").when(F.col("result") == "succeeded", "failed")
+    steps = steps.withColumn("result", F.when((kind == 1) & first, flipped).otherwise(F.col("result")))
+    steps = steps.where(~((kind == 2) & F.col("reason").isNotNull() & (F.col("decision_index") > 0)))
+    # the validator reads the trace many times, as a saved table: the loop isn't played again
+    return agent.violations(cut(steps, "trace"), cut(c, "candidates"), cut(s, "segments"))
 
 
 def initial_evidence(spark, d):
