@@ -256,7 +256,7 @@ SQL: dict[str, str] = {
     "check_constant": "SELECT l_orderkey, count(DISTINCT (l_returnflag, l_linestatus)) AS variants FROM lineitem GROUP BY 1 HAVING variants > 1",
     "check_scattered": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING max(event_id) - min(event_id) + 1 <> count(*)",
     "check_dictionary": "SELECT p_partkey AS k, p_brand AS brand FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 9 = 0",
-    "check_case": "SELECT p_brand AS root, lower(p_type) AS folded, count(DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type END) AS n FROM part GROUP BY ALL HAVING n > 1",
+    "check_case": "SELECT p_brand AS root, lower(p_type) AS folded, count(DISTINCT CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE p_type END) AS n FROM part GROUP BY ALL HAVING n > 1",
     "check_partition": "SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type IN ('click', 'purchase', 'signup')) AS others FROM events GROUP BY 1 HAVING total <> views + others",
     "check_status": """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT CASE l_partkey % 3 WHEN 0 THEN l_partkey % 2 = 0 AND l_partkey % 5 = 0 AND l_partkey % 7 <> 0
         WHEN 1 THEN l_partkey % 2 > 0 AND l_partkey % 5 <> 0 AND l_partkey % 7 <> 0 ELSE l_partkey % 2 > 0 AND l_partkey % 5 = 0 AND l_partkey % 7 = 0 END""",

@@ -565,7 +565,7 @@ def check_dictionary(spark, d):
 
 
 def check_case(spark, d):
-    x = table(spark, d, "part").select(F.col("p_brand").alias("root"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.col("p_type")).alias("key"))
+    x = table(spark, d, "part").select(F.col("p_brand").alias("root"), F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("key"))
     return C.case_collisions(x, "root", "key")
 
 
