@@ -124,4 +124,24 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 WHERE rank <= 10
 """
 
-SQL = {"op8_bm25_topk": OP8, "op3_substring_dedup": OP3, "op2_decontaminate": OP2, "op4_mix_sources": OP4, "op5_secrets": OP5}
+OP12 = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w
+  FROM documents),
+d AS (
+  SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT *, array_to_string(w[1:least(c1, c2)], '') AS x, array_to_string(w[least(c1, c2) + 1:greatest(c1, c2)], '') AS y, array_to_string(w[greatest(c1, c2) + 1:], '') AS z
+  FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+SQL = {"op12_infill": OP12, "op8_bm25_topk": OP8, "op3_substring_dedup": OP3, "op2_decontaminate": OP2, "op4_mix_sources": OP4, "op5_secrets": OP5}

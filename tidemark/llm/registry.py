@@ -1,11 +1,13 @@
-"""The ten corpus queries over the whole of their tables, and their oracle SQL."""
+"""The thirteen corpus queries over the whole of their tables, and their oracle SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import oracles
-from tidemark.session import table
+from tidemark.session import shared_dir, table
 
 #: Mixing: a domain for each source family, languages by weight, sources alike.
 MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1} | {
@@ -89,6 +91,27 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.runs import digest, find_runs, repeat_tail
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    return digest(find_runs(docs, rewrite=repeat_tail, given=("h",)))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.infill import digest, infill
+
+    return digest(infill(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import token_files
+
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.digest(token_files.read(spark, path, as_bytes=True))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
