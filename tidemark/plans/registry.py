@@ -6,7 +6,9 @@ import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import oracles, queries as _queries
+from tidemark.plans import oracles, queries as _queries, states
+
+_MODULES = (_queries, states)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,11 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {n: f for n, f in vars(_queries).items() if inspect.isfunction(f) and f.__module__ == _queries.__name__ and not n.startswith("_")}
+    return {n: f for m in _MODULES for n, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and not n.startswith("_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    found = dict(oracles.SQL)
+    for m in _MODULES[1:]:
+        found |= m.SQL
+    return found

@@ -108,3 +108,22 @@ def scenario(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when((F.col("part") + F.col("seg")) % 5 == 0, "failed").otherwise("succeeded").alias("status"),
     )
     return c.select("run_id", "item_id", "score"), s
+
+
+def observation_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A feed of observation results from ``lineitem``: an order is a run, a line a result at the step of its line number.
+
+    (items: run_id, item_id; segments: run_id, item_id, segment_id; results). A part is an item, its supplier a segment of
+    it; lines of the highest tax are of unknown items, of the next highest of unknown segments. Returned lines failed. The
+    quantity numbers the evidence, so that orders use ids twice; line numbers stand twice as they do in the table; lines of
+    round quantities are delivered twice.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    run, item, segment = F.col("l_orderkey").alias("run_id"), F.concat(F.lit("item:"), "l_partkey").alias("item_id"), F.concat(F.lit("seg:"), "l_suppkey").alias("segment_id")
+    failed = F.col("l_returnflag") == "R"
+    results = li.withColumn("copy", F.explode(F.when(F.col("l_quantity") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select(
+        run, F.col("l_linenumber").cast("bigint").alias("step"), item, segment, F.when(failed, "failed").otherwise("succeeded").alias("status"),
+        F.when(~failed, F.concat(F.lit("ev:"), F.col("l_quantity").cast("bigint"))).alias("evidence_id"),
+        F.when(failed & (F.col("l_discount") > 0), F.concat(F.lit("status "), "l_linestatus")).alias("reason"),
+    )
+    return li.where("l_tax < 0.08D").select(run, item).distinct(), li.where("l_tax < 0.07D").select(run, item, segment).distinct(), results
