@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,14 +189,13 @@ def test_pieces_give_the_ids_of_whole_texts(spark):
 
     with open(token_files.default_vocabulary(), encoding="utf-8") as f:
         vocabulary = f.read()
-    odd = ["<|endoftext|>a b<|startoftext|>", "x\x0by\x0cz\x1cq\x85r\xa0s t", "e ́ ΣΑΣ Σ", "", "  ", "it's  'S don't<|endof text|>", "a\x00b c", "word " * 20_000, "q" * 500]
+    odd = ["<|endoftext|>a b<|startoftext|>", "x\x0by\x0cz\x1cq\x85r\xa0s t", "e ́ ΣΑΣ Σ", "", "  ", "it's  'S don't<|endof text|>", "a\x00b c", "word " * 20_000, "q" * 500, "a.b, c'. d'.' e.'s f!'s <|endoftext|>. x<|endoftext|>!! 12.5, \u0958. \u0958\u0958 \u01c5,", "\u0958\u0915 " * 3]
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + odd
     whole = [e.ids + [2] for e in Tokenizer.from_str(vocabulary).encode_batch(texts, add_special_tokens=False)]
     for kept in (10**6, 50):  # with and without much to keep
         encoder = token_files.Encoder(vocabulary, 2, kept)
         for at in range(0, len(texts), 50):
-            got = encoder.encode([t.encode() for t in texts[at : at + 50]])
-            assert [np.frombuffer(b, np.int32).tolist() for b in got] == whole[at : at + 50]
+            assert encoder.encode(pa.array(texts[at : at + 50])).to_pylist() == whole[at : at + 50]
 
 
 def test_op13_against_the_library(spark):

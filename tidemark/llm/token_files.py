@@ -22,25 +22,29 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from tidemark.llm.blocks import settle
+from tidemark.llm.blocks import column_bytes, settle
 from tidemark.llm.elias_fano import EliasFano
 
 FORMAT, VERSION = "token_files", 1
 END_ID = 2
-#: Distinct pieces a worker keeps (some 200 bytes each), and the longest that is kept.
-KEPT_PIECES, LONGEST_PIECE = 1_000_000, 64
+#: Distinct pieces, and parts of pieces, that a worker keeps (some 200 bytes each), and the longest that is kept.
+KEPT_PIECES, LONGEST_PIECE = 400_000, 64
 #: Bytes of text encoded at once, ids read at once, and documents that a reading task takes.
-ENCODE_BYTES, READ_IDS, READ_DOCS = 1 << 20, 1 << 18, 1 << 16
+ENCODE_BYTES, READ_IDS, READ_DOCS = 1 << 22, 1 << 18, 1 << 16
+#: Pieces whose ids are laid out at once.
+GATHER = 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -52,43 +56,122 @@ def default_vocabulary() -> str:
 # --- encoding
 
 
+class Kept:
+    """A dictionary in two generations of ``most`` / 2 entries: what is asked for again moves to the younger, what isn't goes with the elder."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def absent(self, keys: set[bytes]) -> set[bytes]:
+        """The keys that are in neither; all others are in the younger from here to the next call."""
+        fresh = keys.difference(self.young)
+        if len(self.young) + len(fresh) > self.half:
+            self.young, self.old, fresh = {}, self.young, keys
+        old = self.old
+        self.young |= {k: old[k] for k in fresh if k in old}
+        return fresh.difference(old)
+
+
+#: A pre-tokenizer that ends with this takes runs of letters, single digits and runs of other marks apart.
+_CLASSES = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A piece whose last ASCII letter or digit is followed by ASCII marks alone, the first of them no apostrophe.
+_TAIL = re.compile(rb"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)", re.DOTALL)
+
+
 class Encoder:
     """Ids of whole texts, from a tokenizer that drops white space; distinct pieces are encoded once.
 
-    Pieces are kept in two generations of ``kept`` / 2: what is asked for again moves to the younger, what isn't goes with the elder.
+    Where the vocabulary says that runs of letters and of marks are tokenized apart, a new piece is cut before its closing marks,
+    so that a word is encoded once whatever follows it; where it marks words' ends, new words of letters alone are
+    encoded many in a text, with spaces between, and told apart by these marks (one each, else they are encoded alone).
     """
 
     def __init__(self, vocabulary: str, end_id: int, kept: int = KEPT_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.half, self.end = Tokenizer.from_str(vocabulary), kept // 2, np.int32(end_id).tobytes()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _pieces(self, distinct: set[bytes]) -> dict[bytes, bytes]:
-        listed = list(distinct)
-        out = self.tokenizer.encode_batch_fast([p.decode() for p in listed], add_special_tokens=False)
-        return {p: np.array(e.ids, np.int32).tobytes() for p, e in zip(listed, out, strict=True)}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers, the end id behind them."""
-        split = [t.split() for t in texts]
-        distinct = set().union(*split)
-        fresh = distinct.difference(self.young)
-        if len(self.young) + len(fresh) > self.half:
-            self.young, self.old, fresh = {}, self.young, distinct
-        old = self.old
-        self.young |= {p: old[p] for p in fresh if p in old}
-        missing = fresh.difference(old)
-        long = {p for p in missing if len(p) > LONGEST_PIECE}
-        self.young |= self._pieces(missing)
-        get = self.young.__getitem__
-        out = [b"".join(map(get, pieces)) + self.end for pieces in split]
-        for p in long:
-            del self.young[p]
+        self.tokenizer, self.end = Tokenizer.from_str(vocabulary), np.int32(end_id).tobytes()
+        self.pieces, self.parts = Kept(kept), Kept(kept)
+        told = json.loads(vocabulary)
+        added = [re.escape(t["content"].encode()) for t in told.get("added_tokens", [])]
+        self.added = re.compile(b"|".join(added) if added else rb"(?!)").search
+        patterns = [p.get("pattern", {}).get("Regex", "") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.classes = len(patterns) > 0 and patterns[0].endswith(_CLASSES)
+        suffix = told["model"].get("end_of_word_suffix")
+        self.ends = None
+        if self.classes and suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _alone(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        out = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
+        return {p: array("i", e.ids).tobytes() for p, e in zip(parts, out, strict=True)}
+
+    def _encoded(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        if self.ends is None:
+            return self._alone(list(parts))
+        words, others, texts = [], [], []
+        for p in parts:
+            text = p.decode()
+            if text.isalpha():
+                words.append(p)
+                texts.append(text)
+            else:
+                others.append(p)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+        last = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(last) != len(words) or last and last[-1] != 4 * len(ids):
+            return self._alone(list(parts))
+        data = ids.tobytes()
+        return {p: data[a:b] for p, a, b in zip(words, [0, *last], last, strict=False)} | self._alone(others)
+
+    def _cut(self, piece: bytes) -> tuple[bytes, ...]:
+        found = _TAIL.fullmatch(piece) if self.classes else None
+        return found.groups() if found and not self.added(piece) else (piece,)
+
+    def _new(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces that aren't kept."""
+        cuts = {p: self._cut(p) for p in missing}
+        new = self.parts.absent(set().union(*cuts.values()))
+        part = self.parts.young
+        part |= self._encoded(new)
+        out = {p: part[cut[0]] if len(cut) == 1 else part[cut[0]] + part[cut[1]] for p, cut in cuts.items()}
+        for p in new:
+            if len(p) > LONGEST_PIECE:
+                del part[p]
         return out
 
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
+        found = list(map(self.pieces.young.get, distinct))
+        missing = {p for p, x in zip(distinct, found, strict=True) if x is None}
+        if not missing:
+            return found
+        new = self._new(self.pieces.absent(missing))
+        known = self.pieces.young
+        known |= new
+        found = [known[p] if x is None else x for p, x in zip(distinct, found, strict=True)]
+        for p in new:
+            if len(p) > LONGEST_PIECE:
+                del known[p]
+        return found
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, the end id behind them. Each distinct piece of the texts is looked up once."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        raw, off = column_bytes(coded.dictionary)
+        raw, off = raw.tobytes(), off.tolist()
+        distinct = [raw[a:b] for a, b in zip(off, off[1:], strict=False)]
+        ids = [b"" if not p else x for p, x in zip(distinct, self._ids([p or b" " for p in distinct]), strict=True)] if b"" in distinct else self._ids(distinct)
+        ids.append(self.end)  # stands behind each text
+        index = np.insert(coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy()).cumsum(), len(distinct))
+        flat, size = np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, length = np.cumsum(size) - size, size[index]
+        end = np.cumsum(length)
+        made = [flat[np.repeat(start[i] - (n.cumsum() - n), n) + np.arange(n.sum())] for i, n in ((index[a : a + GATHER], length[a : a + GATHER]) for a in range(0, len(index), GATHER))]
+        bounds = np.concatenate([[0], end[np.flatnonzero(index == len(distinct))]])
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(made) if made else np.empty(0, np.int32)))
+
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -97,18 +180,13 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id:
     key = (hash(vocabulary), end_id)
     encoder = _encoders[key] if key in _encoders else _encoders.setdefault(key, Encoder(vocabulary, end_id))
     for batch in batches:
-        at, size, texts = 0, 0, []
         column = batch.column(1)
-        for i in range(batch.num_rows):
-            value = column[i].as_buffer()
-            texts.append(value.to_pybytes() if value is not None else b"")
-            size += len(texts[-1])
-            if size > ENCODE_BYTES or i + 1 == batch.num_rows:
-                ids = encoder.encode(texts)
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, i + 1 - at), lists], names=["doc_id", "ids"])
-                at, size, texts = i + 1, 0, []
+        off = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + ENCODE_BYTES, "right")) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), encoder.encode(column.slice(at, to - at))], names=["doc_id", "ids"])
+            at = to
     settle()
 
 
