@@ -189,7 +189,7 @@ def test_files_and_releases(spark, tmp_path):
     version, created = artifacts.publish(spark, root, {"items": items}, {"recipe": "r1"})
     assert created and artifacts.publish(spark, root, {"items": items.orderBy("item_id")}, {"recipe": "r1"}) == (version, False)
     assert artifacts.load(spark, root, version)["items"].count() == 2
-    items.limit(1).write.mode("overwrite").parquet(f"{root}/{version}/items")
+    items.limit(1).write.mode("overwrite").parquet(f"{artifacts.folder(root, version)}/items")
     with pytest.raises(ValueError, match="was changed"):
         artifacts.load(spark, root, version)
 

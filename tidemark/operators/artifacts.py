@@ -1,13 +1,16 @@
-"""Content-addressed releases: a version from what the rows say, staged writes, and a manifest as the commit point."""
+"""Content-addressed releases: a version from what the rows say, attempts in folders of their own, and an exclusive pointer as the commit."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.sources import shared
+
 
 def content_digest(df: DataFrame) -> str:
     """A digest of a table's rows, whatever their order or files: counts and sums of row hashes in two halves."""
@@ -29,46 +32,55 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
-    return fs.exists(at)
+def pointer(root: str, version: str) -> str:
+    return f"{root}/releases/{version}.json"
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], identity: dict) -> tuple[str, bool]:
-    """(version, created). Tables are written to a staging folder, read back and compared, then renamed into place.
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], identity: dict, before_commit: Callable[[], None] | None = None) -> tuple[str, bool]:
+    """(version, created). The commit is the release's pointer, a file that only one publisher can create.
 
-    The version follows from the content; a release that is there already is verified and used again, so publishing
-    twice changes nothing. The rename is the commit; a failure before it leaves only staging.
+    The version follows from the content. Tables go to a folder of this attempt alone, are read back and compared; then the
+    pointer is created with a manifest that names this folder. Of any number of publishers of the same content one
+    creates the release; the others delete what they wrote, verify the one that is there and use it. A failure before the pointer
+    leaves folders that no pointer names (``orphans``) and that no reader sees. ``before_commit`` runs just before the pointer.
     """
     digests = {n: content_digest(df) for n, df in sorted(tables.items())}
     version = version_of({"identity": identity, "tables": digests})
-    final = f"{root}/{version}"
-    if _exists(spark, final):
-        load(spark, root, version)
-        return version, False
-    stage = f"{root}/.staging-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{stage}/{name}")
-        if content_digest(spark.read.parquet(f"{stage}/{name}")) != digests[name]:
-            raise ValueError(f"{name} was not written as it was")
-    manifest = json.dumps({"version": version, "identity": identity, "tables": digests}, sort_keys=True)
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{stage}/manifest")
-    fs, at = _fs(spark, stage)
-    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(final)):
+    if shared.size(pointer(root, version)) is None:
+        folder = f"bundles/{version}-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{root}/{folder}/{name}")
+            if content_digest(spark.read.parquet(f"{root}/{folder}/{name}")) != digests[name]:
+                raise ValueError(f"{name} was not written as it was")
+        if before_commit is not None:
+            before_commit()
+        manifest = json.dumps({"version": version, "identity": identity, "tables": digests, "folder": folder}, sort_keys=True)
+        if shared.create(pointer(root, version), manifest.encode(), spark):
+            return version, True
+        fs, at = _fs(spark, f"{root}/{folder}")
         fs.delete(at, True)
-        load(spark, root, version)  # another run was first; it must say the same
-        return version, False
-    return version, True
+    load(spark, root, version)  # another run was first; it must say the same
+    return version, False
 
 
-def load(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
-    """The tables of an exact version, checked against the manifest: inventory, digests and the version itself."""
-    base = f"{root}/{version}"
-    manifest = json.loads("".join(r.value for r in spark.read.text(f"{base}/manifest").collect()))
+def manifest_of(root: str, version: str) -> dict:
+    """The manifest of an exact version; its identity and table digests must give this version."""
+    if shared.size(pointer(root, version)) is None:
+        raise ValueError(f"there is no release {version}")
+    manifest = json.loads(shared.read(pointer(root, version)))
     if manifest["version"] != version or version_of({"identity": manifest["identity"], "tables": manifest["tables"]}) != version:
         raise ValueError(f"the manifest of {version} does not say this version")
-    fs, at = _fs(spark, base)
-    there = {s.getPath().getName() for s in fs.listStatus(at)} - {"manifest"}
+    return manifest
+
+
+def folder(root: str, version: str) -> str:
+    return f"{root}/{manifest_of(root, version)['folder']}"
+
+
+def load(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
+    """The tables of an exact version, checked against the manifest: inventory, digests and the version itself."""
+    manifest, base = manifest_of(root, version), folder(root, version)
+    there = set(shared.names(base))
     if there != set(manifest["tables"]):
         raise ValueError(f"the tables of {version} are not those of its manifest: {sorted(there ^ set(manifest['tables']))}")
     out = {}
@@ -77,3 +89,9 @@ def load(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
         if content_digest(out[name]) != digest:
             raise ValueError(f"{name} of {version} was changed")
     return out
+
+
+def orphans(root: str) -> list[str]:
+    """Folders of attempts that no pointer names: of publishers that failed, or that still write."""
+    named = {json.loads(shared.read(f"{root}/releases/{n}"))["folder"].split("/")[1] for n in shared.names(f"{root}/releases")}
+    return sorted(set(shared.names(f"{root}/bundles")) - named)
