@@ -5,9 +5,9 @@ Files of one folder: for each shard ``<name>.ids`` (ids as little-endian 16-bit
 names the shards in order with their sizes. Nothing is there until the manifest is: tasks write under names of their own,
 the commit lists those whose task counted, so a task that is tried again or lost leaves nothing that is read.
 
-``TokenFiles`` is a Spark data source for them (format ``token_files``): its writer takes (doc_id, ids) in the order of the
-partitions, its reader gives (doc_id, start, n_tokens, ids), a task for each range of documents, which selects its
-boundaries and reads these ids alone. ``encode`` makes the ids, ``write`` sorts, encodes and saves.
+``TokenFiles`` is a Spark data source for them (format ``token_files``): its writer takes (doc_id, ids), or (doc_id, text)
+and the path of a vocabulary, in the order of the partitions; its reader gives (doc_id, start, n_tokens, ids), a task for each
+range of documents, which selects its boundaries and reads these ids alone. ``write`` sorts, encodes and saves.
 
 Encoding: a text is cut at ASCII white space, which the tokenizer drops and no token spans; each distinct piece is encoded once
 by the tokenizers library, and kept up to a bound. The ids are those of the whole text.
@@ -176,26 +176,31 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """(doc_ids, ids) of batches of (doc_id, text), of so many texts at once."""
     key = (hash(vocabulary), end_id)
     encoder = _encoders[key] if key in _encoders else _encoders.setdefault(key, Encoder(vocabulary, end_id))
     for batch in batches:
-        column = batch.column(1)
+        column = pc.fill_null(batch.column(1), "")
         off = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)])
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(off, off[at] + ENCODE_BYTES, "right")) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), encoder.encode(column.slice(at, to - at))], names=["doc_id", "ids"])
+            yield batch.column(0).slice(at, to - at), encoder.encode(column.slice(at, to - at))
             at = to
     settle()
 
 
+def _vocabulary(path: str | None) -> str:
+    with open(path or default_vocabulary(), encoding="utf-8") as f:
+        return f.read()
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id and ids (array<int>, the end id last) of every row, in its order. The vocabulary (a few MB, fixed) is broadcast."""
-    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(lambda it: _encode_batches(it, shared.value, end_id), "doc_id long, ids array<int>")
+    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([*x], names=["doc_id", "ids"]) for x in _encoded(it, shared.value, end_id)), "doc_id long, ids array<int>")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -207,14 +212,19 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
-    """Encode every whole text and save the ids in ascending doc_id order as token files in a folder that all executors share."""
-    save(encode(in_order(docs), vocabulary, end_id), path)
+    """Encode every whole text and save the ids in ascending doc_id order as token files in a folder that all executors share.
+
+    The tasks that hold the sorted texts encode and write: ids don't travel.
+    """
+    register(docs.sparkSession)
+    out = in_order(docs).write.format(FORMAT).mode("append").option("path", path)
+    out.option("vocabulary", vocabulary or default_vocabulary()).option("end_id", end_id).save()
 
 
-def save(ids: DataFrame, path: str) -> None:
-    """Save (doc_id, ids array<int>), ordered across partitions, as token files."""
+def save(ids: DataFrame, path: str, width: int = 4) -> None:
+    """Save (doc_id, ids array<int>), ordered across partitions, as token files of ``width`` (2 or 4) bytes an id."""
     register(ids.sparkSession)
-    ids.select("doc_id", "ids").write.format(FORMAT).mode("append").option("path", path).save()
+    ids.select("doc_id", "ids").write.format(FORMAT).mode("append").option("path", path).option("width", width).save()
 
 
 def read(spark: SparkSession, path: str, as_bytes: bool = False) -> DataFrame:
@@ -263,46 +273,33 @@ class Range(InputPartition):
 class _ShardWriter(DataSourceArrowWriter):
     """Appends ids to a shard's file as they come; lengths and doc_ids are all that it holds."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, width: int, vocabulary: str | None, end_id: int):
+        self.path, self.width, self.vocabulary, self.end_id = path, width, vocabulary, end_id
+        if vocabulary is not None:
+            self.width = 2 if Encoder(vocabulary, end_id, 0).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, at = _fs(self.path)
         fs.create_dir(at, recursive=True)
         name = f"shard-{uuid.uuid4().hex}"
-        lengths, docs, most = [], [], 0
-        # wide ids are written with 32 bits; the width is settled by the largest id of the shard's first pass
+        lengths, docs = [], []
+        parts = _encoded(iterator, self.vocabulary, self.end_id) if self.vocabulary is not None else ((b.column(0), b.column(1)) for b in iterator)
         with fs.open_output_stream(f"{at}/{name}.ids") as f:
-            for batch in iterator:
-                lists = batch.column(1)
+            for own, lists in parts:
                 flat = lists.flatten().to_numpy()
-                if len(flat) and flat.min() < 0:
-                    raise ValueError("a token id is negative")
-                most = max(most, int(flat.max(initial=0)))
-                f.write(flat.astype("<u4").tobytes())
+                if len(flat) and (flat.min() < 0 or flat.max() >> 8 * self.width):
+                    raise ValueError(f"a token id is negative or takes more than {self.width} bytes")
+                f.write(flat.astype(f"<u{self.width}").tobytes())
                 lengths.append(np.diff(lists.offsets.to_numpy()))
-                docs.append(batch.column(0))
-        width = 4
-        if most < 1 << 16:
-            width = 2
-            self._narrow(fs, at, name)
+                docs.append(own)
         sizes = np.concatenate([np.zeros(1, np.int64), *lengths]).astype(np.int64)
-        ids = pa.chunked_array(docs, pa.int64()) if docs else pa.chunked_array([], pa.int64())
-        known = ids.drop_null().to_numpy()
-        if ids.null_count and not all(x is None for x in ids.slice(0, ids.null_count).to_pylist()):
+        ids = pa.chunked_array(docs, pa.int64())
+        if ids.null_count and ids.slice(0, ids.null_count).null_count < ids.null_count:
             raise ValueError("null doc_ids must come first")
-        lists = EliasFano.of(np.cumsum(sizes)).to_bytes() + EliasFano.of(known).to_bytes()
+        lists = EliasFano.of(np.cumsum(sizes)).to_bytes() + EliasFano.of(ids.drop_null().to_numpy()).to_bytes()
         with fs.open_output_stream(f"{at}/{name}.ef") as f:
             f.write(lists)
-        return Shard(TaskContext.get().partitionId(), name, len(ids), ids.null_count, int(sizes.sum()), width, len(lists))
-
-    @staticmethod
-    def _narrow(fs: pa.fs.FileSystem, at: str, name: str) -> None:
-        with fs.open_input_stream(f"{at}/{name}.ids") as wide, fs.open_output_stream(f"{at}/{name}.ids16") as f:
-            while data := wide.read(4 * READ_IDS):
-                f.write(np.frombuffer(data, "<u4").astype("<u2").tobytes())
-        fs.delete_file(f"{at}/{name}.ids")
-        fs.move(f"{at}/{name}.ids16", f"{at}/{name}.ids")
+        return Shard(TaskContext.get().partitionId(), name, len(ids), ids.null_count, int(sizes.sum()), self.width, len(lists))
 
     def commit(self, messages: list) -> None:
         fs, at = _fs(self.path)
@@ -369,7 +366,7 @@ class _ShardReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """Options: ``path``; for reading ``as_bytes`` and ``docs`` (documents a task)."""
+    """Options: ``path``; for reading ``as_bytes`` and ``docs`` (documents a task); for writing ``vocabulary`` and ``end_id``, or ``width``."""
 
     @classmethod
     def name(cls) -> str:
@@ -387,7 +384,8 @@ class TokenFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("token files are written once; take a new folder")
-        return _ShardWriter(self.options["path"])
+        vocabulary = self.options.get("vocabulary")
+        return _ShardWriter(self.options["path"], int(self.options.get("width", 4)), _vocabulary(vocabulary) if vocabulary else None, int(self.options.get("end_id", END_ID)))
 
 
 def digest(found: DataFrame) -> DataFrame:
