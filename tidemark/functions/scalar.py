@@ -69,12 +69,30 @@ def persistence(times: Column) -> Column:
     return F.least(times / K.SATURATION, F.lit(1.0))
 
 
+def _hidden(token: Column) -> Column:
+    """A token up to where a file path starts in it, then <path>; the token itself where none does."""
+    # between slashes: a path starts at a slash that stands behind no word character, if a name, another slash and more follow
+    parts = F.split(token, "/")
+    head = lambda i: F.array_join(F.slice(parts, 1, i), "/")
+    rest = lambda i: F.array_join(F.slice(parts, i + 2, F.size(parts)), "/")
+    last = lambda text: F.substring(text, -1, 1)
+    word = lambda c: (c == "_") | c.between("0", "9") | c.between("A", "Z") | c.between("a", "z")
+    slashes = F.filter(F.sequence(F.lit(1), F.size(parts) - 2), lambda i: ~word(last(F.element_at(parts, i))) & (F.element_at(parts, i + 1) != "") & (rest(i) != ""))
+    posix = F.when(F.size(parts) > 2, F.array_min(F.transform(slashes, lambda i: F.length(head(i)))))
+    # between colons: a drive is the letter before one, if a slash of either kind and more follow
+    fields = F.split(token, ":")
+    letter = lambda c: c.between("A", "Z") | c.between("a", "z")
+    behind = lambda i: F.array_join(F.slice(fields, i + 1, F.size(fields)), ":")
+    colons = F.filter(F.sequence(F.lit(1), F.size(fields) - 1), lambda i: letter(last(F.element_at(fields, i))) & F.substring(behind(i), 1, 1).isin("/", "\\") & (F.length(behind(i)) > 1))
+    drive = F.when(F.size(fields) > 1, F.array_min(F.transform(colons, lambda i: F.length(F.array_join(F.slice(fields, 1, i), ":")) - 1)))
+    start = F.least(posix, drive)  # null only where both are
+    return F.when(start.isNull(), token).otherwise(F.concat(F.substring(token, F.lit(1), start), F.lit("<path>")))
+
+
 def sanitize_message(text: Column) -> Column:
-    """White space folded, file paths hidden, at most 500 characters."""
-    # a path starts with a drive, or with a slash that no word touches and one directory; it runs on to the next space
-    start = r"(?:[A-Za-z]:[\\/]|(?<!\w)/[^/\s]+/)"
-    folded = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.substring(F.regexp_replace(folded, start + r"\S+", "<path>"), 1, 500)
+    """Tokens between white space, file paths in them hidden, joined by one space, at most 500 characters."""
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.substring(F.array_join(F.transform(tokens, _hidden), " "), 1, 500)
 
 
 def semantic_text(title: Column, tags: Column, categories: Column) -> Column:

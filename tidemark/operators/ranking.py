@@ -74,4 +74,4 @@ def best_by_score(scores: DataFrame, key: str, k: int | None) -> DataFrame:
 def top_margin(ranked: DataFrame, key: str) -> DataFrame:
     """Difference of the first two scores of each key; null for one candidate."""
     w = Window.partitionBy(key).orderBy("rank")
-    return ranked.withColumn("margin", F.round(F.col("score") - F.lead("score").over(w), 9)).where("rank = 1").select(key, "margin")
+    return ranked.withColumn("margin", F.round(F.col("score") - F.lead("score").over(w), 12)).where("rank = 1").select(key, "margin")

@@ -73,7 +73,7 @@ s AS (
          CASE WHEN (part + seg) % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM c CROSS JOIN (VALUES (1), (2)) v(seg)),
 cr AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, item_id) AS rank FROM c),
 margin AS (
-  SELECT a.run_id, round(a.score - b.score, 9) AS margin FROM cr a LEFT JOIN cr b ON b.run_id = a.run_id AND b.rank = 2 WHERE a.rank = 1),
+  SELECT a.run_id, round(a.score - b.score, 12) AS margin FROM cr a LEFT JOIN cr b ON b.run_id = a.run_id AND b.rank = 2 WHERE a.rank = 1),
 bs AS (
   SELECT run_id, item_id, segment_id, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, item_id, segment_id) AS r FROM s) WHERE r = 1)"""
 # the best open segment does not depend on the scores, so a run takes its segments in one fixed order until it stops
@@ -180,9 +180,11 @@ SQL: dict[str, str] = {
     "agent_input": _w(*_LH, _SEEN, _WALK) + "SELECT user_id, sha256(target || ',' || string_agg(item_id, ',' ORDER BY item_id)) AS candidates_sha256, count(*) AS negatives FROM neg GROUP BY user_id, target",
     "epoch_order": _w(*_S, _TRAIN) + f"""SELECT sample_id, row_number() OVER (ORDER BY sha256('{{"epoch":1,"recipe":"{K.EPOCH_RECIPE}","sample_id":"' || sample_id || '","training_seed":7}}' || chr(10)), sample_id) AS place FROM smp""",
     "train_negatives": _w(*_L, _VOCAB, _TRAIN, "v AS (SELECT count(*) AS n FROM vocab)", "own AS (SELECT DISTINCT user_id, model_index FROM parts JOIN vocab USING (item_id) WHERE split = 'train')",
-        f"""d AS (SELECT sample_id, user_id, counter, sha256('{{"counter":' || counter || ',"epoch":1,"negative_index":0,"recipe":"{K.NEGATIVE_RECIPE}","sample_id":"' || sample_id || '","training_seed":7}}' || chr(10)) AS h FROM (SELECT *, unnest(range(0, 8)) AS counter FROM smp))""",
+        # eight draws are enough for a user who holds less than a hundredth of the vocabulary, with a chance of 1e-16 a sample; a sample without a negative is an error
+        "hot AS (SELECT user_id FROM own CROSS JOIN v GROUP BY user_id, n HAVING 100 * count(*) >= n)",
+        f"""d AS (SELECT sample_id, user_id, counter, sha256('{{"counter":' || counter || ',"epoch":1,"negative_index":0,"recipe":"{K.NEGATIVE_RECIPE}","sample_id":"' || sample_id || '","training_seed":7}}' || chr(10)) AS h FROM (SELECT *, unnest(range(0, 200)) AS counter FROM smp JOIN hot USING (user_id) UNION ALL SELECT *, unnest(range(0, 8)) FROM smp WHERE user_id NOT IN (SELECT user_id FROM hot)))""",
         f"m AS (SELECT sample_id, user_id, counter, {_limbs('h', 1, 2, 'n')} + 1 AS model_index FROM d CROSS JOIN v)")
-        + "SELECT sample_id, CAST(min(counter) AS INT) AS counter, arg_min(model_index, counter) AS model_index FROM m ANTI JOIN own USING (user_id, model_index) GROUP BY sample_id",
+        + "SELECT sample_id, coalesce(counter, error('no negative in the draws of this SQL')) AS counter, model_index FROM smp LEFT JOIN (SELECT sample_id, CAST(min(counter) AS INT) AS counter, arg_min(model_index, counter) AS model_index FROM m ANTI JOIN own USING (user_id, model_index) GROUP BY sample_id) USING (sample_id)",
     "hash_bucket": f"SELECT c_custkey, {_limbs('sha256(c_name)', 1, 4, '2003')} AS first_half, {_limbs('sha256(c_name)', 33, 4, '2003')} AS second_half, substr(sha256(c_name), 1, 2) AS fan_out FROM customer",
     "exposures": _w(_RAW, _EXPO) + "SELECT user_id, pid, exposed_time, first_ordinal, row_count, watch_time FROM expo",
     "duplicate_rows": _w(_RAW, _EXPO) + "SELECT user_id, pid, exposed_time, duplicate_rows FROM expo WHERE duplicate_rows > 0",
@@ -208,6 +210,7 @@ SQL: dict[str, str] = {
     "normalize_text": r"""WITH n AS (SELECT doc_id, regexp_replace(nfc_normalize(coalesce(text, '')), '^\s+|\s+$', '', 'g') AS t FROM documents)
         SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '[\x00-\x1f\x7f-\x{9f}]') AND length(t) <= 512 THEN t END AS value,
                CASE WHEN t = '' THEN 'missing' WHEN regexp_matches(t, '[\x00-\x1f\x7f-\x{9f}]') OR length(t) > 512 THEN 'invalid' END AS reason FROM n""",
+    "sanitize_message": r"""SELECT page_id, substr(regexp_replace(regexp_replace('cannot read  /data/raw/' || page_id || '.html from' || chr(9) || 'C:\x\y ' || url, '\s+', ' ', 'g'), '(?:[A-Za-z]:[\\/]|(^|[^0-9A-Za-z_])/[^/\s]+/)\S+', '\1<path>', 'g'), 1, 500) AS message FROM pages""",
     "semantic_text": """SELECT p_partkey, nullif(concat_ws(chr(10), CASE WHEN p_size % 4 <> 0 THEN '标题：' || p_brand END, CASE WHEN p_size % 3 <> 0 THEN '标签：' || p_type || '、' || p_name END,
         CASE WHEN p_size % 5 <> 0 THEN '类目：all > ' || p_type END), '') AS text FROM part""",
     "unique_texts": "SELECT sha256(text) AS text_sha256, count(*) AS n, min(length(text)) AS length FROM documents WHERE text IS NOT NULL GROUP BY 1",
@@ -260,6 +263,6 @@ SQL: dict[str, str] = {
     "check_partition": "SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type IN ('click', 'purchase', 'signup')) AS others FROM events GROUP BY 1 HAVING total <> views + others",
     "check_status": """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT CASE l_partkey % 3 WHEN 0 THEN l_partkey % 2 = 0 AND l_partkey % 5 = 0 AND l_partkey % 7 <> 0
         WHEN 1 THEN l_partkey % 2 > 0 AND l_partkey % 5 <> 0 AND l_partkey % 7 <> 0 ELSE l_partkey % 2 > 0 AND l_partkey % 5 = 0 AND l_partkey % 7 = 0 END""",
-    "check_leaks": "SELECT '' AS user_id, '' AS split WHERE false",
+    "check_leaks": _w(*_S) + "SELECT user_id, split FROM parts WHERE split <> 'train' AND CAST(substr(user_id, 6) AS BIGINT) % 10 = 3",
     "check_unit": "SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0",
 }

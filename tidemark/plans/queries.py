@@ -581,7 +581,11 @@ def check_status(spark, d):
 
 
 def check_leaks(spark, d):
-    return C.leaks(Q.histories(_split(spark, d))).select("user_id", "split")
+    """Histories that leak: those of every tenth user get their own target as the last event."""
+    h = Q.histories(_split(spark, d))
+    own = F.array(F.struct("pos", F.col("target_item").alias("item_id"), F.col("target_index").alias("interaction_index")))
+    leaking = F.substring("user_id", 6, 20).cast("bigint") % 10 == 3
+    return C.leaks(h.withColumn("history", F.when(leaking, F.concat("history", own)).otherwise(F.col("history")))).select("user_id", "split")
 
 
 def check_unit(spark, d):
