@@ -138,7 +138,7 @@ def epoch_order(samples: DataFrame, training_seed: int, epoch: int) -> DataFrame
     return global_order(samples.select("sample_id", digest.alias("digest")), [F.col("digest"), F.col("sample_id")], "epoch", "place").select("sample_id", "place")
 
 
-def training_negatives(samples: DataFrame, own: DataFrame, vocab: DataFrame, training_seed: int, epoch: int, tries: int = 128) -> DataFrame:
+def training_negatives(samples: DataFrame, own: DataFrame, vocab: DataFrame, training_seed: int, epoch: int, tries: int = 8) -> DataFrame:
     """sample_id, counter, model_index: the first digest draw that is not among the user's train items (own: user_id, model_index).
 
     The first ``tries`` draws are columns; the samples that are still open after them (users who hold nearly the whole
