@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A random-looking 64-bit value for each byte.
 BYTE = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
-#: Another such table: with it, equality is judged by 128 bits where a hash alone decides.
-BYTE_2 = mix(BYTE ^ U64(0xC2B2AE3D27D4EB4F))
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
@@ -122,6 +121,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
+#: Words of more bytes are hashed by digest: polynomials modulo 2^64 agree for whole families of long strings (as of Thue and Morse), whatever their base.
+LONG_WORD = 64
 #: Bytes that are not space, tab, line feed, vertical tab, form feed or carriage return.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
@@ -132,9 +133,18 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool, byte: np.ndarray = BYTE
     text = LOWER[raw] if lower else raw
     start, end = runs((IS_WORD if lower else NOT_SPACE)[text], off)
     h = span_hash(prefix_hash(byte[text]), start, end)
+    for j in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[j] = digests(text, start[j : j + 1], end[j : j + 1], person=byte[:2].tobytes())[0, 0]
     return h, start, end, np.searchsorted(start, off)
 
 
+def digests(text: np.ndarray, start: np.ndarray, end: np.ndarray, person: bytes = b"") -> np.ndarray:
+    """128 bits of BLAKE2 of each text[start:end], as two numbers a row: where equal hashes decide that bytes are equal."""
+    view = memoryview(np.ascontiguousarray(text)).cast("B")
+    out = b"".join([blake2b(view[a:b], digest_size=16, person=person).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, "<u8").reshape(-1, 2)
+
+
 def spread(count: np.ndarray) -> np.ndarray:
     """0, 1, .. count[0]-1, 0, 1, .. count[1]-1, and so on."""
     total = int(count.sum())

@@ -4,7 +4,8 @@ A window of ``window`` words is repeated only if all its parts are. Level by lev
 the target, then a half, then the whole) are tested for repeats over the corpus, and only what stands in a repeated
 window is extended to twice that length, until no candidate survives or the target length is reached. At the shorter
 levels one part of each window is tested, the one of least hash (the same choice wherever equal words stand), so a
-level tests few places and misses no repeat; at the target length every surviving window is tested, and its words' equality is judged by 128 bits of two hashes.
+level tests few places and misses no repeat. At these levels hashes only nominate. At the target length every surviving
+window is tested by a digest of 128 bits of its words, joined by one space.
 
 Exact copies of a whole text are told by their digest; one of them stands for all in the levels.
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.blocks import BYTE_2, blocks, prefix_hash, window_hash, words
+from tidemark.llm.blocks import blocks, digests, prefix_hash, window_hash, words
 from tidemark.llm.repeats import ENTRY, ROW, candidates, copies, entries, keyed, marked, pick_runs, row_ids, ties
 from tidemark.session import cut, drop
 
@@ -40,7 +41,7 @@ def lengths(window: int) -> list[int]:
 def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, before: int | None) -> Iterator[pa.RecordBatch]:
     """What one level tests, as (hash, row, window position). With ``before``, only windows whose part of that length is tied."""
     for part, raw, off in blocks(batches):
-        word, _, _, woff = words(raw, off, False)
+        word, start, end, woff = words(raw, off, False)
         if len(word) < window:
             continue
         prefix = prefix_hash(word)
@@ -57,8 +58,9 @@ def level_entries(batches: Iterator[pa.RecordBatch], window: int, length: int, b
         if live is not None and length == window:
             pos = np.flatnonzero(live)
             row = np.searchsorted(woff, pos, "right") - 1
-            other = prefix_hash(words(raw, off, False, BYTE_2)[0])
-            yield entries(window_hash(prefix, window)[pos], row, k, pos - woff[row], window_hash(other, window)[pos])
+            joined, first, last = _joined(raw, start, end)
+            both = digests(joined, first[pos], last[pos + window - 1])
+            yield entries(both[:, 0], row, k, pos - woff[row], both[:, 1])
             continue
         h = window_hash(prefix, length)
         row, pick, first, last = pick_runs(h, length, window, woff)
@@ -78,16 +80,21 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(size, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", *ROW, "n_words", "sha"])
 
 
-def _joined_sha(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
-    if not len(start):
-        return hashlib.sha256(b"").hexdigest()
+def _joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space behind each, and where each begins and ends in that."""
     # words and one byte behind each, then that byte made a space
     size = end - start + 1
     at = np.cumsum(size)
     index = np.arange(at[-1]) + np.repeat(start - at + size, size)
     out = raw[np.minimum(index, len(raw) - 1)]
     out[at - 1] = 32
-    return hashlib.sha256(out[:-1].tobytes()).hexdigest()
+    return out, at - size, at - 1
+
+
+def _joined_sha(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    if not len(start):
+        return hashlib.sha256(b"").hexdigest()
+    return hashlib.sha256(_joined(raw, start, end)[0][:-1].tobytes()).hexdigest()
 
 
 def _cut_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
