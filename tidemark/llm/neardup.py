@@ -171,7 +171,7 @@ def _verify_star(table: pa.Table, similar: float) -> pa.Table:
     return pa.table({"a": leader[ok], "b": vertex[ok]})
 
 
-def _verify_block(table: pa.Table, similar: float, columns: int = 1 << 16) -> pa.Table:
+def _verify_block(table: pa.Table, similar: float, columns: int = 1 << 13) -> pa.Table:
     """Members of one side against all (side 0), or of side 1 against side 2; links that join two classes only. Rows: side, vertex, class, units."""
     vertex, group, side = (table.column(c).to_numpy() for c in ("vertex", "class", "side"))
     off, unit = _lists(table, "units")
