@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import updates as U
+from tidemark.operators import failures, updates as U
 from tidemark.sources import driver_tables
 from tidemark.streaming import updates as live
 
@@ -130,3 +130,24 @@ def test_snapshot_invariants(spark):
     assert found(c=ranks.withColumn("current_rank", F.col("current_rank") + F.when(F.col("item_id") == "b", 1).otherwise(0))) >= {(1, "current_rank", "ranks are not 1 to n")}
     assert found(c=ranks.withColumn("score", F.when(F.col("run_id") == 1, -F.col("score")).otherwise(F.col("score")))) == {(1, "a", "a rank is not in order of score"), (1, "margin", "the margin is not that of the two best")}
     assert found(q=asked.withColumn("remaining", F.lit(1))) == {(1, "remaining", "remaining is not the budget less the steps")}
+
+
+def test_a_failure_of_every_role_ends_its_own_run_alone(spark):
+    cases = {
+        1: ([ok(1, 1, "a", "s1", "e1"), ok(1, 2, "a", "s2", "e2")], ("completed", None, None, None, 2, 2)),
+        2: ([ok(2, 1, "a", "s1", "e1"), (2, 2, "b", "s1", "failed", None, None), ok(2, 3, "b", "s2", "e3")], ("failed", failures.PERCEPTION, U.NO_REASON, 2, 1, 1)),
+        3: ([ok(3, 1, "a", "s1", "e1"), ok(3, 2, "b", "s1", "e1")], ("failed", failures.EVIDENCE, U.USED, 2, 1, 1)),
+        4: ([ok(4, 1, "a", "s1", "e1"), ok(4, 2, "a", "s1", "e2")], ("failed", failures.OBSERVATION, U.AGAIN, 2, 1, 1)),
+        5: ([ok(5, 1, "a", "s1", "e1"), ok(5, 2, "b", "s1", "lost"), ok(5, 3, "b", "s2", "e3")], ("failed", failures.SCORES, "no delta for lost", 2, 2, 2)),
+        6: ([], ("failed", failures.RANKER, "the run has no candidates", None, 0, 0)),
+    }
+    runs = spark.createDataFrame([(r,) for r in cases], "run_id long")
+    items = spark.createDataFrame([(r, i) for r in (1, 2, 3, 4, 5) for i in ("a", "b")], "run_id long, item_id string")
+    segments = spark.createDataFrame([(r, i, g) for r in cases for i in ("a", "b") for g in ("s1", "s2")], "run_id long, item_id string, segment_id string")
+    results = spark.createDataFrame([x for rows, _ in cases.values() for x in rows], RESULT)
+    deltas = spark.createDataFrame([("e1", 0.5, -0.1), ("e2", 0.25, -0.05), ("e3", 1.0, -1.0)], "evidence_id string, own double, other double")
+    scored = failures.with_scores(U.judge(results, items, segments), deltas)
+    assert {r.run_id: tuple(r)[1:] for r in failures.outcomes(runs, items, scored).collect()} == {r: w for r, (_, w) in cases.items()}
+    initial = items.withColumn("score", F.lit(1.0))
+    got = {(r.run_id, r.item_id): r.score for r in failures.scores(initial, scored).collect()}
+    assert got[1, "a"] == 1.75 and got[1, "b"] == 0.85 and got[5, "a"] == 1.5 and got[5, "b"] == 0.9 and len(got) == 10  # the partial state has the scores before

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranking as R, updates as U
-from tidemark.session import cut
+from tidemark.operators import failures, ranking as R, updates as U
+from tidemark.session import cut, table
 from tidemark.sources import driver_tables as T
 
 BUDGET = 7
@@ -54,6 +54,28 @@ def check_snapshot(spark, d):
     return U.snapshot_violations(evidence.unionByName(extra), seen, ranks, asked, BUDGET)
 
 
+def _scored(spark, d):
+    """Deltas by evidence: numbers that end in 7 have none."""
+    items, _, judged = _updates(spark, d)
+    n = F.col("q") / 1000
+    quantities = table(spark, d, "lineitem").select(F.col("l_quantity").cast("bigint").alias("q")).distinct().where("q % 10 <> 7")
+    deltas = quantities.select(F.concat(F.lit("ev:"), "q").alias("evidence_id"), (F.lit(0.1) + n).alias("own"), (-n / 4).alias("other"))
+    return items, failures.with_scores(judged, deltas)
+
+
+def run_outcomes(spark, d):
+    """How each run ended: completed, or failed by a component, with what was kept."""
+    items, scored = _scored(spark, d)
+    return failures.outcomes(table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")), items, scored)
+
+
+def evidence_scores(spark, d):
+    """Scores by the delta table from all evidence up to a run's end."""
+    items, scored = _scored(spark, d)
+    initial = items.join(T.scenario(spark, d)[0], ["run_id", "item_id"])
+    return failures.scores(initial, scored).withColumn("score", F.round("score", 9))
+
+
 _FEED = """res AS (
   SELECT DISTINCT l_orderkey AS run_id, CAST(l_linenumber AS BIGINT) AS step, 'item:' || l_partkey AS item_id, 'seg:' || l_suppkey AS segment_id,
          CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN l_returnflag <> 'R' THEN 'ev:' || CAST(l_quantity AS BIGINT) END AS evidence_id,
@@ -80,7 +102,24 @@ rq AS (
          coalesce(problem, CASE WHEN step > 7 THEN 'more actions than the budget' END) AS problem
   FROM (SELECT run_id, count(*) AS candidates FROM it GROUP BY run_id) LEFT JOIN (SELECT run_id, count(*) AS segments FROM sg GROUP BY run_id) USING (run_id) LEFT JOIN ended USING (run_id))"""
 
+_SCORED = """fl AS (
+  SELECT *, CASE WHEN problem IS NOT NULL THEN CASE WHEN problem IN ('a failure without a reason') THEN 'perception' WHEN problem IN ('the item is no candidate', 'the evidence id is used already') THEN 'evidence_updater' ELSE 'observation_updater' END
+                 WHEN evidence_id LIKE '%7' THEN 'score_updater' END AS role FROM jd),
+sc AS (SELECT *, min(o) FILTER (role IS NOT NULL) OVER (PARTITION BY run_id) AS fin FROM fl),
+kp AS (SELECT *, fin IS NULL OR o < fin OR (o = fin AND role = 'score_updater') AS kept FROM sc)"""
+
 SQL: dict[str, str] = {
+    "run_outcomes": f"""WITH {_FEED}, {_SCORED},
+        e AS (SELECT run_id, max(CASE WHEN o = fin THEN role END) AS role, max(CASE WHEN o = fin THEN coalesce(problem, 'no delta for ' || evidence_id) END) AS message, max(CASE WHEN o = fin THEN step END) AS step,
+                     count(*) FILTER (kept) AS actions, count(*) FILTER (kept AND evidence_id IS NOT NULL) AS evidence FROM kp GROUP BY run_id),
+        c AS (SELECT o_orderkey AS run_id, o_orderkey NOT IN (SELECT run_id FROM it) AS bare FROM orders)
+        SELECT run_id, CASE WHEN bare OR role IS NOT NULL THEN 'failed' ELSE 'completed' END AS outcome, CASE WHEN bare THEN 'initial_ranker' ELSE role END AS role, CASE WHEN bare THEN 'the run has no candidates' ELSE message END AS message,
+               CASE WHEN NOT bare THEN step END AS step, CASE WHEN bare THEN 0 ELSE coalesce(actions, 0) END AS actions, CASE WHEN bare THEN 0 ELSE coalesce(evidence, 0) END AS evidence FROM c LEFT JOIN e USING (run_id)""",
+    "evidence_scores": f"""WITH {_FEED}, {_SCORED},
+        u AS (SELECT run_id, item_id, 0.1::DOUBLE + CAST(substr(evidence_id, 4) AS BIGINT) / 1000 AS own, -(CAST(substr(evidence_id, 4) AS BIGINT) / 1000) / 4 AS other FROM kp WHERE kept AND evidence_id IS NOT NULL AND evidence_id NOT LIKE '%7'),
+        m AS (SELECT run_id, item_id, sum(own) AS own, sum(other) AS mine FROM u GROUP BY ALL), a AS (SELECT run_id, sum(other) AS others FROM u GROUP BY ALL),
+        i AS (SELECT it.run_id, it.item_id, max(round(l_quantity / 50, 6)) AS score FROM it JOIN lineitem ON l_orderkey = it.run_id AND 'item:' || l_partkey = it.item_id GROUP BY ALL)
+        SELECT run_id, item_id, round(score + coalesce(own, 0) + coalesce(others, 0) - coalesce(mine, 0), 9) AS score FROM i LEFT JOIN m USING (run_id, item_id) LEFT JOIN a USING (run_id)""",
     "result_updates": f"WITH {_FEED} SELECT run_id, step, item_id, segment_id, status, evidence_id, reason, problem, applied FROM jd",
     "evidence_state": f"""WITH {_FEED} SELECT run_id, item_id, coalesce(string_agg(evidence_id, ',' ORDER BY step), '') AS evidence_ids, count(evidence_id) AS n
         FROM it LEFT JOIN (SELECT * FROM jd WHERE applied) USING (run_id, item_id) GROUP BY run_id, item_id""",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidemark.functions import vector as V
 from tidemark.operators import artifacts, references as X, stores
 from tidemark.plans import queries as _core
 from tidemark.plans.oracles import _LEAN, _POS, _S, _SMALL, _LABEL, _UNIT, _w
 from tidemark.session import cut, shared_dir, table
-from tidemark.sources import driver_tables as T, shards
+from tidemark.sources import driver_tables as T, lines, shards
 
 
 def _folder(spark, name):
@@ -95,9 +95,32 @@ def view_binding(spark, d):
     return bound
 
 
+def line_records(spark, d):
+    """Events written as JSON lines in order of their ids, in files of 3,000, and read back with the number of each line."""
+    path = _folder(spark, "lines")
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    made = lines.write_ordered(e, [F.col("event_id")], F.to_json(F.struct("event_id", "event_type", "value"), {"ignoreNullFields": "false"}), path, lines=3000)
+    read = lines.json_records(spark, path, e.schema).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return read.join(made.select("file", F.col("lines").alias("of")), "file").select("file", "ordinal", "of", "event_id", "event_type", "value")
+
+
+def quoted_records(spark, d):
+    """Page sources, with all their quotes and line breaks, as fields of CSV files, read back by record, in the order of each file."""
+    path = _folder(spark, "quoted")
+    p = table(spark, d, "pages").where("html is not null").select("page_id", "url", F.regexp_replace("html", "\r", "").alias("html"))
+    p.repartitionByRange("page_id").sortWithinPartitions("page_id").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    got = lines.csv_records(spark, path, ("page_id", "url", "html")).withColumn("page_id", F.col("page_id").cast("bigint"))
+    before = F.lag(F.struct("ordinal", "page_id")).over(Window.partitionBy("file").orderBy("ordinal"))
+    got = got.withColumn("before", before)
+    return got.select("page_id", F.sha2("url", 256).alias("url_sha256"), F.sha2("html", 256).alias("html_sha256"), F.coalesce((F.col("before.ordinal") + 1 == F.col("ordinal")) & (F.col("before.page_id") < F.col("page_id")), F.col("ordinal") == 2).alias("in_order"))
+
+
 _CUS = "'customers/' || substr(h, 1, 2) || '/' || h || '.json'"
 
 SQL: dict[str, str] = {
+    "line_records": """SELECT 'part-' || lpad(CAST(n // 3000 AS VARCHAR), 8, '0') || '.txt' AS file, n % 3000 + 1 AS ordinal, least(3000, total - n // 3000 * 3000) AS of, event_id, event_type, value
+        FROM (SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_id) - 1 AS n, count(*) OVER () AS total FROM events)""",
+    "quoted_records": "SELECT page_id, sha256(url) AS url_sha256, sha256(replace(html, chr(13), '')) AS html_sha256, true AS in_order FROM pages WHERE html IS NOT NULL",
     "vector_shards": _w(_UNIT) + """SELECT key, (row_number() OVER (ORDER BY key) - 1) // 4096 AS shard_no, (row_number() OVER (ORDER BY key) - 1) % 4096 AS row_index,
         round(CAST(CAST(v[1] AS FLOAT) AS DOUBLE), 6) AS first, round(CAST(CAST(v[-1] AS FLOAT) AS DOUBLE), 6) AS last, true AS same FROM (SELECT 'vec:' || vec_id AS key, v FROM u)""",
     "matrix_shards": _w(_SMALL, _LABEL, _POS, _UNIT) + """SELECT user_id, CAST(sum(n_rows * n_cols) OVER (ORDER BY user_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - n_rows * n_cols AS global_offset, n_rows, n_cols, total, CAST(0 AS BIGINT) AS misplaced
