@@ -214,3 +214,27 @@ def test_streams_equal_batches(spark, tmp_path):
     q.stop()
     want = batch.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).count()
     assert spark.table("w").count() == want and spark.table("w").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_two_cutoffs_are_one_replay_and_equal_two(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    schema = "user_id string, cutoff string, interaction_index long, occurred_at_ms long, item_id string, vector array<double>"
+    part = lambda cutoff, n: [("u", cutoff, i, i * 3600_000, f"item{i}", v[i].tolist()) for i in range(n)]
+    other = [("u", "other", i + 100, i * 3600_000, f"item{i}", v[i].tolist()) for i in range(7)]  # no prefix of the rest
+    alone = [memory.replay(spark.createDataFrame(rows, schema)) for rows in (part("a", 25), part("b", 40), other)]
+    want = sorted(str(r) for df in alone for r in df.collect())
+    assert sorted(map(str, memory.replay(spark.createDataFrame(part("a", 25) + part("b", 40) + other, schema)).collect())) == want
+
+
+def test_empty_snapshots_and_quantiles(spark):
+    one = spark.createDataFrame([("u", "c", 0, 5, "item", [1.0, 0.0])], "user_id string, cutoff string, interaction_index long, occurred_at_ms long, item_id string, vector array<double>")
+    asked = spark.createDataFrame([("u", "c"), ("v", "c"), ("v", "c")], "user_id string, cutoff string")
+    got = {(r.user_id, r.observed, r.promotions, r.new_drift) for r in memory.replay(one, asked).where("kind = 'snapshot'").collect()}
+    assert got == {("u", 1, 0, 1.0), ("v", 0, 0, None)}
+    values = [3.0, 1.0, None, 2.0, 10.0, 2.0, 7.5]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    at = [0.0, 0.1, 0.5, 0.9, 1.0]
+    assert np.allclose(memory.quantiles(df, "x", at).first()[0], np.quantile([x for x in values if x is not None], at))
+    assert memory.quantiles(df.where("x is null"), "x", at).first()[0] == [None] * 5

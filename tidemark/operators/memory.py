@@ -1,7 +1,8 @@
-"""Long- and short-term preference memory, replayed per user and cutoff from vector observations.
+"""Long- and short-term preference memory, replayed per user from vector observations, with a snapshot at each cutoff.
 
 The replay is an ordered fold (each observation may move a centroid that decides the next match), so it is a grouped
-map: one group is one user's prefix. Grouping spreads users over tasks; a group holds one history.
+map: one group is one user. Cutoffs whose observations begin alike are snapshots of one replay. Grouping spreads users over
+tasks; a group holds one history.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark import constants as K
+from tidemark.operators.sequences import global_order
+from tidemark.session import cut
 
 OUTPUT = (
     "user_id string, cutoff string, kind string, atom_id string, other_id string, state string, similarity double, strength double, persistence double, "
@@ -35,47 +38,51 @@ def _clip(x: float) -> float:
 
 
 class Replay:
-    """The fold: supports by track as index lists, centroids as rows."""
+    """The fold: supports by track as index lists, centroids as rows of one matrix; ``upto`` goes on to a prefix."""
 
     def __init__(self, user: str, index: np.ndarray, time: np.ndarray, items: list[str], vectors: np.ndarray, threshold: float = K.MATCH_THRESHOLD):
         self.user, self.index, self.time, self.items, self.vectors, self.threshold = user, index, time, items, vectors, threshold
         self.ids: list[str] = []
-        self.centroids: list[np.ndarray] = []
+        self.centroids = np.empty_like(vectors)
+        self.promoted = np.zeros(len(vectors), bool)
         self.supports: list[list[int]] = []
-        self.promoted: list[bool] = []
         self.assigned: list[int] = []
-        self.promotions = 0
-        for i in range(len(index)):
-            self._observe(i)
+        self.promotions = self.seen = 0
+
+    def upto(self, n: int) -> Replay:
+        """Observe what is left of the first ``n`` observations."""
+        while self.seen < n:
+            self._observe(self.seen)
+            self.seen += 1
+        return self
 
     def _event(self, i: int) -> dict:
         return {"item_id": self.items[i], "interaction_index": int(self.index[i]), "occurred_at_ms": int(self.time[i])}
 
-    def _nearest(self, v: np.ndarray, promoted: bool) -> int | None:
-        pool = [t for t in range(len(self.ids)) if self.promoted[t] == promoted]
-        if not pool:
+    def _nearest(self, cos: np.ndarray, promoted: bool) -> int | None:
+        pool = np.flatnonzero(self.promoted[: len(cos)] == promoted)
+        if not len(pool):
             return None
-        cos = np.clip(np.stack([self.centroids[t] for t in pool]) @ v, -1, 1)
-        t = min(zip(-cos, (self.ids[t] for t in pool), pool, strict=True))
-        return t[2] if -t[0] >= self.threshold else None
+        best = cos[pool].max()
+        return min(pool[cos[pool] == best].tolist(), key=self.ids.__getitem__) if best >= self.threshold else None
 
     def _observe(self, i: int) -> None:
         v = self.vectors[i]
-        track = self._nearest(v, True)
+        cos = np.clip(self.centroids[: len(self.ids)] @ v, -1, 1)
+        track = self._nearest(cos, True)
         known = track is not None
         if track is None:
-            track = self._nearest(v, False)
+            track = self._nearest(cos, False)
         if track is None:
             track = len(self.ids)
             self.ids.append(_stable("p3long-", {"user_id": self.user, "seed_event": self._event(i)}))
-            self.centroids.append(v)
+            self.centroids[track] = v
             self.supports.append([])
-            self.promoted.append(False)
         else:
             self.centroids[track] = _unit((1 - K.EMA) * self.centroids[track] + K.EMA * v)
         self.supports[track].append(i)
         self.assigned.append(track)
-        if not known and not self.promoted[track] and self._times(track) >= K.PROMOTION_TIMES:
+        if not known and self._times(track) >= K.PROMOTION_TIMES:
             self.promoted[track] = True
             self.promotions += 1
 
@@ -83,11 +90,11 @@ class Replay:
         return len({int(self.time[i]) for i in self.supports[t]})
 
     def strength(self, t: int) -> float:
-        age = max(int(self.time[-1]) - int(self.time[self.supports[t][-1]]), 0) / K.DAY_MS
+        age = max(int(self.time[self.seen - 1]) - int(self.time[self.supports[t][-1]]), 0) / K.DAY_MS
         return _clip((1 - np.exp(-len(self.supports[t]) / 3.0)) * 2.0 ** (-age / K.HALF_LIFE_DAYS))
 
     def rows(self, cutoff: str) -> list[dict]:
-        """Tracks, matches and one snapshot row."""
+        """Tracks, matches and one snapshot row of what was observed so far."""
         tracks = []
         for t in range(len(self.ids)):
             own = self.supports[t]
@@ -96,7 +103,7 @@ class Replay:
             tracks.append((self.strength(t), min(self._times(t) / K.SATURATION, 1.0), int(self.time[own[-1]]), t, medoid))
         live = sorted((x for x in tracks if self.promoted[x[3]] and x[0] >= K.INACTIVE), key=lambda x: (-x[0], -x[1], -x[2], self.ids[x[3]]))
         active, beyond = live[: K.MAX_LONG], live[K.MAX_LONG :]
-        recent = list(range(len(self.index)))[-K.RECENT :][::-1]
+        recent = list(range(self.seen))[-K.RECENT :][::-1]
         a = np.stack([self.centroids[x[3]] for x in active]) if active else np.empty((0, self.vectors.shape[1] if len(self.vectors) else 0))
         b = self.vectors[recent] if recent else np.empty((0, a.shape[1]))
         sim = np.clip(a @ b.T, -1, 1)
@@ -123,7 +130,7 @@ class Replay:
             out.append(base | {"kind": "track", "atom_id": self.ids[t], "state": state, "strength": s, "persistence": p, "supports": len(self.supports[t]), "times": self._times(t),
                 "created_at_ms": int(self.time[self.supports[t][0]]), "last_seen_at_ms": last, "medoid_index": medoid, "place": place.get(t)})
         new, drop, whole = self._drift(active, recent, a, b, sim)
-        out.append(base | {"kind": "snapshot", "new_drift": new, "drop_drift": drop, "global_drift": whole, "promotions": self.promotions, "observed": len(self.index)})
+        out.append(base | {"kind": "snapshot", "new_drift": new, "drop_drift": drop, "global_drift": whole, "promotions": self.promotions, "observed": self.seen})
         return out
 
     @staticmethod
@@ -142,38 +149,75 @@ class Replay:
         return _clip(float(beta @ (1 - near.max(0)))), _clip(float(alpha @ (1 - near.max(1)))), _clip(1 - _clip(whole))
 
 
-def replay(observations: DataFrame) -> DataFrame:
-    """Memory rows (track, match, snapshot) of every (user_id, cutoff) from observations: interaction_index, occurred_at_ms, item_id, vector."""
+def replay(observations: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Memory rows (track, match, snapshot) of every (user_id, cutoff) from observations: interaction_index, occurred_at_ms, item_id, vector.
+
+    A pair in ``asked`` (user_id, cutoff) without observations has an empty snapshot.
+    """
+    names = [f.split()[0] for f in OUTPUT.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("interaction_index")
-        vectors = np.stack([np.asarray(v, np.float64) for v in pdf.vector])
-        done = Replay(pdf.user_id.iloc[0], pdf.interaction_index.to_numpy(), pdf.occurred_at_ms.to_numpy(), pdf.item_id.tolist(), vectors)
-        names = [f.split()[0] for f in OUTPUT.split(", ")]
-        return pd.DataFrame(done.rows(pdf.cutoff.iloc[0]), columns=names).astype({n: "Int64" for n in ("supports", "times", "created_at_ms", "last_seen_at_ms", "medoid_index", "place", "promotions", "observed")})
+        pdf, out, run, begun = pdf.sort_values("interaction_index", kind="stable"), [], None, None
+        parts = sorted(pdf.groupby("cutoff"), key=lambda x: -len(x[1]))
+        longest = parts[0][1]
+        for cutoff, part in reversed(parts):
+            n = len(part)
+            if run is None or not (part.interaction_index.to_numpy() == begun.interaction_index.to_numpy()[:n]).all():
+                # the cutoffs so far are prefixes of the longest, or this one stands alone
+                begun = longest if (part.interaction_index.to_numpy() == longest.interaction_index.to_numpy()[:n]).all() else part
+                vectors = np.stack([np.asarray(v, np.float64) for v in begun.vector])
+                run = Replay(begun.user_id.iloc[0], begun.interaction_index.to_numpy(), begun.occurred_at_ms.to_numpy(), begun.item_id.tolist(), vectors)
+            out += run.upto(n).rows(cutoff)
+        return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in ("supports", "times", "created_at_ms", "last_seen_at_ms", "medoid_index", "place", "promotions", "observed")})
 
     needed = observations.select("user_id", "cutoff", "interaction_index", "occurred_at_ms", "item_id", "vector")
-    return needed.groupBy("user_id", "cutoff").applyInPandas(one, OUTPUT)
+    found = needed.groupBy("user_id").applyInPandas(one, OUTPUT)
+    if asked is None:
+        return found
+    empty = asked.select("user_id", "cutoff").distinct().join(needed.select("user_id", "cutoff").distinct(), ["user_id", "cutoff"], "left_anti")
+    blank = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in OUTPUT.split(", ")}
+    said = blank | {"user_id": F.col("user_id"), "cutoff": F.col("cutoff"), "kind": F.lit("snapshot"), "promotions": F.lit(0).cast("long"), "observed": F.lit(0).cast("long")}
+    return found.unionByName(empty.select(*[c.alias(n) for n, c in said.items()]))
+
+
+def quantiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
+    """One row: ``quantiles``, exact with linear interpolation; null where there is no value. Nulls don't count.
+
+    Values are numbered in order by range partitions and offsets; only the two rows around each quantile are kept, so no task
+    holds the distinct values.
+    """
+    some = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null")
+    n = some.count()
+    if not n:
+        return df.sparkSession.range(1).select(F.array(*[F.lit(None).cast("double") for _ in at]).alias("quantiles"))
+    spots = [divmod((n - 1) * q, 1) for q in at]
+    ordered = global_order(some, [F.col("_v")], "quantiles", "_n").where(F.col("_n").isin(sorted({int(lo) + k for lo, _ in spots for k in (1, 2)})))
+    spot = lambda k: F.max(F.when(F.col("_n") == k, F.col("_v")))
+    between = [spot(int(lo) + 1) if part == 0 else spot(int(lo) + 1) * (1 - part) + spot(int(lo) + 2) * part for lo, part in spots]
+    return ordered.agg(F.array(*between).alias("quantiles"))
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """count, min, mean, exact percentiles with linear interpolation, max; all null when empty."""
-    p = lambda q: F.round(F.percentile(value, q), 9)
-    return df.agg(F.count(value).alias("count"), F.round(F.min(value), 9).alias("min"), F.round(F.avg(value), 9).alias("mean"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.round(F.max(value), 9).alias("max"))
+    plain = df.agg(F.count(value).alias("count"), F.round(F.min(value), 9).alias("min"), F.round(F.avg(value), 9).alias("mean"), F.round(F.max(value), 9).alias("max"))
+    met = plain.crossJoin(quantiles(df, value, [0.5, 0.9, 0.99]))  # one row each
+    return met.select("count", "min", "mean", *[F.round(F.get("quantiles", F.lit(i)), 9).alias(c) for i, c in enumerate(("p50", "p90", "p99"))], "max")
 
 
 def audit(memory: DataFrame) -> DataFrame:
-    """One row: counts, rates and distributions over tracks, matches and snapshots."""
+    """One row: counts, rates and distributions over tracks, matches and snapshots. The replay is written once and read by each part."""
+    memory = cut(memory, "memory")
     tracks = memory.where("kind = 'track'").agg(
         F.count("*").alias("tracks"), *[F.count_if(F.col("state") == s).alias(f"{s}_tracks") for s in ("stable", "fading", "pending", "inactive", "unprojected")],
         F.avg("strength").alias("mean_strength"), F.avg("persistence").alias("mean_persistence"), F.avg("supports").alias("mean_supports"),
     )
     matches = memory.where("kind = 'match'").agg(
         F.count("*").alias("matches"), *[F.count_if(F.col("state") == s).alias(f"{s}_matches") for s in ("stable", "emerging", "fading")],
-        F.avg("similarity").alias("mean_similarity"), F.percentile("similarity", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("similarity_percentiles"),
+        F.avg("similarity").alias("mean_similarity"),
     )
+    spread = quantiles(memory.where("kind = 'match'"), "similarity", [0.5, 0.9, 0.99]).withColumnRenamed("quantiles", "similarity_percentiles")
     shots = memory.where("kind = 'snapshot'").agg(
         F.count("*").alias("snapshots"), F.sum("observed").alias("observations"), F.sum("promotions").alias("promotions"),
         F.avg("new_drift").alias("mean_new_drift"), F.avg("drop_drift").alias("mean_drop_drift"), F.avg("global_drift").alias("mean_global_drift"),
     )
-    return shots.crossJoin(tracks).crossJoin(matches)  # one row each
+    return shots.crossJoin(tracks).crossJoin(matches).crossJoin(spread)  # one row each

@@ -389,10 +389,11 @@ def semantic_history(spark, d):
 
 
 def _memory(spark, d):
-    h = Q.histories(_split(spark, d)).select("user_id", F.col("split").alias("cutoff"), F.explode("history").alias("h")).select("user_id", "cutoff", "h.item_id", "h.interaction_index")
+    whole = Q.histories(_split(spark, d))
+    h = whole.select("user_id", F.col("split").alias("cutoff"), F.explode("history").alias("h")).select("user_id", "cutoff", "h.item_id", "h.interaction_index")
     times = T.small_events(spark, d).select("user_id", "interaction_index", "occurred_at_ms")
     vectors = _vectors(spark, d).select(F.concat(F.lit("item:"), "vec_id").alias("item_id"), "vector")
-    return memory.replay(h.join(times, ["user_id", "interaction_index"]).join(vectors, "item_id"))
+    return memory.replay(h.join(times, ["user_id", "interaction_index"]).join(vectors, "item_id"), whole.select("user_id", F.col("split").alias("cutoff")))
 
 
 def memory_tracks(spark, d):

@@ -6,9 +6,9 @@ import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import oracles, queries as _queries, states, stores
+from tidemark.plans import models, oracles, queries as _queries, states, stores
 
-_MODULES = (_queries, states, stores)
+_MODULES = (_queries, states, stores, models)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
