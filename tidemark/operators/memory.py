@@ -156,15 +156,18 @@ def replay(observations: DataFrame, asked: DataFrame | None = None) -> DataFrame
     """
     names = [f.split()[0] for f in OUTPUT.split(", ")]
 
+    def begins(whole: pd.DataFrame, part: pd.DataFrame) -> bool:
+        return np.array_equal(whole.interaction_index.to_numpy()[: len(part)], part.interaction_index.to_numpy())
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out, run, begun = pdf.sort_values("interaction_index", kind="stable"), [], None, None
         parts = sorted(pdf.groupby("cutoff"), key=lambda x: -len(x[1]))
         longest = parts[0][1]
         for cutoff, part in reversed(parts):
             n = len(part)
-            if run is None or not (part.interaction_index.to_numpy() == begun.interaction_index.to_numpy()[:n]).all():
-                # the cutoffs so far are prefixes of the longest, or this one stands alone
-                begun = longest if (part.interaction_index.to_numpy() == longest.interaction_index.to_numpy()[:n]).all() else part
+            if run is None or not begins(begun, part):
+                # the cutoffs from here on are prefixes of the longest, or this one stands alone
+                begun = longest if begins(longest, part) else part
                 vectors = np.stack([np.asarray(v, np.float64) for v in begun.vector])
                 run = Replay(begun.user_id.iloc[0], begun.interaction_index.to_numpy(), begun.occurred_at_ms.to_numpy(), begun.item_id.tolist(), vectors)
             out += run.upto(n).rows(cutoff)
