@@ -124,6 +124,12 @@ def test_order_ties_are_broken(spark):
         assert [(r.g, r.i, r.j) for r in C.out_of_order(df, "t", ["i", "j"], "g").collect()] == [("a", 1, 2)]
 
 
+def test_order_of_a_whole_table(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([5, 7, 7, 6, 9, 1, 2])], "o long, k long").repartition(4)
+    assert sorted((r.o, r.k, r.before) for r in C.out_of_order(df, "k", "o").collect()) == [(3, 6, 7), (5, 1, 9)]
+    assert C.out_of_order(df.limit(0), "k", "o").count() == 0
+
+
 def test_label_precedence(spark):
     rows = spark.createDataFrame([(True, 9.0, True), (False, 3.0, False), (False, 3.1, False), (False, None, True), (False, None, False)], "hate boolean, value double, action boolean")
     assert [r.label for r in Q.labelled(rows).collect()] == [K.NEGATIVE, K.PASSIVE, K.POSITIVE, K.POSITIVE, K.PASSIVE]

@@ -42,4 +42,3 @@ RAW_COLUMNS = (
 )
 CATEGORY_COLUMNS = ("category_level", "category_id", "category_name_cn", "parent_id", "root_id", "category_name_en")
 FEEDBACK = ("cvm_like", "click", "comment", "follow", "collect", "forward", "hate")
-ACTIONS = ("cvm_like", "comment", "follow", "collect", "forward")

@@ -12,9 +12,18 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def out_of_order(df: DataFrame, by: str, ordinal: str | list[str], partition: str | None = None) -> DataFrame:
-    """Rows whose key is below the one before, in ordinal order (of each partition); further ordinals break ties."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(ordinal)
-    return df.withColumn("before", F.lag(by).over(w)).where(F.col(by) < F.col("before"))
+    """Rows whose key is below the one before, in ordinal order (of each partition); further ordinals break ties.
+
+    Over a whole table rows are numbered by ranges, and a row meets the one before it by its number: no task sorts the table.
+    """
+    if partition:
+        w = Window.partitionBy(partition).orderBy(ordinal)
+        return df.withColumn("before", F.lag(by).over(w)).where(F.col(by) < F.col("before"))
+    from tidemark.operators.sequences import global_order
+
+    numbered = global_order(df, [F.col(c) for c in ([ordinal] if isinstance(ordinal, str) else ordinal)], "ordered", "_place")
+    before = numbered.select((F.col("_place") + 1).alias("_place"), F.col(by).alias("before"))
+    return numbered.join(before, "_place").where(F.col(by) < F.col("before")).drop("_place")
 
 
 def orphans(df: DataFrame, parent: DataFrame, on: str) -> DataFrame:

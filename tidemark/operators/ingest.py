@@ -72,7 +72,7 @@ def item_catalog(raw: DataFrame, paths: DataFrame) -> DataFrame:
     all tags unavailable. Paths follow (level, root, id) and are listed once.
     """
     title = F.trim(F.coalesce("title", F.lit("")))
-    rows = raw.join(F.broadcast(paths), "category_id", "left").withColumn("t", F.when(title != "", title)).withColumn("tag", F.when(F.trim(F.coalesce("tag_name", F.lit(""))) != "", F.trim("tag_name")))
+    rows = raw.join(paths, "category_id", "left").withColumn("t", F.when(title != "", title)).withColumn("tag", F.when(F.trim(F.coalesce("tag_name", F.lit(""))) != "", F.trim("tag_name")))
     items = rows.groupBy("pid").agg(
         F.min_by("author_id", "ordinal").alias("author_id"),
         F.bool_or(F.col("t").isNull()).alias("no_title"),

@@ -11,6 +11,8 @@ from tidemark.session import cut, table
 from tidemark.sources import driver_tables as T
 
 VERSION = "demo"
+#: Centroids that are compared with each vector in place.
+MOST_LABELS = 4096
 Row = DataFrame
 
 
@@ -357,8 +359,11 @@ def medoid(spark, d):
 
 
 def nearest_centroid(spark, d):
-    """Each vector's nearest label. The labels are a fixed small set: the centroids travel as one array per row."""
-    c = _centroids(spark, d).select(F.struct("label", "centroid").alias("c")).agg(F.collect_list("c").alias("cs"))
+    """Each vector's nearest label. The centroids travel as one array per row: their number is checked first."""
+    found = _centroids(spark, d)
+    if found.count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: their centroids are too many to go with each vector")
+    c = found.select(F.struct("label", "centroid").alias("c")).agg(F.collect_list("c").alias("cs"))
     best = F.element_at(F.array_sort(F.transform("cs", lambda c: F.struct((-F.round(V.cosine(F.col("vector"), c["centroid"]), 9)).alias("m"), c["label"].alias("label")))), 1)
     return _vectors(spark, d).crossJoin(F.broadcast(c)).select("vec_id", best["label"].alias("nearest"), F.round(-best["m"], 6).alias("cos"))
 
