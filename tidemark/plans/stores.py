@@ -9,9 +9,9 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions import vector as V
 from tidemark.operators import artifacts, references as X, stores
 from tidemark.plans import queries as _core
-from tidemark.plans.oracles import _LEAN, _POS, _S, _SMALL, _LABEL, _UNIT, _w
+from tidemark.plans.oracles import _LABEL, _LEAN, _POS, _S, _SEG, _SMALL, _UNIT, _w
 from tidemark.session import cut, shared_dir, table
-from tidemark.sources import driver_tables as T, lines, shards
+from tidemark.sources import datasets, driver_tables as T, lines, shards
 
 
 def _folder(spark, name):
@@ -115,9 +115,39 @@ def quoted_records(spark, d):
     return got.select("page_id", F.sha2("url", 256).alias("url_sha256"), F.sha2("html", 256).alias("html_sha256"), F.coalesce((F.col("before.ordinal") + 1 == F.col("ordinal")) & (F.col("before.page_id") < F.col("page_id")), F.col("ordinal") == 2).alias("in_order"))
 
 
+def dataset_violations(spark, d):
+    """A source dataset written from the tables and loaded by its manifest: what breaks its rules. Items of every tenth key are
+    left out, every twentieth event's time goes back, limits are set below the users' number."""
+    root = _folder(spark, "dataset")
+    e = T.small_events(spark, d)
+    number = F.substring("item_id", 6, 20).cast("bigint")
+    time = F.when(F.col("interaction_index") % 20 == 19, F.lit(0)).otherwise(F.col("occurred_at_ms"))
+    events = e.select("user_id", "item_id", "interaction_index", time.alias("occurred_at_ms"), F.lit("view").alias("interaction_type"), "value", F.lit(None).cast("string").alias("metadata"))
+    seg = T.segments(spark, d)
+    items = e.select("item_id").unionByName(seg.select("item_id")).distinct().where(number % 10 != 0).withColumn("metadata", F.lit(None).cast("string"))
+    locator = F.struct("kind", F.lit("media").alias("media_ref"), "duration_ms", "start_ms", "end_ms")
+    segments = seg.select("item_id", "segment_id", "sequence_index", locator.alias("locator"), F.lit(None).cast("string").alias("metadata"))
+    parts = {}
+    for name, df, order in (("events", events, ["user_id", "interaction_index"]), ("items", items, ["item_id"]), ("segments", segments, ["item_id", "sequence_index", "segment_id"])):
+        line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        parts[name] = lines.write_ordered(df, [F.col(c) for c in order], line, f"{root}/{name}")
+    manifest = datasets.manifest_for("demo", "v1", parts, {n: n for n in parts}, root)
+    loaded = datasets.load(spark, root, manifest)
+    return datasets.violations(loaded, datasets.Limits(users=10)).groupBy("rule").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
+
+
 _CUS = "'customers/' || substr(h, 1, 2) || '/' || h || '.json'"
 
 SQL: dict[str, str] = {
+    "dataset_violations": _w(_SMALL, _SEG).rstrip() + """, e AS (SELECT *, CASE WHEN interaction_index % 20 = 19 THEN 0 ELSE occurred_at_ms END AS t FROM ev), g AS (SELECT item_id, segment_id, sequence_index FROM seg),
+        i AS (SELECT DISTINCT item_id FROM (SELECT item_id FROM ev UNION ALL SELECT item_id FROM seg) WHERE CAST(substr(item_id, 6) AS BIGINT) % 10 <> 0),
+        v AS (SELECT 'an event of an unknown item' AS rule, user_id || '/' || interaction_index AS subject FROM e WHERE item_id NOT IN (SELECT item_id FROM i)
+              UNION ALL SELECT 'time goes back', user_id || '/' || interaction_index FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY interaction_index) AS b FROM e) WHERE t < b
+              UNION ALL SELECT 'a segment of an unknown item', item_id || '/' || segment_id FROM g WHERE item_id NOT IN (SELECT item_id FROM i)
+              UNION ALL SELECT 'segments are not 0 to n - 1', item_id FROM g GROUP BY item_id HAVING min(sequence_index) <> 0 OR max(sequence_index) <> count(*) - 1 OR count(DISTINCT sequence_index) <> count(*)
+              UNION ALL SELECT 'a segment stands twice', item_id || '/' || segment_id FROM g GROUP BY item_id, segment_id HAVING count(*) > 1
+              UNION ALL SELECT 'more than the limit', 'users/' || count(DISTINCT user_id) FROM e HAVING count(DISTINCT user_id) > 10)
+        SELECT rule, count(*) AS n, min(subject) AS first FROM v GROUP BY rule""",
     "line_records": """SELECT 'part-' || lpad(CAST(n // 3000 AS VARCHAR), 8, '0') || '.txt' AS file, n % 3000 + 1 AS ordinal, least(3000, total - n // 3000 * 3000) AS of, event_id, event_type, value
         FROM (SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_id) - 1 AS n, count(*) OVER () AS total FROM events)""",
     "quoted_records": "SELECT page_id, sha256(url) AS url_sha256, sha256(replace(html, chr(13), '')) AS html_sha256, true AS in_order FROM pages WHERE html IS NOT NULL",

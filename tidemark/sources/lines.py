@@ -42,7 +42,7 @@ def write_ordered(df: DataFrame, order: list[Column], line: Column, path: str, l
     return cut(told.groupBy("file_no").applyInArrow(one, "file string, lines long, sha256 string"), "files")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block (its start), id (rising within a block) and value of every line; a carriage return at its end is no part of it."""
     read = spark.read.option("lineSep", "\n").text(path)
     return read.select(
@@ -57,7 +57,7 @@ def _before(blocks: DataFrame, count: str, name: str) -> DataFrame:
     return blocks.withColumn(name, F.sum(count).over(w) - F.col(count))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, ordinal (from 1 in each file) and value of every line. Two scans, no shuffle of lines."""
     lines = _lines(spark, path)
     blocks = _before(lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")), "n", "before")
@@ -66,7 +66,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return met.select("file", (F.col("id") - F.col("first") + F.col("before") + 1).cast("bigint").alias("ordinal"), value.alias("value"))
 
 
-def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Typed records with their line numbers. A blank line and one that is no record of the schema are errors that name file and line."""
     found = numbered_lines(spark, path).withColumn("record", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     where = F.concat(F.element_at(F.split("file", "/"), -1), F.lit(", line "), F.col("ordinal"))
