@@ -21,6 +21,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -74,6 +76,7 @@ class Kept:
 
 #: A pre-tokenizer that ends with this takes runs of letters, single digits and runs of other marks apart.
 _CLASSES = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = string.punctuation.encode()
 #: A piece whose last ASCII letter or digit is followed by ASCII marks alone, the first of them no apostrophe.
 _TAIL = re.compile(rb"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)", re.DOTALL)
 
@@ -126,8 +129,16 @@ class Encoder:
         return {p: data[a:b] for p, a, b in zip(words, [0, *last], last, strict=False)} | self._alone(others)
 
     def _cut(self, piece: bytes) -> tuple[bytes, ...]:
-        found = _TAIL.fullmatch(piece) if self.classes else None
-        return found.groups() if found and not self.added(piece) else (piece,)
+        if not self.classes or self.added(piece):
+            return (piece,)
+        if found := _TAIL.fullmatch(piece):
+            return found.groups()
+        if piece[-1:] in _MARKS and not piece.isascii():  # a letter beyond ASCII before the marks; one that NFC takes apart might end in a mark
+            text = piece.decode()
+            head = text.rstrip(_MARKS.decode())
+            if head and head[-1].isalpha() and text[len(head)] != "'" and unicodedata.is_normalized("NFC", head):
+                return head.encode(), text[len(head) :].encode()
+        return (piece,)
 
     def _new(self, missing: set[bytes]) -> dict[bytes, bytes]:
         """The ids of pieces that aren't kept."""
