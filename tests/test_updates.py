@@ -151,3 +151,13 @@ def test_a_failure_of_every_role_ends_its_own_run_alone(spark):
     initial = items.withColumn("score", F.lit(1.0))
     got = {(r.run_id, r.item_id): r.score for r in failures.scores(initial, scored).collect()}
     assert got[1, "a"] == 1.75 and got[1, "b"] == 0.85 and got[5, "a"] == 1.5 and got[5, "b"] == 0.9 and len(got) == 10  # the partial state has the scores before
+
+
+def test_runs_of_any_size_are_judged_alike_and_shuffled_once(spark):
+    items, segments, results = driver_tables.observation_results(spark, SF)
+    told = lambda df: sorted(map(str, df.collect()))
+    whole = U.judge(results, items, segments)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    # the distinct items, the distinct segments, and the rows of all kinds by their run
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert told(whole) == told(U.judge(results, items, segments, most=12)) == told(U.judge(results, items, segments, most=0))

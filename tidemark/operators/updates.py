@@ -7,14 +7,18 @@ each is judged by what it says, by the run's candidates and catalog, and against
 * the segment must still be unobserved, the step free, the evidence id new in the run;
 * a run stops at its first problem: results before it are applied, what comes behind is judged but changes nothing.
 
-Firsts are least values by key, combined before the shuffle, and met again by equi-joins: a hot run is split like any
-other key, and no run is gathered in a task.
+Firsts are least values by key, in windows: a run of ordinary size is dealt once, and its results are judged where they
+are; a hot run is dealt again for each key, so that no task sorts all of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import cut
+
+#: Rows (results, candidates and segments) of a run that one task may sort.
+MOST = 100_000
 FIELDS = ("step", "item_id", "segment_id", "status", "evidence_id", "reason")
 #: problems in order of precedence
 STEP, ITEM, SEGMENT, STATUS, NO_EVIDENCE, STRAY_EVIDENCE, NO_REASON, TAKEN, AGAIN, USED = (
@@ -41,24 +45,47 @@ def unsound() -> Column:
     )
 
 
-def judge(results: DataFrame, items: DataFrame, segments: DataFrame) -> DataFrame:
-    """run_id, FIELDS, problem (or null) and applied, a row for each distinct result."""
+def _told(rows: DataFrame, *deal: str) -> DataFrame:
+    """run_id, FIELDS and problem (or null) of distinct results, from rows of all kinds that are dealt by ``deal``.
+
+    Results meet the run's candidates and catalog, and the sound results before them, in windows: those whose keys hold all
+    of ``deal`` need no further shuffle.
+    """
     order = F.struct(*FIELDS)
-    found = known_to(results.select("run_id", *FIELDS).distinct(), items, segments).withColumn("own", unsound())
-    sound = found.where("own is null").withColumn("order", order)
+    met = rows.repartition(*deal).distinct()
+    has = lambda kind, *key: F.max(F.col("kind") == kind).over(Window.partitionBy(*key)) & F.expr(" and ".join(f"{c} is not null" for c in key))
+    met = met.withColumn("is_segment", has("segment", "run_id", "item_id", "segment_id")).withColumn("is_item", has("item", "run_id", "item_id"))
+    met = met.where("kind = 'result'").withColumn("own", unsound()).drop("kind", "is_item", "is_segment")
 
-    def least(key: list[str], name: str) -> DataFrame:
-        return sound.where(F.col(key[-1]).isNotNull()).groupBy("run_id", *key).agg(F.min("order").alias(name))
+    def before(*key: str) -> Column:
+        """Whether a sound result with the same key stands before."""
+        return F.coalesce(F.min(F.when(F.col("own").isNull(), order)).over(Window.partitionBy("run_id", *key)) < order, F.lit(False))
 
-    met = found.withColumn("order", order)
-    for key, name in ((["step"], "first_step"), (["item_id", "segment_id"], "first_look"), (["evidence_id"], "first_use")):
-        met = met.join(least(key, name), ["run_id", *key], "left")
-    before = lambda name: F.col(name).isNotNull() & (F.col(name) < F.col("order"))
-    problem = F.coalesce("own", F.when(before("first_step"), TAKEN).when(before("first_look"), AGAIN).when(before("first_use"), USED))
-    told = met.withColumn("problem", problem).select("run_id", *FIELDS, "problem", "order")
-    ends = told.where("problem is not null").groupBy("run_id").agg(F.min("order").alias("end"))
-    out = told.join(ends, "run_id", "left")
-    return out.select("run_id", *FIELDS, "problem", (F.col("end").isNull() | (F.col("order") < F.col("end"))).alias("applied"))
+    met = met.withColumn("looked", before("item_id", "segment_id")).withColumn("stepped", before("step"))
+    # results without evidence compete for none
+    met = met.withColumn("used", before("evidence_id") & F.col("evidence_id").isNotNull())
+    problem = F.coalesce("own", F.when(F.col("stepped"), TAKEN).when(F.col("looked"), AGAIN).when(F.col("used"), USED))
+    return met.select("run_id", *FIELDS, problem.alias("problem"))
+
+
+def judge(results: DataFrame, items: DataFrame, segments: DataFrame, most: int = MOST) -> DataFrame:
+    """run_id, FIELDS, problem (or null) and applied, a row for each distinct result.
+
+    Runs of more than ``most`` rows are dealt by their items, steps and evidence ids, all others whole.
+    """
+    rows = results.select("run_id", *FIELDS, F.lit("result").alias("kind")).unionByName(items.select("run_id", "item_id", F.lit("item").alias("kind")), allowMissingColumns=True)
+    rows = rows.unionByName(segments.select("run_id", "item_id", "segment_id", F.lit("segment").alias("kind")), allowMissingColumns=True)
+    order, end = F.struct(*FIELDS), F.min(F.when(F.col("problem").isNotNull(), F.struct(*FIELDS)))
+    applied = (F.col("end").isNull() | (order < F.col("end"))).alias("applied")
+    large = cut(rows.groupBy("run_id").count().where(F.col("count") > most).select(F.col("run_id").alias("_run")), "large")
+    same = F.col("run_id").eqNullSafe(F.col("_run"))
+    whole = rows if large.isEmpty() else rows.join(large, same, "left_anti")
+    out = _told(whole, "run_id").withColumn("end", end.over(Window.partitionBy("run_id"))).select("run_id", *FIELDS, "problem", applied)
+    if whole is rows:
+        return out
+    told = cut(_told(rows.join(large, same, "left_semi"), "run_id", "item_id"), "told")  # read twice
+    ends = told.groupBy(F.col("run_id").alias("_run")).agg(end.alias("end"))
+    return out.unionByName(told.join(ends, same, "left").select("run_id", *FIELDS, "problem", applied))
 
 
 def evidence_state(judged: DataFrame, items: DataFrame) -> DataFrame:
@@ -104,22 +131,26 @@ def snapshot_violations(evidence: DataFrame, observations: DataFrame, candidates
     """
     from tidemark.operators.constraints import observation_status
 
-    row = lambda df, subject, problem: df.select("run_id", subject.cast("string").alias("subject"), F.lit(problem).alias("problem"))
+    def rows(df: DataFrame, *told: tuple[Column | str, Column | str, str]) -> DataFrame:
+        """A row for each (condition, subject, problem) that holds; ``df`` is read once."""
+        each = [F.when(F.expr(c) if isinstance(c, str) else c, F.struct(F.col(x).cast("string").alias("subject") if isinstance(x, str) else x.cast("string").alias("subject"), F.lit(p).alias("problem"))) for c, x, p in told]
+        return df.select("run_id", F.explode(F.array(*each)).alias("t")).where("t is not null").select("run_id", "t.subject", "t.problem")
+
     named = observations.select("run_id", F.explode("evidence_ids").alias("evidence_id"), F.col("item_id").alias("o_item"), F.col("segment_id").alias("o_segment"))
-    both = named.join(evidence, ["run_id", "evidence_id"], "full_outer")
-    out = row(both.where("item_id is null"), F.col("evidence_id"), "an observation names unknown evidence")
-    out = out.unionByName(row(both.where("o_item is null"), F.col("evidence_id"), "evidence that no observation names"))
-    out = out.unionByName(row(both.where("o_item <> item_id or o_segment <> segment_id"), F.col("evidence_id"), "evidence of another segment"))
+    out = rows(
+        named.join(evidence, ["run_id", "evidence_id"], "full_outer"), ("item_id is null", "evidence_id", "an observation names unknown evidence"),
+        ("o_item is null", "evidence_id", "evidence that no observation names"), ("o_item <> item_id or o_segment <> segment_id", "evidence_id", "evidence of another segment"),
+    )
     odd = observation_status(observations.select("run_id", "item_id", "segment_id", "status", "attempts", F.col("evidence_ids").alias("evidence"), F.col("failure_reason").alias("reason")))
-    out = out.unionByName(row(odd, F.concat_ws("/", "item_id", "segment_id"), "an observation's status and its parts disagree"))
+    out = out.unionByName(rows(odd, ("true", F.concat_ws("/", "item_id", "segment_id"), "an observation's status and its parts disagree")))
     ranks = candidates.groupBy("run_id").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("initial_rank", "current_rank") for k, f in (("least", F.min), ("most", F.max), ("kinds", F.count_distinct))])
-    gap = lambda c: F.expr(f"least_{c} <> 1 or most_{c} <> n or kinds_{c} <> n")
-    for c in ("initial_rank", "current_rank"):
-        out = out.unionByName(row(ranks.where(gap(c)), F.lit(c), "ranks are not 1 to n"))
+    out = out.unionByName(rows(ranks, *[(f"least_{c} <> 1 or most_{c} <> n or kinds_{c} <> n", F.lit(c), "ranks are not 1 to n") for c in ("initial_rank", "current_rank")]))
     # neighbours by rank meet by an equi-join on the rank, not in one sorted run
     after = candidates.select("run_id", (F.col("current_rank") - 1).alias("current_rank"), F.col("score").alias("next_score"))
-    out = out.unionByName(row(candidates.join(after, ["run_id", "current_rank"]).where("next_score > score"), F.col("item_id"), "a rank is not in order of score"))
+    out = out.unionByName(rows(candidates.join(after, ["run_id", "current_rank"]).where("next_score > score"), ("true", "item_id", "a rank is not in order of score")))
     top = candidates.where("current_rank <= 2").groupBy("run_id").agg(F.count("*").alias("n"), (F.max(F.when(F.col("current_rank") == 1, F.col("score"))) - F.max(F.when(F.col("current_rank") == 2, F.col("score")))).alias("gap"))
-    met = requests.join(top, "run_id", "left")
-    out = out.unionByName(row(met.where(F.col("remaining") != F.lit(budget) - F.col("step")), F.lit("remaining"), "remaining is not the budget less the steps"))
-    return out.unionByName(row(met.where(~F.round("gap", 12).eqNullSafe(F.col("margin"))), F.lit("margin"), "the margin is not that of the two best"))
+    wrong_margin = ~F.round("gap", 12).eqNullSafe(F.col("margin"))
+    return out.unionByName(rows(
+        requests.join(top, "run_id", "left"), (F.col("remaining") != F.lit(budget) - F.col("step"), F.lit("remaining"), "remaining is not the budget less the steps"),
+        (wrong_margin, F.lit("margin"), "the margin is not that of the two best"),
+    ))

@@ -41,14 +41,14 @@ def check_snapshot(spark, d):
     """What breaks the invariants of snapshots, each broken in its own tenth of the runs."""
     items, segments, judged = _updates(spark, d)
     tenth = F.col("run_id") % 10
-    seen = U.observation_state(judged, segments)
+    seen = cut(U.observation_state(judged, segments), "seen")
     evidence = judged.where("applied and evidence_id is not null").select("run_id", "evidence_id", "item_id", "segment_id")
     evidence = evidence.where(tenth != 0).withColumn("segment_id", F.when(tenth == 1, F.lit("seg:other")).otherwise(F.col("segment_id")))
     extra = items.where(tenth == 2).groupBy("run_id").agg(F.lit("ev:extra").alias("evidence_id"), F.min("item_id").alias("item_id"), F.lit("seg:none").alias("segment_id"))
     seen = seen.withColumn("attempts", F.when(tenth == 3, F.col("attempts") + 1).otherwise(F.col("attempts")))
-    scored = R.best_by_score(items.join(T.scenario(spark, d)[0], ["run_id", "item_id"]), "run_id", None)
+    scored = cut(R.best_by_score(items.join(T.scenario(spark, d)[0], ["run_id", "item_id"]), "run_id", None), "scored")
     ranks = scored.select("run_id", "item_id", "rank", "score", (F.col("rank") + F.when(tenth == 4, 1).otherwise(0)).alias("initial_rank"), F.col("rank").alias("current_rank"))
-    ranks = cut(ranks.withColumn("score", F.when((tenth == 5) & (F.col("rank") == 3), F.col("score") + 2).otherwise(F.col("score"))), "ranks")
+    ranks = ranks.withColumn("score", F.when((tenth == 5) & (F.col("rank") == 3), F.col("score") + 2).otherwise(F.col("score")))
     margin = R.top_margin(scored.where("rank <= 2"), "run_id").select("run_id", F.when(tenth == 6, F.coalesce("margin", F.lit(0.0)) + 1).otherwise(F.col("margin")).alias("margin"))
     asked = U.state_requests(judged, items, segments, BUDGET).join(margin, "run_id").withColumn("remaining", F.col("remaining") + F.when(tenth == 7, 1).otherwise(0))
     return U.snapshot_violations(evidence.unionByName(extra), seen, ranks, asked, BUDGET)
