@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from tidemark.operators import sasrec, sequences
+from tidemark.operators import ranking, sasrec, sequences
 from tidemark.plans import registry
 from tidemark.sources import driver_tables
 
@@ -90,3 +90,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLES) <= set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_walks_and_places_are_cut_short_before_they_become_rows(spark):
+    vocab = spark.range(1, 301).selectExpr("concat('i', lpad(id, 3, '0')) AS item_id", "id AS model_index")
+    ranked = vocab.withColumnRenamed("model_index", "g")
+    held = spark.createDataFrame([("s1", "u1", "test", "i002", True), ("s2", "u2", "test", "i300", True), ("s3", "u3", "test", "cold", False)], "sample_id string, user_id string, split string, item_id string, warm boolean")
+    seen = spark.createDataFrame([("u1", "test", i) for i in ("i001", "i002", "i004", "cold")], "user_id string, split string, item_id string")
+    top = ranking.top_unseen(held, seen, ranked, 3)
+    walked = sequences.development_candidates(held, seen, vocab, negatives=297)
+    for df in (top, walked):  # rows of a target are neither numbered nor taken out by shuffles of them all
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.user_id, r.place, r.item_id) for r in top.collect()) == [("u1", 1, "i002"), ("u1", 2, "i003"), ("u1", 3, "i005"), ("u2", 1, "i001"), ("u2", 2, "i002"), ("u2", 3, "i003")]
+    got = walked.collect()
+    assert {r.item_id for r in got if r.user_id == "u1"} == {f"i{k:03}" for k in range(1, 301)} - {"i001", "i002", "i004"}
+    assert sum(r.user_id == "u2" for r in got) == 297 and len({(r.sample_id, r.offset) for r in got}) == len(got) == 594 and min(r.offset for r in got) >= 0

@@ -37,15 +37,19 @@ def target_ranks(held: DataFrame, seen: DataFrame, ranked: DataFrame) -> DataFra
 
 
 def top_unseen(held: DataFrame, seen: DataFrame, ranked: DataFrame, k: int = K.TOP_K) -> DataFrame:
-    """sample_id, place, item_id: the k most popular candidates of each warm target, from the first k + |seen| global ranks."""
-    own = seen.join(ranked.select("item_id"), "item_id", "left_semi")
-    n_seen = own.groupBy("user_id", "split").agg(F.count("*").alias("n_seen"))
-    depth = held.where("warm").join(n_seen, ["user_id", "split"], "left").withColumn("g", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k) + F.coalesce("n_seen", F.lit(0)))))
-    found = depth.select("sample_id", "user_id", "split", F.col("item_id").alias("target"), "g").join(ranked.select("g", "item_id"), "g")
-    masked = own.withColumn("masked", F.lit(True))
-    open_ = found.join(masked, ["user_id", "split", "item_id"], "left").where("masked is null or item_id = target")
-    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("g"))
-    return open_.withColumn("place", place.cast("bigint")).where(F.col("place") <= k).select("sample_id", "place", "item_id")
+    """sample_id, user_id, split, place, item_id: the k most popular candidates of each warm target.
+
+    Of the k + |seen| first global ranks, those of seen items are taken out in the target's row (a user has one target a
+    split); only the k that are left become rows, and their items come by the rank.
+    """
+    g = ranked.select("item_id", "g")
+    own = seen.join(g, "item_id").groupBy("user_id", "split").agg(F.collect_set("g").alias("masked"))
+    met = held.where("warm").select("sample_id", "user_id", "split", "item_id").join(g, "item_id").join(own, ["user_id", "split"], "left")
+    # the target itself stays a candidate, seen or not
+    masked = F.array_remove(F.coalesce("masked", F.array().cast("array<bigint>")), F.col("g"))
+    first = F.slice(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint") + F.size("masked")), "masked"), 1, k)
+    placed = met.withColumn("masked", masked).select("sample_id", "user_id", "split", F.posexplode(first).alias("i", "g"))
+    return placed.join(g, "g").select("sample_id", "user_id", "split", (F.col("i") + 1).cast("bigint").alias("place"), "item_id")
 
 
 def rank_metrics(ranked: DataFrame) -> DataFrame:
