@@ -361,3 +361,12 @@ def test_pipeline(spark, tmp_path):
             assert kept[name] == len(classes_brute([(r.doc_id, r.text) for r in before.collect()]))
     assert kept["quality"] > kept["near_duplicates"] >= kept["decontamination"] == kept["secrets"]
     assert corpus_pipeline.run(spark, data).count() == kept["mixing"]
+
+
+def test_documents_of_large_bins_meet_them_without_rows_for_epochs(spark):
+    """Refining a bin must not read each document once an epoch again: rows made grow with the documents alone."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word ', id) AS text", "'a' AS lang")
+    told = lambda **k: mixing.mix(docs, {"lang": F.col("lang")}, {}, **k)
+    want = sorted(map(str, told().collect()))
+    assert want == sorted(map(str, told(bin_rows=1).collect()))
+    assert told(bin_rows=1)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(sequence(1, coalesce(") == 1

@@ -133,16 +133,18 @@ def mix(
         if (edges.agg(F.max("n").alias("n")).first().n or 0) <= bin_rows:
             break
         large = edges.where(F.col("n") > bin_rows).select(*names, "epoch", "budget", F.col("prefix").alias("inside"), F.col("before").alias("start"))
-        parts = every.join(large, [*names, "epoch"]).where(F.substring("place", 1, depth) == F.col("inside"))
+        # the bin says its epoch: documents meet it before they have rows for epochs
+        parts = sized.join(large, names).withColumn("place", place).where(F.substring("place", 1, depth) == F.col("inside"))
         sums = parts.groupBy(*names, "epoch", "budget", "start", F.substring("place", 1, depth + DIGITS).alias("prefix")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
         older, edges = edges, cut(edges.where(F.col("n") <= bin_rows).unionByName(_edges(sums, names)), "edges")
         drop(older)
     ends = edges.select(*names, F.col("epoch").alias("last"), "prefix", "before")
-    taken = every.join(given, names).join(ends, names, "left")
+    taken = sized.join(given, names).join(ends, names, "left")
     columns = ["doc_id", "epoch", *names, "n_tokens", "budget"]
-    inside = taken.where("last is null or epoch < last or (epoch = last and place < prefix)").select(*columns)
+    upto = F.explode(F.sequence(F.lit(1), F.coalesce("last", F.lit(epochs))))
+    inside = taken.withColumn("epoch", upto).withColumn("place", place).where("last is null or epoch < last or (epoch = last and place < prefix)").select(*columns)
     # in the last bin equal rows are one, with a count: as many are taken as fit
-    last = taken.where("epoch = last and startswith(place, prefix)").groupBy(*columns, "place", "before").agg(F.count("*").alias("m"))
+    last = taken.where("last is not null").withColumn("epoch", F.col("last")).withColumn("place", place).where("startswith(place, prefix)").groupBy(*columns, "place", "before").agg(F.count("*").alias("m"))
     order = Window.partitionBy(*names).orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     fits = last.withColumn("start", F.col("before") + F.coalesce(F.sum(F.col("n_tokens") * F.col("m")).over(order), F.lit(0)))
     fits = fits.withColumn("times", F.least(F.col("m"), F.expr("(budget - start) div n_tokens"))).where("start <= budget and times > 0")
