@@ -161,3 +161,15 @@ def test_runs_of_any_size_are_judged_alike_and_shuffled_once(spark):
     # the distinct items, the distinct segments, and the rows of all kinds by their run
     assert plan.count("Exchange hashpartitioning") == 3
     assert told(whole) == told(U.judge(results, items, segments, most=12)) == told(U.judge(results, items, segments, most=0))
+
+
+def test_states_follow_from_the_rows_of_one_shuffle(spark):
+    rows = driver_tables.observation_rows(spark, SF)
+    items, segments, results = driver_tables.observation_results(spark, SF)
+    told = lambda df: sorted(map(str, df.collect()))
+    judged = U.judge(results, items, segments)
+    for most in (U.MOST, 0):
+        feed = U.tell(rows, most)
+        for one, want in ((U.judged_of(feed), judged), (U.evidence_of(feed), U.evidence_state(judged, items)), (U.observations_of(feed), U.observation_state(judged, segments))):
+            assert most == 0 or one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+            assert told(one) == told(want)

@@ -7,7 +7,7 @@ fails after the step's own updates (the score updater) leaves these in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import sanitize_message
 from tidemark.operators import updates as U
@@ -38,15 +38,15 @@ def with_scores(judged: DataFrame, deltas: DataFrame) -> DataFrame:
     message = F.when(F.col("problem").isNotNull(), F.col("problem")).when(no_delta, F.concat(F.lit("no delta for "), "evidence_id"))
     role = F.when(F.col("problem").isNotNull(), role_of(F.col("problem"))).when(no_delta, SCORES)
     told = met.withColumn("order", F.struct(*U.FIELDS)).withColumn("failed", F.when(role.isNotNull(), F.struct(role.alias("role"), sanitize_message(message).alias("message"))))
-    ends = told.where("failed is not null").groupBy("run_id").agg(F.min("order").alias("end"))
-    out = told.join(ends, "run_id", "left")
+    # results come dealt by their runs: the first failure is found where they are
+    out = told.withColumn("end", F.min(F.when(F.col("failed").isNotNull(), F.col("order"))).over(Window.partitionBy("run_id")))
     kept = F.col("end").isNull() | (F.col("order") < F.col("end")) | ((F.col("order") == F.col("end")) & (F.col("failed.role") == SCORES))
     return out.select("run_id", *U.FIELDS, "own", "other", kept.alias("applied"), F.when(F.col("order") == F.col("end"), F.col("failed")).alias("failed"))
 
 
 def outcomes(runs: DataFrame, items: DataFrame, scored: DataFrame) -> DataFrame:
     """run_id, outcome, role, message, step, actions, evidence: each asked run once. A run without candidates fails its ranker."""
-    n = items.select("run_id", "item_id").distinct().groupBy("run_id").agg(F.count("*").alias("candidates"))
+    n = items.select("run_id", F.lit(True).alias("candidates")).distinct()
     end = F.max(F.when(F.col("failed").isNotNull(), F.struct("failed.role", "failed.message", "step")))
     j = scored.groupBy("run_id").agg(end.alias("f"), F.count_if("applied").alias("actions"), F.count_if(F.expr("applied and evidence_id is not null")).alias("evidence"))
     met = runs.select("run_id").distinct().join(n, "run_id", "left").join(j, "run_id", "left")

@@ -19,6 +19,8 @@ from tidemark.session import cut
 
 #: Rows (results, candidates and segments) of a run that one task may sort.
 MOST = 100_000
+#: Groups of runs in which large ones are looked for first.
+BUCKETS = 65_536
 FIELDS = ("step", "item_id", "segment_id", "status", "evidence_id", "reason")
 #: problems in order of precedence
 STEP, ITEM, SEGMENT, STATUS, NO_EVIDENCE, STRAY_EVIDENCE, NO_REASON, TAKEN, AGAIN, USED = (
@@ -45,67 +47,106 @@ def unsound() -> Column:
     )
 
 
-def _told(rows: DataFrame, *deal: str) -> DataFrame:
-    """run_id, FIELDS and problem (or null) of distinct results, from rows of all kinds that are dealt by ``deal``.
+def _told(rows: DataFrame, *deal: str, order: Column) -> DataFrame:
+    """``rows`` dealt by ``deal``, with ``order`` (within the run, equal for equal results) and problem (null for what is no result).
 
     Results meet the run's candidates and catalog, and the sound results before them, in windows: those whose keys hold all
-    of ``deal`` need no further shuffle.
+    of ``deal`` need no further shuffle. A result that stands twice is its own equal: it is not before itself.
     """
-    order = F.struct(*FIELDS)
-    met = rows.repartition(*deal).distinct()
-    has = lambda kind, *key: F.max(F.col("kind") == kind).over(Window.partitionBy(*key)) & F.expr(" and ".join(f"{c} is not null" for c in key))
+    met = rows.repartition(*deal).withColumn("order", order)
+    has = lambda flag, *key: F.max(flag).over(Window.partitionBy(*key)) & F.expr(" and ".join(f"{c} is not null" for c in key))
     met = met.withColumn("is_segment", has("segment", "run_id", "item_id", "segment_id")).withColumn("is_item", has("item", "run_id", "item_id"))
-    met = met.where("kind = 'result'").withColumn("own", unsound()).drop("kind", "is_item", "is_segment")
+    met = met.withColumn("own", unsound()).withColumn("sound", F.col("result") & F.col("own").isNull()).drop("is_item", "is_segment")
 
     def before(*key: str) -> Column:
         """Whether a sound result with the same key stands before."""
-        return F.coalesce(F.min(F.when(F.col("own").isNull(), order)).over(Window.partitionBy("run_id", *key)) < order, F.lit(False))
+        return F.coalesce(F.min(F.when(F.col("sound"), F.col("order"))).over(Window.partitionBy("run_id", *key)) < F.col("order"), F.lit(False))
 
     met = met.withColumn("looked", before("item_id", "segment_id")).withColumn("stepped", before("step"))
     # results without evidence compete for none
     met = met.withColumn("used", before("evidence_id") & F.col("evidence_id").isNotNull())
     problem = F.coalesce("own", F.when(F.col("stepped"), TAKEN).when(F.col("looked"), AGAIN).when(F.col("used"), USED))
-    return met.select("run_id", *FIELDS, problem.alias("problem"))
+    return met.select("run_id", *FIELDS, "result", "item", "segment", "order", F.when(F.col("result"), problem).alias("problem"))
 
 
-def judge(results: DataFrame, items: DataFrame, segments: DataFrame, most: int = MOST) -> DataFrame:
-    """run_id, FIELDS, problem (or null) and applied, a row for each distinct result.
+def rows_of(results: DataFrame, items: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows of all three kinds: run_id, FIELDS and ``result``, ``item``, ``segment``: what a row says. A row may say several."""
+    flags = lambda kind: [F.lit(k == kind).alias(k) for k in ("result", "item", "segment")]
+    rows = results.select("run_id", *FIELDS, *flags("result")).unionByName(items.select("run_id", "item_id", *flags("item")), allowMissingColumns=True)
+    return rows.unionByName(segments.select("run_id", "item_id", "segment_id", *flags("segment")), allowMissingColumns=True)
+
+
+def _large(rows: DataFrame, most: int) -> DataFrame | None:
+    """Runs of more than ``most`` rows, or None. Only runs in a bucket of so many rows are counted each."""
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).alias("_bucket")
+    full = cut(rows.groupBy(bucket).count().where(F.col("count") > most).select("_bucket"), "buckets")  # BUCKETS rows at most
+    if full.isEmpty():
+        return None
+    near = rows.select("run_id", bucket).join(F.broadcast(full), "_bucket", "left_semi")
+    large = cut(near.groupBy("run_id").count().where(F.col("count") > most).select(F.col("run_id").alias("_run")), "large")
+    return None if large.isEmpty() else large
+
+
+def tell(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """``rows`` (as of rows_of) with problem and applied (false for what is no result): every run in one shuffle.
 
-    Runs of more than ``most`` rows are dealt by their items, steps and evidence ids, all others whole.
+    Runs of more than ``most`` rows are dealt by their items, steps and evidence ids, all others whole. Rows may stand twice.
     """
-    rows = results.select("run_id", *FIELDS, F.lit("result").alias("kind")).unionByName(items.select("run_id", "item_id", F.lit("item").alias("kind")), allowMissingColumns=True)
-    rows = rows.unionByName(segments.select("run_id", "item_id", "segment_id", F.lit("segment").alias("kind")), allowMissingColumns=True)
-    order, end = F.struct(*FIELDS), F.min(F.when(F.col("problem").isNotNull(), F.struct(*FIELDS)))
-    applied = (F.col("end").isNull() | (order < F.col("end"))).alias("applied")
-    large = cut(rows.groupBy("run_id").count().where(F.col("count") > most).select(F.col("run_id").alias("_run")), "large")
+    end = F.min(F.when(F.col("problem").isNotNull(), F.col("order")))
+    applied = (F.col("result") & (F.col("end").isNull() | (F.col("order") < F.col("end")))).alias("applied")
+    out = ("run_id", *FIELDS, "result", "item", "segment", "problem", applied)
+    large = _large(rows, most)
     same = F.col("run_id").eqNullSafe(F.col("_run"))
-    whole = rows if large.isEmpty() else rows.join(large, same, "left_anti")
-    out = _told(whole, "run_id").withColumn("end", end.over(Window.partitionBy("run_id"))).select("run_id", *FIELDS, "problem", applied)
-    if whole is rows:
-        return out
-    told = cut(_told(rows.join(large, same, "left_semi"), "run_id", "item_id"), "told")  # read twice
+    whole = rows if large is None else rows.join(large, same, "left_anti")
+    rank = F.rank().over(Window.partitionBy("run_id").orderBy(*FIELDS))
+    found = _told(whole, "run_id", order=rank).withColumn("end", end.over(Window.partitionBy("run_id"))).select(*out)
+    if large is None:
+        return found
+    told = cut(_told(rows.join(large, same, "left_semi"), "run_id", "item_id", order=F.struct(*FIELDS)), "told")  # read twice
     ends = told.groupBy(F.col("run_id").alias("_run")).agg(end.alias("end"))
-    return out.unionByName(told.join(ends, same, "left").select("run_id", *FIELDS, "problem", applied))
+    return found.unionByName(told.join(ends, same, "left").select(*out))
 
 
-def evidence_state(judged: DataFrame, items: DataFrame) -> DataFrame:
+def judged_of(told: DataFrame) -> DataFrame:
+    """run_id, FIELDS, problem (or null) and applied, a row for each distinct result."""
+    return told.where("result").select("run_id", *FIELDS, "problem", "applied").distinct()
+
+
+def judge(results: DataFrame, items: DataFrame, segments: DataFrame, most: int = MOST) -> DataFrame:
+    """run_id, FIELDS, problem (or null) and applied, a row for each distinct result."""
+    return judged_of(tell(rows_of(results, items, segments), most))
+
+
+def evidence_of(told: DataFrame) -> DataFrame:
     """Every candidate with its evidence ids by step (an item has one a segment at most), empty where there is none."""
-    got = judged.where("applied and evidence_id is not null").groupBy("run_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("step", "evidence_id"))).alias("e"))
-    every = items.select("run_id", "item_id").distinct().join(got, ["run_id", "item_id"], "left")
-    return every.select("run_id", "item_id", F.coalesce(F.col("e.evidence_id"), F.array().cast("array<string>")).alias("evidence_ids"))
+    got = F.collect_set(F.when(F.expr("applied and evidence_id is not null"), F.struct("step", "evidence_id")))
+    every = told.groupBy("run_id", "item_id").agg(F.max("item").alias("item"), F.array_sort(got).alias("e"))
+    return every.where("item").select("run_id", "item_id", F.col("e.evidence_id").alias("evidence_ids"))
 
 
-def observation_state(judged: DataFrame, segments: DataFrame) -> DataFrame:
+def evidence_state(judged: DataFrame, items: DataFrame) -> DataFrame:
+    """The same from judged results and candidates."""
+    rows = judged.select("run_id", "item_id", "step", "evidence_id", "applied", F.lit(False).alias("item"))
+    return evidence_of(rows.unionByName(items.select("run_id", "item_id", F.lit(False).alias("applied"), F.lit(True).alias("item")), allowMissingColumns=True))
+
+
+def observations_of(told: DataFrame) -> DataFrame:
     """Every segment with its status, attempts, evidence ids, failure reason and last step."""
-    done = judged.where("applied").select("run_id", "item_id", "segment_id", "status", "evidence_id", "reason", "step")
-    every = segments.select("run_id", "item_id", "segment_id").distinct().join(done, ["run_id", "item_id", "segment_id"], "left")
-    ok = F.col("status") == "succeeded"
+    done = F.max(F.when(F.col("applied"), F.struct("status", "evidence_id", "reason", "step")))  # one a segment at most
+    every = told.groupBy("run_id", "item_id", "segment_id").agg(F.max("segment").alias("segment"), done.alias("d")).where("segment")
+    ok = F.col("d.status") == "succeeded"
     return every.select(
-        "run_id", "item_id", "segment_id", F.coalesce("status", F.lit("unobserved")).alias("status"), F.when(F.col("status").isNull(), 0).otherwise(1).cast("bigint").alias("attempts"),
-        F.when(ok, F.array("evidence_id")).otherwise(F.array().cast("array<string>")).alias("evidence_ids"), F.when(~ok, F.col("reason")).alias("failure_reason"), F.col("step").alias("last_step"),
+        "run_id", "item_id", "segment_id", F.coalesce("d.status", F.lit("unobserved")).alias("status"), F.when(F.col("d").isNull(), 0).otherwise(1).cast("bigint").alias("attempts"),
+        F.when(ok, F.array("d.evidence_id")).otherwise(F.array().cast("array<string>")).alias("evidence_ids"), F.when(~ok, F.col("d.reason")).alias("failure_reason"), F.col("d.step").alias("last_step"),
     )
 
 
+def observation_state(judged: DataFrame, segments: DataFrame) -> DataFrame:
+    """The same from judged results and segments."""
+    rows = judged.select("run_id", "item_id", "segment_id", "status", "evidence_id", "reason", "step", "applied", F.lit(False).alias("segment"))
+    return observations_of(rows.unionByName(segments.select("run_id", "item_id", "segment_id", F.lit(False).alias("applied"), F.lit(True).alias("segment")), allowMissingColumns=True))
+
+
 def state_requests(judged: DataFrame, items: DataFrame, segments: DataFrame, budget: int) -> DataFrame:
     """What the next state of each run is built from: actions taken and left, counts of its parts, and the problem it stopped at."""
     n = items.select("run_id", "item_id").distinct().groupBy("run_id").agg(F.count("*").alias("candidates"))

@@ -9,27 +9,31 @@ from tidemark.session import cut, table
 from tidemark.sources import driver_tables as T
 
 BUDGET = 7
+#: Rows of a delta table that goes with each task.
+MOST_DELTAS = 100_000
+
+
+def _told(spark, d):
+    return U.tell(T.observation_rows(spark, d))
 
 
 def _updates(spark, d):
-    items, segments, results = T.observation_results(spark, d)
+    items, segments, _ = T.observation_results(spark, d)
     # read by several branches of a query
-    return items, segments, cut(U.judge(results, items, segments), "judged")
+    return items, segments, cut(U.judged_of(_told(spark, d)), "judged")
 
 
 def result_updates(spark, d):
     """What each result of the feed does to its run: applied, or the problem that it has."""
-    return _updates(spark, d)[2]
+    return U.judged_of(_told(spark, d))
 
 
 def evidence_state(spark, d):
-    items, _, judged = _updates(spark, d)
-    return U.evidence_state(judged, items).select("run_id", "item_id", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.size("evidence_ids").cast("bigint").alias("n"))
+    return U.evidence_of(_told(spark, d)).select("run_id", "item_id", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.size("evidence_ids").cast("bigint").alias("n"))
 
 
 def observation_state(spark, d):
-    _, segments, judged = _updates(spark, d)
-    return U.observation_state(judged, segments).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+    return U.observations_of(_told(spark, d)).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
 def state_requests(spark, d):
@@ -56,24 +60,22 @@ def check_snapshot(spark, d):
 
 def _scored(spark, d):
     """Deltas by evidence: numbers that end in 7 have none."""
-    items, _, judged = _updates(spark, d)
     n = F.col("q") / 1000
     quantities = table(spark, d, "lineitem").select(F.col("l_quantity").cast("bigint").alias("q")).distinct().where("q % 10 <> 7")
-    deltas = quantities.select(F.concat(F.lit("ev:"), "q").alias("evidence_id"), (F.lit(0.1) + n).alias("own"), (-n / 4).alias("other"))
-    return items, failures.with_scores(judged, deltas)
+    deltas = cut(quantities.select(F.concat(F.lit("ev:"), "q").alias("evidence_id"), (F.lit(0.1) + n).alias("own"), (-n / 4).alias("other")), "deltas")
+    return failures.with_scores(U.judged_of(_told(spark, d)), F.broadcast(deltas) if deltas.count() <= MOST_DELTAS else deltas)
 
 
 def run_outcomes(spark, d):
     """How each run ended: completed, or failed by a component, with what was kept."""
-    items, scored = _scored(spark, d)
-    return failures.outcomes(table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")), items, scored)
+    items = T.observation_rows(spark, d).where("item")
+    return failures.outcomes(table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")), items, _scored(spark, d))
 
 
 def evidence_scores(spark, d):
     """Scores by the delta table from all evidence up to a run's end."""
-    items, scored = _scored(spark, d)
-    initial = items.join(T.scenario(spark, d)[0], ["run_id", "item_id"])
-    return failures.scores(initial, scored).withColumn("score", F.round("score", 9))
+    initial = T.observation_results(spark, d)[0].join(T.scenario(spark, d)[0], ["run_id", "item_id"])
+    return failures.scores(initial, cut(_scored(spark, d), "scored"))  # read twice.withColumn("score", F.round("score", 9))
 
 
 _FEED = """res AS (
