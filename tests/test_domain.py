@@ -244,3 +244,15 @@ def test_empty_snapshots_and_quantiles(spark):
     at = [0.0, 0.1, 0.5, 0.9, 1.0]
     assert np.allclose(memory.quantiles(df, "x", at).first()[0], np.quantile([x for x in values if x is not None], at))
     assert memory.quantiles(df.where("x is null"), "x", at).first()[0] == [None] * 5
+
+
+def test_runs_are_dealt_by_the_size_of_their_table(spark, monkeypatch):
+    from tidemark import session
+    from tidemark.plans import queries
+
+    monkeypatch.setattr(session, "ROWS", 500)
+    best = queries.best_segment(spark, "/root/testdata/sf0.001")
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(run_id" in plan
+    tasks = best.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 8  # rows of a task are bounded, whatever the number of shuffle partitions
