@@ -107,6 +107,17 @@ def test_walks_and_places_are_cut_short_before_they_become_rows(spark):
     assert sum(r.user_id == "u2" for r in got) == 297 and len({(r.sample_id, r.offset) for r in got}) == len(got) == 594 and min(r.offset for r in got) >= 0
 
 
+def test_what_was_seen_meets_targets_without_a_sort(spark):
+    parts = spark.createDataFrame([("u", i, p, s) for i, p, s in (("a", 1, "train"), ("b", 2, "train"), ("a", 3, "validation"), ("c", 4, "test"))], "user_id string, item_id string, pos long, split string")
+    seen = sequences.seen_items(parts)
+    assert "Join" not in seen._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in seen.collect()) == [("u", "test", "a"), ("u", "test", "b"), ("u", "validation", "a"), ("u", "validation", "b")]
+    ranked = spark.createDataFrame([("b", 1), ("a", 2), ("d", 3)], "item_id string, g long")
+    held = spark.createDataFrame([("s1", "u", "validation", "a", True), ("s2", "u", "test", "c", False), ("s3", "v", "test", "d", True)], "sample_id string, user_id string, split string, item_id string, warm boolean")
+    got = {r.sample_id: (r["rank"], r.candidates) for r in ranking.target_ranks(held, seen, ranked).collect()}
+    assert got == {"s1": (1, 2), "s2": (None, 0), "s3": (3, 3)}
+
+
 def test_a_memory_view_replays_once(spark):
     df = QUERIES["memory_view"](spark, SF)
     assert df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 0 and df.count() > 0

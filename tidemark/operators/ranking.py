@@ -22,17 +22,16 @@ def target_ranks(held: DataFrame, seen: DataFrame, ranked: DataFrame) -> DataFra
     """
     g = ranked.select("item_id", "g")
     placed = held.select("sample_id", "user_id", "split", "item_id", "warm").join(g, "item_id", "left")
-    own = seen.join(g.withColumnRenamed("g", "seen_g"), "item_id").withColumnRenamed("item_id", "seen_item")
     total = ranked.count()
-    met = placed.join(own, ["user_id", "split"], "left").groupBy("sample_id", "user_id", "split", "item_id", "warm", "g")
-    counts = met.agg(
-        F.sum(F.when((F.col("seen_g") < F.col("g")), 1).otherwise(0)).alias("before"),
-        F.sum(F.when(F.col("seen_item").isNotNull() & (F.col("seen_item") != F.col("item_id")), 1).otherwise(0)).alias("masked"),
-    )
-    return counts.select(
+    # the long side, what was seen, streams past hashed places and is neither sorted nor widened by the targets' ids
+    own = seen.join(g.withColumnRenamed("g", "seen_g").hint("shuffle_hash"), "item_id").select("user_id", "split", "seen_g")
+    place = placed.where("warm").select("user_id", "split", "g")
+    counts = own.join(place.hint("shuffle_hash"), ["user_id", "split"]).groupBy("user_id", "split").agg(F.count_if(F.expr("seen_g < g")).alias("before"), F.count_if(F.expr("seen_g <> g")).alias("masked"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return placed.join(counts, ["user_id", "split"], "left").select(
         "sample_id", "user_id", "split", "item_id", "warm",
-        F.when(F.col("warm"), F.col("g") - F.col("before")).alias("rank"),
-        F.when(F.col("warm"), F.lit(total) - F.col("masked")).otherwise(0).cast("bigint").alias("candidates"),
+        F.when(F.col("warm"), F.col("g") - none("before")).alias("rank"),
+        F.when(F.col("warm"), F.lit(total) - none("masked")).otherwise(0).cast("bigint").alias("candidates"),
     )
 
 
