@@ -37,18 +37,33 @@ def contradictions(artifacts: DataFrame, refs: DataFrame, single: list[str] | No
 
     ``artifacts``: artifact, kind, checksum; ``refs``: artifact, upstream, checksum (as the reference says; null: not said).
     All that an artifact reaches must agree on one artifact of each kind (of the kinds in ``single``, where given).
+
+    Only artifacts that others name are followed; the rest, which may be nearly all, reach what their upstreams reach. So the
+    references meet their upstreams once, with what is known of these and the least and greatest that they reach of each kind.
     """
-    named = refs.join(artifacts.select(F.col("artifact").alias("upstream"), F.lit(True).alias("_known"), F.col("checksum").alias("_own")), "upstream", "left")
-    row = lambda df, subject, problem: df.select("artifact", F.col(subject).alias("subject"), F.lit(problem).alias("problem"))
-    out = row(named.where("_known is null"), "upstream", UNKNOWN).unionByName(row(named.where("_known and checksum is not null and checksum <> _own"), "upstream", CHANGED))
-    reached = closure(refs, most)
-    out = out.unionByName(row(reached.where("artifact = upstream"), "upstream", CYCLE))
-    kinds = reached.join(artifacts.select(F.col("artifact").alias("upstream"), "kind"), "upstream")
+    refs = cut(refs.select("artifact", "upstream", "checksum"), "named")
+    named = cut(refs.select("upstream").where("upstream is not null").distinct(), "upstreams")
+    inner = cut(refs.select("artifact", "upstream").join(named.select(F.col("upstream").alias("artifact")), "artifact", "left_semi"), "inner")
+    reached = closure(inner, most)
+    if (reached.agg(F.max("depth")).first()[0] or 0) >= most:
+        closure(refs, most)  # an artifact that nobody names may go one deeper: an error, where one does
+    cyclic = reached.where("artifact = upstream").select("artifact")
+    kinds = artifacts.select(F.col("artifact").alias("upstream"), "kind")
     if single is not None:
         kinds = kinds.where(F.col("kind").isin(single))
+    ends = named.select(F.col("upstream").alias("artifact"), "upstream").unionByName(reached.select("artifact", "upstream")).join(kinds, "upstream")
     # least and greatest tell whether there are two; no list of what is reached is gathered
-    several = kinds.groupBy("artifact", "kind").agg(F.min("upstream").alias("a"), F.max("upstream").alias("b")).where("a <> b")
-    return out.unionByName(row(several, "kind", CONTRADICTION)).distinct()
+    ends = ends.groupBy(F.col("artifact").alias("upstream"), "kind").agg(F.min("upstream").alias("a"), F.max("upstream").alias("b"))
+    known = artifacts.select(F.col("artifact").alias("upstream"), F.lit(True).alias("_known"), F.col("checksum").alias("_own"))
+    met = refs.join(known, "upstream", "left").join(ends, "upstream", "left")
+    # problems travel as numbers, of the row that says them: one shuffle finds the kinds that meet and the rows that are said twice
+    said = F.when(F.col("_known").isNull(), 0).when(F.col("checksum") != F.col("_own"), 1)
+    entry = lambda subject, problem, a=F.lit(None).cast("string"), b=F.lit(None).cast("string"): F.struct(subject.alias("subject"), problem.alias("n"), a.alias("a"), b.alias("b"))
+    both = F.filter(F.array(entry(F.col("upstream"), said), entry(F.col("kind"), F.lit(3), F.col("a"), F.col("b"))), lambda e: e["n"].isNotNull() & ((e["n"] != 3) | e["a"].isNotNull()))
+    rows = met.select("artifact", F.explode(both).alias("e")).select("artifact", "e.*").unionByName(cyclic.select("artifact", entry(F.col("artifact"), F.lit(2)).alias("e")).select("artifact", "e.*"))
+    found = rows.groupBy("artifact", "subject", "n").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("n <> 3 or a <> b")
+    names = F.array(*(F.lit(x) for x in (UNKNOWN, CHANGED, CYCLE, CONTRADICTION)))
+    return found.select("artifact", "subject", F.get(names, F.col("n")).alias("problem"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

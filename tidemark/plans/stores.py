@@ -81,7 +81,9 @@ def reference_conflicts(spark, d):
     made = mine(o, "order", "o_orderkey").unionByName(mine(c.where("c_custkey % 50 <> 0"), "customer", "c_custkey")).unionByName(mine(n, "nation", "n_nationkey")).unionByName(mine(table(spark, d, "region"), "region", "r_regionkey"))
     made = made.unionByName(mine(s, "supplier", "s_suppkey").withColumn("checksum", F.when(F.element_at(F.split("artifact", ":"), 2).cast("bigint") % 30 == 0, "v2").otherwise("v1")))
     to = lambda df, a, x, b, y: df.select(key(a, x).alias("artifact"), key(b, y).alias("upstream"), F.lit("v1").alias("checksum"))
-    refs = to(o, "order", "o_orderkey", "customer", "o_custkey").unionByName(to(li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"), "order", "l_orderkey", "supplier", "l_suppkey").distinct())
+    # once each as numbers, where the orders are met
+    supplied = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_suppkey").distinct()
+    refs = to(o, "order", "o_orderkey", "customer", "o_custkey").unionByName(to(supplied, "order", "l_orderkey", "supplier", "l_suppkey"))
     refs = refs.unionByName(to(c.where("c_custkey % 50 <> 0"), "customer", "c_custkey", "nation", "c_nationkey")).unionByName(to(s, "supplier", "s_suppkey", "nation", "s_nationkey")).unionByName(to(n, "nation", "n_nationkey", "region", "n_regionkey"))
     return X.contradictions(made, refs, single=["region"])
 
