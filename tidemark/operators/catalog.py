@@ -36,16 +36,29 @@ def unique_texts(texts: DataFrame, text: str) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("text_sha256")).agg(F.count("*").alias("n"), F.min(F.char_length(text)).cast("bigint").alias("length"))
 
 
+#: What Python's ``strip`` takes off; canonical composition makes none of these out of other characters, nor others out of them.
+_SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Most code points that canonical composition makes one of.
+_COMPOSED = 4
+
+
 def normalize_texts(df: DataFrame, text: str, most: int) -> DataFrame:
-    """(value, reason): NFC and trimmed; 'missing' if nothing is left, 'invalid' with control characters or over ``most`` code points."""
+    """(value, reason): NFC and trimmed; 'missing' if nothing is left, 'invalid' with control characters or over ``most`` code points.
+
+    Whole texts are trimmed and measured here; Python composes those alone that hold more than ASCII and may come to ``most`` code
+    points, so that what it holds does not grow with the texts.
+    """
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC").str.strip()
+        return s.str.normalize("NFC")
 
-    n = F.when(F.col(text).rlike("[^\\x00-\\x7f]"), nfc(text)).otherwise(F.regexp_replace(text, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    df = df.withColumn("_t", F.btrim(text, F.lit(_SPACE)))
+    composed = nfc(F.when((F.char_length("_t") <= _COMPOSED * most) & F.col("_t").rlike("[^\\x00-\\x7f]"), F.col("_t")))
+    # null for the others: ASCII as it is, longer ones over ``most`` in any form
+    n = F.coalesce(composed, "_t")
     df = df.withColumn("_n", F.coalesce(n, F.lit("")))
     reason = F.when(F.col("_n") == "", "missing").when(F.col("_n").rlike("[\\x00-\\x1f\\x7f-\\x9f]") | (F.char_length("_n") > most), "invalid")
-    return df.withColumn("reason", reason).withColumn("value", F.when(F.col("reason").isNull(), F.col("_n"))).drop("_n")
+    return df.withColumn("reason", reason).withColumn("value", F.when(F.col("reason").isNull(), F.col("_n"))).drop("_n", "_t")
 
 
 def map_attributes(df: DataFrame, json: str, mapping: dict[str, tuple[str, str, bool]]) -> DataFrame:
