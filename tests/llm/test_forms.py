@@ -240,3 +240,17 @@ def test_token_files_of_wide_ids_and_of_nothing(spark, frame, tmp_path):
     assert sorted(map(tuple, token_files.read(spark, f"{tmp_path}/wide").collect())) == [(1, 0, 2, [70_000, 1]), (2, 2, 0, []), (3, 2, 1, [2**31 - 1])]
     token_files.write(frame([(1, "a")]).limit(0), f"{tmp_path}/none")
     assert token_files.read(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_fit_gives_back_what_the_driver_held(spark, monkeypatch):
+    """The sample's features are given back before the stages go on; repeated ratings count as often as they stand."""
+    from tidemark.llm import quality
+
+    docs = spark.createDataFrame([(i, f"good plain words number {i}" if i % 2 else f"!!! $$$ {i} ###") for i in range(40)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, float(i % 2)) for i in range(40)] + [(3, 1.0)] * 2, "doc_id long, grade double")
+    settled = []
+    monkeypatch.setattr(quality, "settle", lambda: settled.append(True))
+    answers, (ptr, *_) = quality.training_rows(docs, ratings, quality.style_features, ["grade"], 100)
+    assert len(ptr) == 43 and answers.sum() == 22
+    quality.fit(docs, ratings)
+    assert settled == [True]

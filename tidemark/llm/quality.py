@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.blocks import blocks
+from tidemark.llm.blocks import blocks, settle
 from tidemark.llm.features import DIM, compact, dot, dot_t, feature_rows, minimise, sigmoid, style_features
 
 SAMPLE = 8_000
@@ -98,15 +98,21 @@ def training_rows(docs: DataFrame, ratings: DataFrame, features, columns: list[s
     types = ", ".join(f"{c} double" for c in columns)
     got = joined.mapInArrow(lambda it: feature_rows(it, features, 2 + len(columns)), f"rated_id long, {types}, times long, slot array<int>, value array<float>")
     got = got.toArrow().combine_chunks()
-    got = got.take(pa.array(np.repeat(np.arange(got.num_rows), got.column("times").to_numpy())))
-    got = got.take(pc.sort_indices(got, [("rated_id", "ascending"), *((c, "ascending") for c in columns)]))
+    # the order is found on the short columns; the long ones are copied once
+    short = got.drop_columns(["slot", "value"])
+    times = np.repeat(np.arange(got.num_rows), got.column("times").to_numpy())
+    order = pc.sort_indices(short.take(pa.array(times)), [("rated_id", "ascending"), *((c, "ascending") for c in columns)]).to_numpy()
+    got = got.take(pa.array(times[order]))
     answers = np.stack([got.column(c).to_numpy() for c in columns], 1) if got.num_rows else np.empty((0, len(columns)))
     return answers, compact(got)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: str = "grade", sample: int = SAMPLE, ridge: float = RIDGE) -> Ordinal:
     answers, (ptr, column, value, slots) = training_rows(docs, ratings, style_features, [grade], sample)
-    return fit_ordinal(ptr, column, value, answers[:, 0], slots, ridge)
+    model = fit_ordinal(ptr, column, value, answers[:, 0], slots, ridge)
+    del answers, ptr, column, value
+    settle()  # the driver goes on for long with the model alone
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Ordinal, pass_grade: float, at_least: float) -> Iterator[pa.RecordBatch]:
