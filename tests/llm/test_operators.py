@@ -40,6 +40,22 @@ def test_suffixes(frame, hot):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot, few", [(2, 0), (2, 10_000), (10_000, 0)])
+def test_suffixes_count_passages_shorter_than_a_window(frame, hot, few):
+    """A passage of 51 words in about 300 bytes is no string of 400: it is counted, from every start, however often its pick occurs."""
+    rng = random.Random(5)
+    passage = prose(rng, 51, 10**5)
+    rows = odd_rows(random.Random(1), passage) + [(40, "x" + passage[:-1]), (41, passage[3:] + "\0" * 200), (42, "y" + passage[3:] + "\0" * 200), (43, passage[:260]), (44, passage[40:290] + " end")]
+    assert 250 < len(passage) < 400
+    for window, least in ((400, 250), (400, 400), (64, 40)):
+        want, short = suffixes.brute_force(rows, window), suffixes.brute_force(rows, least)
+        got = suffixes.remove_repeats(frame(rows), window, least, gram=least // 4, hot=hot, bucket_bytes=20_000, few=few)
+        expected = sorted((*want[i], short[i][1]) for i in range(len(rows)))
+        assert by_row(got, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]) == expected
+    caught = {r.doc_id: (r.n_removed, r.n_repeated) for r in suffixes.remove_repeats(frame(rows)).where("doc_id between 10 and 15").collect()}
+    assert all(removed == 0 and repeated >= len(passage) for removed, repeated in caught.values()) and len(caught) == 6
+
+
 @pytest.mark.parametrize("depth", [400, 150, 33])
 def test_suffix_sort_is_lexicographic(depth):
     rng = np.random.default_rng(3)
