@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import U64
-from tidemark.llm.presence import possible
+from tidemark.llm.presence import bitmap, marked as maybe, possible
 from tidemark.session import cut, drop
 
 #: Low bits of an encoded pick that hold the position; the hash bits above decide.
@@ -67,6 +67,14 @@ def ties(found: DataFrame, spare: DataFrame | None = None) -> DataFrame:
     return found.join(often, ["h", "g"]).select(*ROW, "pos", "n")
 
 
+def rare_ties(found: DataFrame, spare: DataFrame) -> DataFrame:
+    """As ``ties``, where most entries stand alone: a bitmap tells which may be spare and which may be tied, only these are shuffled as rows."""
+    told = maybe(found, bitmap(spare, *ROW), "spare", *ROW)
+    own = told.where("not spare").drop("spare").unionByName(told.where("spare").drop("spare").join(spare, ROW, "left_anti"))
+    often = cut(own.groupBy("h", "g").agg(F.sum(F.size("pos")).alias("n")).where("n > 1"), "often")
+    return possible(own, often, "h", "g").join(often, ["h", "g"]).select(*ROW, "pos", "n")
+
+
 def by_row(tied: DataFrame) -> DataFrame:
     """Rows with their tied positions (bounded by the length of one text)."""
     rest = [c for c in tied.columns if c not in ROW]

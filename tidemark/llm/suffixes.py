@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import BYTE, U64, blocks, digests, prefix_hash, spread, window_hash
-from tidemark.llm.repeats import ENTRY, ROW, by_row, candidates, copies, entries, keyed, marked, pick_runs, row_ids, ties, union_of
+from tidemark.llm.repeats import ENTRY, ROW, by_row, candidates, copies, entries, keyed, marked, pick_runs, rare_ties, row_ids, union_of
 from tidemark.session import cut, drop
 
 WINDOW = 400
@@ -331,7 +331,7 @@ def repeated(
     copied = cut(copies(source), "copies")
     spare = copied.where("spare").select(*ROW).distinct()
     picks = cut(source.select(*ROW, "text").mapInArrow(lambda it: pick_entries(it, passage, gram), ENTRY), "picks")
-    tied = cut(ties(picks, spare), "tied")
+    tied = cut(rare_ties(picks, spare), "tied")
     reach = tied.where(F.col("n") <= hot).count() * (window + (passage - gram) // 2)
     buckets = max(1, -(-reach // bucket_bytes))
     rows = candidates(source, tied, "rows")
