@@ -121,3 +121,19 @@ def test_what_was_seen_meets_targets_without_a_sort(spark):
 def test_a_memory_view_replays_once(spark):
     df = QUERIES["memory_view"](spark, SF)
     assert df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 0 and df.count() > 0
+
+
+def test_validation_and_test_targets_have_development_candidates(spark):
+    parts = sequences.split(driver_tables.large_events(spark, SF))
+    held = sequences.targets(parts, sequences.vocabulary(parts), "demo")
+    warm = {(r.user_id, r.split) for r in held.where("warm").collect()}
+    past = {}
+    for r in parts.collect():
+        past.setdefault(r.user_id, []).append((r.pos, r.item_id))
+    pos = {(r.user_id, r.split): r.pos for r in held.collect()}
+    got = {}
+    for r in QUERIES["dev_candidates"](spark, SF).collect():
+        got.setdefault((r.user_id, r.split), []).append(r.item_id)
+    assert {s for _, s in got} == {"validation", "test"} and got.keys() == warm
+    for (user, split), items in got.items():
+        assert len(set(items)) == len(items) == 100 and not set(items) & {i for p, i in past[user] if p <= pos[user, split]}
